@@ -90,7 +90,7 @@ class Scratch:
 
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's size estimate of a (written) table, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, rows: int | None = None, width: int = 64, limit: int = BROADCAST_BYTES) -> bool:
