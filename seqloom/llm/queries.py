@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
+from .languages import label_languages, wrong_labels
 from .leaks import find_leaks
 from .mixing import Mix
+from .near_pairs import NearPairs
 from .term_counts import marked_terms, term_counts
 from .top_bands import top_n
 
@@ -33,6 +35,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_terms(p2_counts(spark, sf_dir), total).filter("mark is not null").select("field_name", "term", "mark")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> NearPairs:
+    rows = table(spark, sf_dir, "numbering_results")
+    return NearPairs(rows, "result_no", "sequence", F.col("domains.v_gene"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records with nearly the same sequence and compatible genes."""
+    return _near(spark, sf_dir).pairs()
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts of every record and how many other texts are near."""
+    return _near(spark, sf_dir).classes()
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a passage of an item, verbatim or with one word edited."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -53,7 +70,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_counts, p2_found, p6_leaks, p6_found, p7_mix, p7_shares)}
+def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    return label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of documents that mix languages or carry no or a wrong label."""
+    return wrong_labels(p8_stretches(spark, sf_dir)).select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_counts, p2_found, p5_found, p5_classes, p6_leaks, p6_found, p7_mix, p7_shares, p8_stretches, p8_found)}
 
 _TERMS = """
 WITH names AS (
@@ -77,6 +104,18 @@ WHERE rank_no <= 10""",
     "p2_found": _TERMS
     + """SELECT field_name, term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark FROM counts
 WHERE records <= 2 OR records > 0.1 * (SELECT count(DISTINCT result_no) FROM domain_results)""",
+    "p5_found": """
+WITH s AS (
+  SELECT result_no, regexp_replace(upper(sequence), '[^A-Z*]', '', 'g') AS q,
+    list_filter(list_distinct(list_transform(coalesce(domains, []), lambda d: regexp_replace(upper(split_part(coalesce(d.v_gene, ''), '*', 1)), '\\s+', '', 'g'))), lambda g: g <> '') AS genes
+  FROM numbering_results),
+r AS (SELECT * FROM s WHERE length(q) >= 20),
+g AS (SELECT DISTINCT result_no, substring(q, i::INT, 6) AS x FROM (SELECT result_no, q, unnest(range(1, length(q) - 4)) AS i FROM r)),
+n AS (SELECT result_no, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.result_no AS a, b.result_no AS b, count(*) AS o FROM g a JOIN g b ON a.x = b.x AND a.result_no < b.result_no GROUP BY 1, 2)
+SELECT o.a AS result_a, o.b AS result_b FROM o JOIN n na ON na.result_no = o.a JOIN n nb ON nb.result_no = o.b
+JOIN r ra ON ra.result_no = o.a JOIN r rb ON rb.result_no = o.b
+WHERE 3 * o.o >= na.n + nb.n AND (len(ra.genes) = 0 OR len(rb.genes) = 0 OR list_has_any(ra.genes, rb.genes))""",
     "p6_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') AS w FROM eval_items),
