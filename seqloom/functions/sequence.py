@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ FRAMES = ("+1", "+2", "+3", "-1", "-2", "-3")
 _AMBIGUOUS_OR_STOP = "X"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body (and its lambdas) name it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise(s: Column) -> Column:
     """Without gap marks and in upper case; other than ASCII letters stay as they are."""
     return F.translate(F.translate(s, "-.", ""), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -25,12 +32,12 @@ def normalise(s: Column) -> Column:
 
 def valid_protein(s: Column) -> Column:
     """Only residue letters and fewer than 10,000 of them; the empty text passes."""
-    return s.rlike("^[ACDEFGHIKLMNPQRSTVWYX*]*$") & (F.length(s) < PROTEIN_LIMIT)
+    return s.rlike(r"\A[ACDEFGHIKLMNPQRSTVWYX*]*\z") & (F.length(s) < PROTEIN_LIMIT)
 
 
 def valid_dna(s: Column) -> Column:
     """Only IUPAC nucleotide letters and fewer than 100,000 of them."""
-    return s.rlike("^[ACGTUNRYKMSWBDHV]*$") & (F.length(s) < DNA_LIMIT)
+    return s.rlike(r"\A[ACGTUNRYKMSWBDHV]*\z") & (F.length(s) < DNA_LIMIT)
 
 
 def reverse_complement(dna: Column) -> Column:
@@ -41,18 +48,24 @@ def reverse_complement(dna: Column) -> Column:
 
 def codons(dna: Column) -> Column:
     """Whole codons of a text, as an array; a trailing one or two letters are left out."""
-    n = F.floor(F.length(dna) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(dna, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+    def cut(s: Column) -> Column:
+        n = F.floor(F.length(s) / 3).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(s, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+    return let(dna, cut)
 
 
 def amino_acid(codon: Column) -> Column:
     """One-letter residue, ``*`` for a stop, ``X`` for anything ambiguous."""
+
     # three letters to a number by their places in TCAG, then one character of the table: no map lookup
-    t = F.translate(codon, "U", "T")
-    place = lambda k: F.instr(F.lit(_BASES), F.substring(t, k, 1))
-    a, b, c = place(1), place(2), place(3)
-    known = (a > 0) & (b > 0) & (c > 0) & (F.length(codon) == 3)
-    return F.when(known, F.substring(F.lit(_AMINO), (a - 1) * 16 + (b - 1) * 4 + c, F.lit(1))).otherwise(_AMBIGUOUS_OR_STOP)
+    def residue(t: Column) -> Column:
+        a, b, c = (F.instr(F.lit(_BASES), F.substring(t, k, 1)) for k in (1, 2, 3))
+        known = (a > 0) & (b > 0) & (c > 0) & (F.length(t) == 3)
+        return F.when(known, F.substring(F.lit(_AMINO), (a - 1) * 16 + (b - 1) * 4 + c, F.lit(1))).otherwise(_AMBIGUOUS_OR_STOP)
+
+    return let(F.translate(codon, "U", "T"), residue)
 
 
 def residues(dna: Column) -> Column:
@@ -120,7 +133,7 @@ def stops_inside(stops: Column, start: Column, end: Column) -> Column:
 
 def wrapped(s: Column, width: int = 60) -> Column:
     """Line breaks after every ``width`` letters."""
-    return F.regexp_replace(s, f"(.{{{width}}})(?=.)", "$1\n")
+    return F.regexp_replace(s, f"(?s)(.{{{width}}})(?=.)", "$1\n")
 
 
 def csv_field(s: Column) -> Column:
@@ -131,4 +144,4 @@ def csv_field(s: Column) -> Column:
 def looks_like_dna(letters: Column) -> Column:
     """At least 30 letters after white space and gaps are gone, all of them IUPAC nucleotides."""
     plain = F.upper(F.regexp_replace(letters, r"[\s\-.]", ""))
-    return (F.length(plain) >= 30) & plain.rlike(f"^[{DNA_LETTERS}]*$")
+    return (F.length(plain) >= 30) & plain.rlike(rf"\A[{DNA_LETTERS}]*\z")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.sequence import amino_acid, reverse_complement
+from ..functions.sequence import amino_acid, let, reverse_complement
 
 
 def _round_half_up(c: Column) -> Column:
@@ -37,9 +37,9 @@ def codon_track(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Col
     coding = F.when(is_reverse, reverse_complement(part)).otherwise(part)
     n = F.floor((nt_end - nt_start) / 3).cast("int")
 
-    def at(i: Column) -> Column:
-        codon = F.substring(coding, i * 3 + 1, F.lit(3))
+    def at(strand: Column, i: Column) -> Column:
+        codon = F.substring(strand, i * 3 + 1, F.lit(3))
         aa = amino_acid(codon)
         return F.struct(i.alias("k"), codon.alias("codon"), aa.alias("residue"), (aa == "*").alias("is_stop"), F.when(is_reverse, nt_end - 1 - i * 3).otherwise(nt_start + i * 3).alias("base_start"))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at))
+    return F.when(n > 0, let(coding, lambda strand: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(strand, i))))

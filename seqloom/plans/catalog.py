@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import document_queries
+from . import document_queries, sequence_queries
 
-MODULES = [document_queries]
+MODULES = [document_queries, sequence_queries]
 
 
 def queries() -> dict:

@@ -195,5 +195,5 @@ def find_hits(records: DataFrame, profiles: list[Profile], threshold: float = 12
                     kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.struct([("state", pa.int32()), ("kind", pa.string())]))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in HITS.split(", ")])
 
-    rows = records.select(F.col(key).cast("bigint"), F.col(part).cast("int"), F.col(text)).filter(F.col(text).rlike("^[ACDEFGHIKLMNPQRSTVWYX*]+$") & (F.length(text) < 10_000))
+    rows = records.select(F.col(key).cast("bigint"), F.col(part).cast("int"), F.col(text)).filter(F.col(text).rlike(r"\A[ACDEFGHIKLMNPQRSTVWYX*]+\z") & (F.length(text) < 10_000))
     return rows.mapInArrow(run, HITS)

@@ -18,7 +18,7 @@ from ..runtime import maybe_broadcast
 def _parsed(value: Column) -> tuple[Column, Column]:
     """(id, sequence) of a record's text without its ``>``."""
     lines = F.split(F.regexp_replace(value, "\r\n?", "\n"), "\n")
-    trim = lambda x: F.btrim(x, F.lit(" \t\r\f\v"))
+    trim = lambda x: F.btrim(x, F.lit(" \t\r"))
     return trim(F.element_at(lines, 1)), normalise(F.array_join(F.transform(F.slice(lines, 2, 2_000_000_000), trim), ""))
 
 
@@ -46,4 +46,4 @@ def split_text(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def looks_like_dna_input(records: DataFrame) -> DataFrame:
     """One row: whether all letters together are nucleotides and at least 30 (``is_dna``)."""
-    return records.agg(F.coalesce(F.bool_and(F.col("sequence").rlike("^[ACGTUNRYKMSWBDHV]*$")) & (F.sum(F.length("sequence")) >= 30), F.lit(False)).alias("is_dna"))
+    return records.agg(F.coalesce(F.bool_and(F.col("sequence").rlike(r"\A[ACGTUNRYKMSWBDHV]*\z")) & (F.sum(F.length("sequence")) >= 30), F.lit(False)).alias("is_dna"))
