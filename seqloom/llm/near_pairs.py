@@ -4,8 +4,8 @@ A record is the set of its distinct ``q``-letter substrings (grams).  Equal text
 set: their answers are taken over from each other, never searched twice.  The join runs on
 an inverted index whose lists are cut into blocks of equal set size, sorted by position:
 
-* grams are ordered by how often they occur (counts over all records, in a bounded table of
-  hash buckets); a set's rarest grams form its prefix, and sets that reach the threshold
+* grams are ordered by how often they occur (counts over all records, in a bounded table
+  of 2^20 hash buckets); a set's rarest grams form its prefix, and sets that reach the threshold
   share a prefix gram;
 * a probe skips every block whose size cannot reach the threshold, every block whose needed
   overlap no longer fits behind the probe's position, and in each block all entries behind
@@ -19,7 +19,8 @@ of which at least two thirds of the grams are nucleotide goes to the bands only,
 most one third to the prefix lists only, others to both; by counting grams, a pair split
 between the two routes cannot reach the threshold.
 
-Index blocks travel as packed binary rows, one shuffle; texts travel only to verified
+Each text carries a 64-bit mask of its genes (all ones without genes); pairs whose masks do
+not meet cannot be compatible and are dropped in the lists.  Index blocks travel as packed binary rows, one shuffle; texts travel only to verified
 candidates.  Lists are joined block by block and candidates leave the task as they are found.
 
 Defined results: null sequences and those with fewer than ``min_length`` kept letters take
@@ -41,7 +42,7 @@ from ..runtime import Scratch, maybe_broadcast
 
 Q, THRESHOLD, MIN_LENGTH = 6, 0.5, 20
 BANDS, ROWS, MEETINGS = 160, 4, 2
-BUCKETS = 1 << 16
+BUCKET_BITS, RANGES = 20, 8
 #: Index entries that one task joins at best, and that a map task packs at a time.
 PART_ENTRIES, PACK_ENTRIES = 1_500_000, 2_000_000
 #: Candidates that a list join expands at a time.
@@ -76,7 +77,7 @@ def base_genes(names: Column) -> Column:
 class Sets:
     """The distinct grams of a batch of texts: ``gram`` grouped by text, ``start``/``size`` of each text."""
 
-    def __init__(self, texts: pa.Array, q: int, rank: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, q: int, level: np.ndarray | None = None):
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
         off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -92,8 +93,8 @@ class Sets:
         row = np.repeat(np.arange(len(length)), count)
         at = np.repeat(off[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum())) if len(count) else count
         gram = gram[at]
-        # one 64-bit key: text (16 bits), rarity of the gram's bucket (16), gram
-        high = rank[bucket(gram)].astype(np.uint64) << np.uint64(5 * q) if rank is not None else np.uint64(0)
+        # one 64-bit key: text (16 bits), level of the gram's bucket (16), gram
+        high = level[bucket(gram)].astype(np.uint64) << np.uint64(5 * q) if level is not None else np.uint64(0)
         key = np.sort((row.astype(np.uint64) << np.uint64(5 * q + 16)) | high | gram)
         key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
         self.row = (key >> np.uint64(5 * q + 16)).astype(np.int64)
@@ -125,7 +126,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def bucket(gram: np.ndarray) -> np.ndarray:
-    return (mix(gram) >> np.uint64(48)).astype(np.int64)
+    return (mix(gram) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a fine logarithmic scale of 16 bits; their order is the order of the grams."""
+    return (np.log2(counts + 1.0) * 1600).astype(np.uint16)
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -170,9 +176,9 @@ def _needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
-def _entries(batch: pa.RecordBatch, q: int, t: float, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+def _entries(batch: pa.RecordBatch, q: int, t: float, level: np.ndarray) -> tuple[np.ndarray, ...]:
     """(token, text, position, kind) of the batch's index entries; kind 2: band, 1: index and probe, 0: probe only."""
-    s = Sets(batch.column(1), q, rank)
+    s = Sets(batch.column(1), q, level)
     by_prefix, by_band = s.routes()
     own = np.arange(len(s.row)) - s.start[s.row]
     size = s.size[s.row]
@@ -191,7 +197,7 @@ def _entries(batch: pa.RecordBatch, q: int, t: float, rank: np.ndarray) -> tuple
     )
 
 
-def _pack(ids: np.ndarray, size: np.ndarray, token, row, pos, kind) -> bytes:
+def _pack(ids: np.ndarray, mask: np.ndarray, size: np.ndarray, token, row, pos, kind) -> bytes:
     """One index block: its texts once, then entries sorted by token, column by column."""
     order = np.argsort(token, kind="stable")
     token, row, pos, kind = token[order], row[order], pos[order], kind[order]
@@ -200,7 +206,7 @@ def _pack(ids: np.ndarray, size: np.ndarray, token, row, pos, kind) -> bytes:
     gap = np.diff(token, prepend=np.uint64(0))
     planes = gap.view(np.uint8).reshape(-1, 8)[:, :6].T
     local = local.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T
-    raw = b"".join(x.tobytes() for x in (head, ids[used], size[used].astype(np.uint32), planes, local, pos.astype(np.uint32), kind))
+    raw = b"".join(x.tobytes() for x in (head, ids[used], mask[used], size[used].astype(np.uint32), planes, local, pos.astype(np.uint32), kind))
     return zstandard.compress(raw, 1)
 
 
@@ -215,22 +221,23 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         at += out.nbytes
         return out
 
-    ids, size = take(np.int64, n_ids), take(np.uint32, n_ids).astype(np.int64)
+    ids, mask, size = take(np.int64, n_ids), take(np.int64, n_ids), take(np.uint32, n_ids).astype(np.int64)
     gap = np.zeros((n, 8), np.uint8)
     gap[:, :6] = take(np.uint8, 6 * n).reshape(6, n).T
     local = np.zeros((n, 4), np.uint8)
     local[:, :3] = take(np.uint8, 3 * n).reshape(3, n).T
     local = local.view(np.uint32).ravel()
     pos, kind = take(np.uint32, n).astype(np.int64), take(np.uint8, n)
-    return np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64), ids[local], size[local], pos, kind
+    return np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64), ids[local], size[local], pos, kind, mask[local]
 
 
-def _index(q: int, t: float, rank, parts: int):
+def _index(q: int, t: float, level, parts: int):
     def run(batches):
         held, count = [], 0
 
         def flush():
             ids = np.concatenate([h[0] for h in held])
+            mask = np.concatenate([h[2] for h in held])
             shift = np.concatenate(([0], np.cumsum([len(h[0]) for h in held])[:-1]))
             token, row, pos, kind, size = (np.concatenate([h[1][k] + (shift[j] if k == 1 else 0) for j, h in enumerate(held)]) for k in range(5))
             kind = kind.astype(np.uint8)
@@ -242,13 +249,13 @@ def _index(q: int, t: float, rank, parts: int):
                 mine = order[cut[p] : cut[p + 1]]
                 if len(mine):
                     where.append(p)
-                    blobs.append(_pack(ids, size, token[mine], row[mine], pos[mine], kind[mine]))
+                    blobs.append(_pack(ids, mask, size, token[mine], row[mine], pos[mine], kind[mine]))
             return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
         for batch in batches:
             for piece in pieces(batch, 1):
-                e = _entries(piece, q, t, rank.value)
-                held.append((piece.column(0).to_numpy(zero_copy_only=False), e))
+                e = _entries(piece, q, t, level.value)
+                held.append((piece.column(0).to_numpy(zero_copy_only=False), e, piece.column(2).to_numpy(zero_copy_only=False)))
                 count += len(e[0])
                 if count >= PACK_ENTRIES:
                     yield flush()
@@ -259,19 +266,19 @@ def _index(q: int, t: float, rank, parts: int):
     return run
 
 
-def join_lists(token, ids, size, pos, kind, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def join_lists(token, ids, size, pos, kind, mask, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(text a, text b, weight) of the candidates of one part, in chunks."""
     for band in (False, True):
         mine = np.flatnonzero((kind == 2) == band)
         if not len(mine):
             continue
         order = mine[np.lexsort((ids[mine], pos[mine], size[mine], token[mine]))]
-        tk, sz, ps, iv, kd = token[order], size[order], pos[order], ids[order], kind[order]
+        tk, sz, ps, iv, kd, mk = (x[order] for x in (token, size, pos, ids, kind, mask))
         # a list of one text answers nothing
         fresh = np.concatenate(([True], tk[1:] != tk[:-1]))
         run = np.cumsum(fresh) - 1
         many = np.bincount(run)[run] > 1
-        tk, sz, ps, iv, kd = tk[many], sz[many], ps[many], iv[many], kd[many]
+        tk, sz, ps, iv, kd, mk = (x[many] for x in (tk, sz, ps, iv, kd, mk))
         if not len(tk):
             continue
         stored = np.flatnonzero(kd >= 1)
@@ -305,11 +312,11 @@ def join_lists(token, ids, size, pos, kind, t: float) -> Iterator[tuple[np.ndarr
                 probe, blk, need = probe[fits], blk[fits], need[fits]
                 stop = np.searchsorted(pos_key, blk * wide + (b_size[blk] - need), "right")
             count = np.maximum(stop - head[blk], 0)
-            yield from _pairs(probe, head[blk], count, stored, iv, sz, 1 if band else MEETINGS)
+            yield from _pairs(probe, head[blk], count, stored, iv, sz, mk, 1 if band else MEETINGS)
             at = to
 
 
-def _pairs(probe, start, count, stored, ids, size, weight) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _pairs(probe, start, count, stored, ids, size, mask, weight) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     total = np.concatenate(([0], np.cumsum(count)))
     at = 0
     while at < len(count):
@@ -319,7 +326,7 @@ def _pairs(probe, start, count, stored, ids, size, weight) -> Iterator[tuple[np.
         right = stored[np.repeat(start[at:to] - (total[at:to] - total[at]), n) + np.arange(int(n.sum()))]
         a, b = ids[left], ids[right]
         # each pair once: the stored set is the smaller one, ties by id
-        keep = (size[right] < size[left]) | (b < a)
+        keep = ((size[right] < size[left]) | (b < a)) & ((mask[left] & mask[right]) != 0)
         a, b = a[keep], b[keep]
         yield np.minimum(a, b), np.maximum(a, b), weight
         at = to
@@ -330,7 +337,7 @@ def _join(t: float):
         blobs = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
         if not blobs:
             return
-        columns = [np.concatenate([b[k] for b in blobs]) for k in range(5)]
+        columns = [np.concatenate([b[k] for b in blobs]) for k in range(6)]
         del blobs
         for a, b, weight in join_lists(*columns, t):
             if not len(a):
@@ -364,6 +371,11 @@ def _verify(q: int, t: float):
     return run
 
 
+def _bit(gene: Column) -> Column:
+    """One of 64 bits for a gene."""
+    return F.element_at(F.array(*[F.lit((1 << k) if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)]), F.pmod(F.xxhash64(gene), F.lit(64)).cast("int") + 1)
+
+
 class NearPairs:
     """The join over ``df``; ``members`` holds every record's class, ``links`` the pairs of classes."""
 
@@ -374,37 +386,47 @@ class NearPairs:
         kept = kept.filter(F.col("k").isNotNull() & (F.length("s") >= max(q, min_length)))
         kept = kept.withColumns({"c": F.xxhash64("s"), "c2": F.xxhash64(F.lit(1), F.reverse("s"))})
         self.members = kept.select("k", "c", "c2", "genes")
-        texts = scratch.table(kept.groupBy("c", "c2", "s").agg(F.lit(1).alias("x")).drop("x"), "texts")
+        bits = F.aggregate("genes", F.lit(0).cast("bigint"), lambda acc, g: acc.bitwiseOR(_bit(g)))
+        texts = scratch.table(kept.withColumn("mask", F.when(F.size("genes") > 0, bits).otherwise(F.lit(-1).cast("bigint"))).groupBy("c", "c2", "s").agg(F.bit_or("mask").alias("mask")), "texts")
 
-        rank, grams, dense = self._ranks(texts, q)
+        counted, grams, dense = self._levels(texts, q)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(grams // 2 + dense * BANDS) // part_entries))
-        ranks = spark.sparkContext.broadcast(rank)
-        blocks = texts.select("c", "s").mapInArrow(_index(q, t, ranks, parts), "part int, block binary").repartitionById(parts, "part")
+        level = spark.sparkContext.broadcast(counted)
+        blocks = texts.select("c", "s", "mask").mapInArrow(_index(q, t, level, parts), "part int, block binary").repartitionById(parts, "part")
         met = blocks.mapInArrow(_join(t), "a bigint, b bigint, met int").groupBy("a", "b").agg(F.sum("met").alias("met"))
         candidates = scratch.table(met.filter(F.col("met") >= MEETINGS).select("a", "b"), "candidates")
         self.links = self._verified(candidates, texts, q, t)
 
-    def _ranks(self, texts: DataFrame, q: int) -> tuple[np.ndarray, int, int]:
-        """Rank of every bucket by the number of its grams over all texts, the grams, and the texts that go to bands."""
+    def _levels(self, texts: DataFrame, q: int) -> tuple[np.ndarray, int, int]:
+        """Level of every bucket by the number of its grams over all texts, the grams, and the texts that go to bands."""
+        width = (1 << BUCKET_BITS) // RANGES
 
-        def run(batches):
-            total, dense = np.zeros(BUCKETS, np.int64), 0
+        def count(batches):
+            total, dense = np.zeros(1 << BUCKET_BITS, np.int64), 0
             for batch in batches:
                 for piece in pieces(batch, 0):
                     s = Sets(piece.column(0), q)
                     by_prefix, by_band = s.routes()
-                    total += np.bincount(bucket(s.gram[by_prefix[s.row]]), minlength=BUCKETS)
+                    total += np.bincount(bucket(s.gram[by_prefix[s.row]]), minlength=len(total))
                     dense += int(by_band.sum())
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], dense))], names=["bucket", "n"])
+            packed = [zstandard.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in range(RANGES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(packed, pa.binary()), pa.array([int(total.sum())] + [0] * (RANGES - 1)), pa.array([dense] + [0] * (RANGES - 1))], names=["part", "counts", "grams", "dense"])
 
-        counted = texts.select("s").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        where, n = counted.column(0).to_numpy(), counted.column(1).to_numpy()
-        total = np.zeros(BUCKETS, np.int64)
-        total[where[where >= 0]] = n[where >= 0]
-        rank = np.empty(BUCKETS, np.int64)
-        rank[np.argsort(total, kind="stable")] = np.arange(BUCKETS)
-        return rank, int(total.sum()), int(n[where < 0].sum())
+        def merge(batches):
+            total, part, grams, dense = np.zeros(width, np.int64), None, 0, 0
+            for batch in batches:
+                for k, blob, g, d in zip(*(c.to_pylist() for c in batch.columns)):
+                    part, grams, dense = k, grams + g, dense + d
+                    total += np.frombuffer(zstandard.decompress(blob), np.int64)
+            if part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels(total).tobytes()], pa.binary()), pa.array([grams]), pa.array([dense])], names=["part", "counts", "grams", "dense"])
+
+        schema = "part int, counts binary, grams bigint, dense bigint"
+        rows = texts.select("s").mapInArrow(count, schema).repartitionById(RANGES, "part").mapInArrow(merge, schema).collect()
+        out = np.zeros(1 << BUCKET_BITS, np.uint16)
+        for r in rows:
+            out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint16)
+        return out, sum(r[2] for r in rows), sum(r[3] for r in rows)
 
     def _verified(self, candidates: DataFrame, texts: DataFrame, q: int, t: float) -> DataFrame:
         n = candidates.count()
@@ -431,7 +453,6 @@ class NearPairs:
         return every.select(F.least("ka", "kb").alias("result_a"), F.greatest("ka", "kb").alias("result_b"))
 
     def classes(self) -> DataFrame:
-        """One row per record: its class (of equal texts) and the other classes that its text is near to."""
-        both = self.links.select("a", "a2", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b")))
-        n = both.groupBy("a", "a2").agg(F.count("*").alias("links"))
-        return self.members.join(n.toDF("c", "c2", "links"), ["c", "c2"], "left").select(F.col("k").alias("result_no"), F.col("c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        """One row per record: its class (of equal texts) and the number of records it is paired with."""
+        n = self.pairs().select(F.explode(F.array("result_a", "result_b")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
+        return self.members.join(n, "k", "left").select(F.col("k").alias("result_no"), F.col("c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
