@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import maybe_broadcast
+from ..runtime import small
 
 
 def identity(query: Column, germline: Column) -> Column:
@@ -39,34 +41,93 @@ def missing_species(germlines: DataFrame, species: list[str]) -> DataFrame:
     return wanted.join(v, ["chain_type", "species"], "left_anti").select("chain_type").distinct()
 
 
-def assign_germlines(domains: DataFrame, germlines: DataFrame, keys: list[str], species: list[str] | None = None) -> DataFrame:
-    """``keys``, identity_species, v_gene, v_identity, j_gene, j_identity of each domain.
+def _order(germlines: DataFrame, names: list[str]) -> DataFrame:
+    if not names:
+        return species_order(germlines)
+    return germlines.sparkSession.createDataFrame([(s, k) for k, s in enumerate(names)], "species string, species_rank int")
 
-    ``domains`` has ``keys``, ``chain_type`` and ``state_sequence`` (128 characters).  The V gene
-    with the highest identity wins, ties by species order, then gene order; the J gene is
-    the best of the V gene's species.  Equal (chain, state sequence) domains are scored once.
-    """
-    names = [s.strip().lower() for s in species or [] if s.strip()]
-    if names:
-        order = germlines.sparkSession.createDataFrame([(s, k) for k, s in enumerate(dict.fromkeys(names))], "species string, species_rank int")
-        domains = domains.join(F.broadcast(missing_species(germlines, names)), "chain_type", "left_anti")
-    else:
-        order = species_order(germlines)
-    ask = domains.select("chain_type", "state_sequence").distinct()
+
+def _score_by_join(ask: DataFrame, germlines: DataFrame, order: DataFrame) -> DataFrame:
+    """Best genes of distinct (chain_type, state_sequence), for gene tables of any size: joins and argmax by struct."""
     v = germlines.filter("segment = 'V'").join(F.broadcast(order), "species")
-    # argmax by a struct: highest identity, then lowest species and gene ordinals
     score = lambda rank: F.struct(identity(F.col("state_sequence"), F.col("aligned_seq")).alias("identity"), (-F.col(rank)).alias("r"), (-F.col("gene_ordinal")).alias("o"))
     best_v = (
-        ask.join(maybe_broadcast(v.select("chain_type", "species", "species_rank", "gene", "gene_ordinal", "aligned_seq")), "chain_type")
+        ask.join(v.select("chain_type", "species", "species_rank", "gene", "gene_ordinal", "aligned_seq"), "chain_type")
         .groupBy("chain_type", "state_sequence")
         .agg(F.max(F.struct(score("species_rank").alias("s"), "species", "gene")).alias("v"))
         .select("chain_type", "state_sequence", F.col("v.species").alias("identity_species"), F.col("v.gene").alias("v_gene"), F.col("v.s.identity").alias("v_identity"))
     )
     j = germlines.filter("segment = 'J'").select("chain_type", F.col("species").alias("identity_species"), "gene", "gene_ordinal", "aligned_seq")
-    best = (
-        best_v.join(maybe_broadcast(j), ["chain_type", "identity_species"], "left")
+    return (
+        best_v.join(j, ["chain_type", "identity_species"], "left")
         .groupBy("chain_type", "state_sequence", "identity_species", "v_gene", "v_identity")
         .agg(F.max(F.struct(score("gene_ordinal").alias("s"), "gene")).alias("j"))
         .select("chain_type", "state_sequence", "identity_species", "v_gene", "v_identity", F.coalesce("j.gene", F.lit("")).alias("j_gene"), F.when(F.col("j.gene").isNull(), 0.0).otherwise(F.col("j.s.identity")).alias("j_identity"))
     )
-    return domains.join(best, ["chain_type", "state_sequence"]).select(*keys, "identity_species", "v_gene", "v_identity", "j_gene", "j_identity")
+
+
+class _Genes:
+    """Genes of one segment, chain (and species) as a letter matrix in order of preference."""
+
+    def __init__(self, rows: list):
+        self.species, self.gene = [r.species for r in rows], [r.gene for r in rows]
+        self.letters = np.array([list(r.aligned_seq[:128].ljust(128, "-").encode()) for r in rows], np.uint8)
+        self.filled = self.letters != ord("-")
+        self.size = np.maximum(self.filled.sum(axis=1), 1)
+
+    def best(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gene, identity) of each row of letters; the first of equal genes wins."""
+        at, top = np.zeros(len(query), np.int64), np.zeros(len(query))
+        for k in range(0, len(query), 256):
+            same = ((query[k : k + 256, None, :] == self.letters[None]) & self.filled[None]).sum(axis=2) / self.size
+            at[k : k + 256], top[k : k + 256] = same.argmax(axis=1), same.max(axis=1)
+        return at, top
+
+
+BEST = "chain_type string, state_sequence string, identity_species string, v_gene string, v_identity double, j_gene string, j_identity double"
+
+
+def _score_by_matrix(ask: DataFrame, germlines: DataFrame, order: DataFrame) -> DataFrame:
+    """The same from a gene table that was found small: letter matrices, broadcast."""
+    v = germlines.filter("segment = 'V'").join(F.broadcast(order), "species").orderBy("species_rank", "gene_ordinal").collect()
+    j = germlines.filter("segment = 'J'").orderBy("gene_ordinal").collect()
+    chains = sorted({r.chain_type for r in v})
+    table_v = {c: _Genes([r for r in v if r.chain_type == c]) for c in chains}
+    table_j = {k: _Genes([r for r in j if (r.chain_type, r.species) == k]) for k in {(r.chain_type, r.species) for r in j}}
+    genes = ask.sparkSession.sparkContext.broadcast((table_v, table_j))
+
+    def run(batches):
+        tv, tj = genes.value
+        for pdf in batches:
+            for chain, part in pdf.groupby("chain_type"):
+                if chain not in tv:
+                    continue
+                q = np.array([list(s[:128].ljust(128, "-").encode()) for s in part["state_sequence"]], np.uint8)
+                at, top = tv[chain].best(q)
+                species = np.array([tv[chain].species[k] for k in at])
+                out = pd.DataFrame({"chain_type": chain, "state_sequence": part["state_sequence"].to_numpy(), "identity_species": species, "v_gene": [tv[chain].gene[k] for k in at], "v_identity": top, "j_gene": "", "j_identity": 0.0})
+                for sp in np.unique(species):
+                    rows = np.flatnonzero(species == sp)
+                    if (chain, sp) in tj:
+                        ja, jt = tj[chain, sp].best(q[rows])
+                        out.loc[rows, "j_gene"] = [tj[chain, sp].gene[k] for k in ja]
+                        out.loc[rows, "j_identity"] = jt
+                yield out
+
+    return ask.mapInPandas(run, BEST)
+
+
+def assign_germlines(domains: DataFrame, germlines: DataFrame, keys: list[str], species: list[str] | None = None) -> DataFrame:
+    """``keys``, identity_species, v_gene, v_identity, j_gene, j_identity of each domain.
+
+    ``domains`` has ``keys``, ``chain_type`` and ``state_sequence`` (128 characters).  The V gene
+    with the highest identity wins, ties by species order, then gene order; the J gene is
+    the best of the V gene's species.  Equal (chain, state sequence) domains are scored once.
+    An asked species without V genes for a chain leaves that chain without assignment.
+    """
+    names = list(dict.fromkeys(s.strip().lower() for s in species or [] if s.strip()))
+    if names:
+        domains = domains.join(F.broadcast(missing_species(germlines, names)), "chain_type", "left_anti")
+    ask = domains.select("chain_type", "state_sequence").filter("chain_type is not null and state_sequence is not null").distinct()
+    score = _score_by_matrix if small(germlines, germlines.count(), 256) else _score_by_join
+    return domains.join(score(ask, germlines, _order(germlines, names)), ["chain_type", "state_sequence"]).select(*keys, "identity_species", "v_gene", "v_identity", "j_gene", "j_identity")
