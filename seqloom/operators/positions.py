@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import position_label
+from ..functions.sequence import let
 from ..runtime import maybe_broadcast
 
 KEYS = ("result_no", "domain_pos")
@@ -53,11 +54,15 @@ def aligned_texts(rows: DataFrame, filler: str = "-", value: str = "amino_acid")
     """``aligned`` text of every domain over the union of positions, all of one length."""
     union = position_union(rows)
     order = union.select("position", "insertion", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("position", "max_rank", "first_seen")) - 1).alias("place"))
-    n = union.agg(F.count("*").alias("n"))
-    placed = rows.join(maybe_broadcast(order), ["position", "insertion"])
-    cells = placed.groupBy(*KEYS).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("place", F.col(value))))).alias("cells"))
-    width = n.first()[0]
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(0, width - 1))), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(filler))), "")
+    width = union.count()
+    placed = rows.join(maybe_broadcast(order, width), ["position", "insertion"])
+    cells = placed.groupBy(*KEYS).agg(F.sort_array(F.collect_set(F.struct("place", F.col(value).alias("v")))).alias("cells"))
+
+    def piece(all_cells):
+        before = lambda i: F.when(i > 0, F.get(all_cells, i - 1)["place"]).otherwise(-1)
+        return lambda x, i: F.when(x["place"] > before(i), F.concat(F.repeat(F.lit(filler), x["place"] - before(i) - 1), F.coalesce(x["v"], F.lit(filler)))).otherwise("")
+
+    text = let(F.col("cells"), lambda c: F.concat(F.array_join(F.transform(c, piece(c)), ""), F.repeat(F.lit(filler), F.lit(width - 1) - F.element_at(c, -1)["place"])))
     return cells.select(*KEYS, text.alias("aligned"))
 
 

@@ -16,4 +16,5 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return document_queries.p3_found(spark, sf_dir)
+    """The whole numbering pipeline."""
+    return hit_queries.number_sequences(spark, sf_dir)
