@@ -354,18 +354,28 @@ def _join(t: float):
 # -- verification -------------------------------------------------------------------------------
 
 
+def _spread(texts: pa.Array, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair and gram as one ascending key, set size of each pair); every distinct text is cut once."""
+    coded = texts.dictionary_encode()
+    sets, row = Sets(coded.dictionary, q), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    size = sets.size[row]
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    at = np.repeat(sets.start[row] - first, size) + np.arange(int(size.sum()))
+    return (np.repeat(np.arange(len(row)), size).astype(np.uint64) << np.uint64(5 * q)) | sets.gram[at], size
+
+
 def _verify(q: int, t: float):
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, 4, 1_000_000):
-                a, b = Sets(piece.column(4), q), Sets(piece.column(5), q)
-                shift = np.uint64(5 * q)
-                ka, kb = (a.row.astype(np.uint64) << shift) | a.gram, (b.row.astype(np.uint64) << shift) | b.gram
-                both = np.intersect1d(ka, kb, assume_unique=True)
-                overlap = np.bincount((both >> shift).astype(np.int64), minlength=piece.num_rows)
-                ok = np.flatnonzero((overlap >= _needed(a.size, b.size, t)) & (overlap > 0))
+                (ka, na), (kb, nb) = _spread(piece.column(4), q), _spread(piece.column(5), q)
+                both = np.concatenate((ka, kb))
+                both.sort(kind="stable")  # two ascending runs: one merge
+                same = both[1:][both[1:] == both[:-1]]
+                overlap = np.bincount((same >> np.uint64(5 * q)).astype(np.int64), minlength=piece.num_rows)
+                ok = np.flatnonzero((overlap >= _needed(na, nb, t)) & (overlap > 0))
                 if len(ok):
-                    sim = overlap[ok] / (a.size[ok] + b.size[ok] - overlap[ok])
+                    sim = overlap[ok] / (na[ok] + nb[ok] - overlap[ok])
                     yield pa.RecordBatch.from_arrays([*[piece.column(k).take(pa.array(ok)) for k in range(4)], pa.array(sim)], names=["a", "a2", "b", "b2", "similarity"])
 
     return run
