@@ -154,17 +154,22 @@ def signatures(s: Sets, rows: np.ndarray, bands: int = BANDS, per_band: int = RO
     factor = rng.integers(0, 2**31, bands * per_band, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
     out = np.zeros((len(rows), bands), np.uint64)
     base = (mix(s.gram) >> np.uint64(32)).astype(np.uint32)
-    step = 256  # texts at a time, so that their grams stay in the cache
+    step = 128  # texts at a time, so that their grams stay in the cache
     for at in range(0, len(rows), step):
         mine = rows[at : at + step]
         size = s.size[mine]
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
         g = base[np.repeat(s.start[mine] - first, size) + np.arange(int(size.sum()))]
-        for b in range(bands):
-            key = np.full(len(mine), b + 1, np.uint64)
-            for k in range(b * per_band, (b + 1) * per_band):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((g ^ flip[k]) * factor[k], first))
-            out[at : at + len(mine), b] = key >> np.uint64(24)
+        hashed, least = np.empty_like(g), np.empty((bands * per_band, len(mine)), np.uint32)
+        for k in range(bands * per_band):
+            np.bitwise_xor(g, flip[k], out=hashed)
+            np.multiply(hashed, factor[k], out=hashed)
+            np.minimum.reduceat(hashed, first, out=least[k])
+        least = least.reshape(bands, per_band, len(mine))
+        key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(mine), axis=1)
+        for k in range(per_band):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+        out[at : at + len(mine)] = (key >> np.uint64(24)).T
     return out
 
 
@@ -201,7 +206,8 @@ def _pack(ids: np.ndarray, mask: np.ndarray, size: np.ndarray, token, row, pos,
     """One index block: its texts once, then entries sorted by token, column by column."""
     order = np.argsort(token, kind="stable")
     token, row, pos, kind = token[order], row[order], pos[order], kind[order]
-    used, local = np.unique(row, return_inverse=True)
+    seen = np.bincount(row) > 0
+    used, local = np.flatnonzero(seen), (np.cumsum(seen) - 1)[row]
     head = np.array([len(used), len(token)], np.int64)
     gap = np.diff(token, prepend=np.uint64(0))
     planes = gap.view(np.uint8).reshape(-1, 8)[:, :6].T
@@ -241,9 +247,9 @@ def _index(q: int, t: float, level, parts: int):
             shift = np.concatenate(([0], np.cumsum([len(h[0]) for h in held])[:-1]))
             token, row, pos, kind, size = (np.concatenate([h[1][k] + (shift[j] if k == 1 else 0) for j, h in enumerate(held)]) for k in range(5))
             kind = kind.astype(np.uint8)
-            part = (mix(token.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            part = (mix(token.astype(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            cut = np.searchsorted(part[order].astype(np.int64), np.arange(parts + 1))
             where, blobs = [], []
             for p in range(parts):
                 mine = order[cut[p] : cut[p + 1]]
@@ -270,17 +276,17 @@ def join_lists(token, ids, size, pos, kind, mask, t: float) -> Iterator[tuple[np
     """(text a, text b, weight) of the candidates of one part, in chunks."""
     for band in (False, True):
         mine = np.flatnonzero((kind == 2) == band)
+        if not len(mine):
+            continue
+        # a list of one text answers nothing; most grams are such, so they go before the full sort
+        by_token = mine[np.argsort(token[mine], kind="stable")]
+        edge = np.flatnonzero(np.concatenate(([True], token[by_token][1:] != token[by_token][:-1], [True])))
+        length = np.diff(edge)
+        mine = by_token[np.repeat(length > 1, length)]
         if not len(mine):
             continue
         order = mine[np.lexsort((ids[mine], pos[mine], size[mine], token[mine]))]
         tk, sz, ps, iv, kd, mk = (x[order] for x in (token, size, pos, ids, kind, mask))
-        # a list of one text answers nothing
-        fresh = np.concatenate(([True], tk[1:] != tk[:-1]))
-        run = np.cumsum(fresh) - 1
-        many = np.bincount(run)[run] > 1
-        tk, sz, ps, iv, kd, mk = (x[many] for x in (tk, sz, ps, iv, kd, mk))
-        if not len(tk):
-            continue
         stored = np.flatnonzero(kd >= 1)
         # blocks of the stored entries: runs of equal token and size, sorted by position
         key_new = np.concatenate(([True], (tk[stored][1:] != tk[stored][:-1]) | (sz[stored][1:] != sz[stored][:-1])))
