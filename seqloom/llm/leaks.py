@@ -3,11 +3,11 @@
 Texts become sequences of word hashes.  Every window of ``window`` words, of items and of
 documents alike, is embedded by a random walk (CGK: step j emits the current symbol and
 moves on if a random bit of (j, symbol) says so), which turns edit distance between
-windows into Hamming distance between walks.  Each of ``repetitions`` tables hashes a few
-sampled positions of the walk; windows that meet in a table are verified exactly: word by
+windows into Hamming distance between walks.  Each table has a walk of its own and hashes a few
+sampled positions of it; windows that meet in a table are verified exactly: word by
 word for equality, then by edit distance up to ``max_edits`` words.  Equal windows have
 equal walks, so they meet in every table and are found with certainty; windows with edits
-are found with the recall of :func:`expected_recall`.
+are found with at least the target recall, for which the number of tables is chosen.
 
 The item windows are the stated query set.  They are indexed in blocks of bounded size,
 each broadcast and held against all documents in one map stage: documents are never
@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, MAX_EDITS = 12, 1
-#: LSH: tables and sampled walk positions of each.
-REPETITIONS, SAMPLES, WALK = 4, 4, 3
+#: LSH: sampled walk positions of a table, steps of the walk per word, and the recall that the
+#: number of tables is chosen for (at ``max_edits``; verbatim windows always meet).
+SAMPLES, WALK, RECALL, MOST_TABLES = 3, 2, 0.9, 24
 #: Item windows of one broadcast block (each takes (window + repetitions) * 8 bytes).
 BLOCK_WINDOWS = 100_000
 #: Document windows that are embedded at a time.
@@ -77,17 +78,14 @@ class _Hasher:
 
 
 class Embedding:
-    """The walk's random bits and the sampled positions, all from one seed."""
+    """One random walk a table, and the walk's sampled positions; all from one seed."""
 
-    def __init__(self, window: int = WINDOW, repetitions: int = REPETITIONS, samples: int = SAMPLES, seed: int = 7):
+    def __init__(self, window: int = WINDOW, repetitions: int = 1, samples: int = SAMPLES, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.window, self.repetitions, self.steps = window, repetitions, WALK * window
-        self.moves = rng.integers(1, 2**63, self.steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.factors = np.zeros((self.steps, repetitions), np.uint64)
-        for r in range(repetitions):
-            # equal symbols stay in step for the first 2 * window steps on average, so positions are drawn from there
-            chosen = rng.choice(2 * window, samples, replace=False)
-            self.factors[chosen, r] = rng.integers(1, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.window, self.repetitions, steps = window, repetitions, WALK * window
+        odd = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.moves = [odd(steps) for _ in range(repetitions)]
+        self.factors = [dict(zip(sorted(rng.choice(steps, samples, replace=False).tolist()), odd(samples))) for _ in range(repetitions)]
 
     def keys(self, w: np.ndarray) -> np.ndarray:
         """LSH keys [n, repetitions] of windows [n, window] of word hashes."""
@@ -95,31 +93,49 @@ class Embedding:
         flat = np.zeros((n, self.window + 1), np.uint64)
         flat[:, : self.window] = w
         flat = flat.ravel()
-        at = np.arange(n, dtype=np.int64) * (self.window + 1)
-        stop = at + self.window
-        out = np.zeros((n, self.repetitions), np.uint64)
-        for j in range(2 * self.window):
-            symbol = flat[at]
-            for r in range(self.repetitions):
-                if self.factors[j, r]:
-                    mixed = symbol * self.factors[j, r]
-                    out[:, r] += mixed ^ (mixed >> np.uint64(29))
-            at += ((symbol * self.moves[j]) >> np.uint64(63)).astype(np.int64)
-            np.minimum(at, stop, out=at)
-        return out
-
-
-def expected_recall(edits: int, trials: int = 4000, window: int = WINDOW, repetitions: int = REPETITIONS, samples: int = SAMPLES) -> float:
-    """Measured share of window pairs with so many random word substitutions that meet in a table."""
+        begin = np.arange(n, dtype=np.int64) * (self.window + 1)
+        stop = begin + self.window
+        out = np.zeros((self.repetitions, n), np.uint64)
+        for r in range(self.repetitions):
+            at = begin.copy()
+            for j in range(max(self.factors[r]) + 1):
+                symbol = flat[at]
+                if j in self.factors[r]:
+                    mixed = symbol * self.factors[r][j]
+                    out[r] += mixed ^ (mixed >> np.uint64(29))
+                at += ((symbol * self.moves[r][j]) >> np.uint64(63)).astype(np.int64)
+                np.minimum(at, stop, out=at)
+        return out.T
+
+
+def expected_recall(edits: int, repetitions: int, trials: int = 2000, window: int = WINDOW, samples: int = SAMPLES) -> float:
+    """Measured share of pairs of random windows, so many words apart, that meet in a table."""
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, (trials, window), dtype=np.uint64)
-    b = a.copy()
+    b = np.empty_like(a)
     for k in range(trials):
-        b[k, rng.choice(window, edits, replace=False)] = rng.integers(1, 2**63, edits, dtype=np.uint64)
+        text = a[k].tolist()
+        for _ in range(edits):
+            what, at, word = rng.integers(3), int(rng.integers(len(text))), int(rng.integers(1, 2**63))
+            if what == 0:
+                text[at] = word
+            elif what == 1:
+                text = [*text[:at], *text[at + 1 :], word]  # the window takes in the next word instead
+            else:
+                text = [*text[:at], word, *text[at:]][:window]
+        b[k] = text
     e = Embedding(window, repetitions, samples)
     return float((e.keys(a) == e.keys(b)).any(axis=1).mean())
 
 
+@lru_cache(16)
+def tables_for(edits: int, recall: float = RECALL, window: int = WINDOW, samples: int = SAMPLES) -> int:
+    """Least number of tables (up to ``MOST_TABLES``) with this recall."""
+    if not edits:
+        return 1
+    return next((r for r in range(1, MOST_TABLES) if expected_recall(edits, r, window=window, samples=samples) >= recall), MOST_TABLES)
+
+
 def _windows(texts: list, hasher: _Hasher, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all word hashes, start of every window, row of every window)."""
     lists = [hasher(t) for t in texts]
@@ -234,6 +250,7 @@ def find_leaks(
     window: int = WINDOW,
     max_edits: int = MAX_EDITS,
     block_windows: int = BLOCK_WINDOWS,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``doc_id, item_id, edits, windows``: documents that hold a passage of an item.
 
@@ -241,7 +258,7 @@ def find_leaks(
     ``windows`` the number of matching window pairs.
     """
     spark = docs.sparkSession
-    embedding = Embedding(window)
+    embedding = Embedding(window, tables_for(max_edits, recall, window))
     queries = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null")
     # half the characters bound the number of words, and so of windows
     size = queries.agg(F.sum(F.length("t")) / 2).first()[0] or 0

@@ -288,6 +288,8 @@ def join_lists(token, ids, size, pos, kind, mask, t: float) -> Iterator[tuple[np
         order = mine[np.lexsort((ids[mine], pos[mine], size[mine], token[mine]))]
         tk, sz, ps, iv, kd, mk = (x[order] for x in (token, size, pos, ids, kind, mask))
         stored = np.flatnonzero(kd >= 1)
+        if not len(stored):
+            continue
         # blocks of the stored entries: runs of equal token and size, sorted by position
         key_new = np.concatenate(([True], (tk[stored][1:] != tk[stored][:-1]) | (sz[stored][1:] != sz[stored][:-1])))
         head = np.flatnonzero(key_new)

@@ -17,6 +17,7 @@ counts as no record; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import shutil
 import uuid
 
 import pyarrow as pa
@@ -121,6 +122,8 @@ def _aggregate(spill: str | None):
             yield from con.execute(_COUNT).to_arrow_reader(20_000)
         finally:
             con.close()
+            if own:
+                shutil.rmtree(own, ignore_errors=True)
 
     return run
 
