@@ -28,6 +28,14 @@ for _b in b" \t\r\n":
     _CLASS[_b] = _WS
 _STRUCT = np.isin(np.arange(256), np.frombuffer(b'{}[]:,"', np.uint8))
 _NONWS = _CLASS != _WS
+
+
+def _of(*kinds: int) -> np.ndarray:
+    return np.isin(np.arange(16), kinds)
+
+
+_OPENS, _CLOSES = _of(OPEN_OBJ, OPEN_ARR), _of(CLOSE_OBJ, CLOSE_ARR)
+_STARTS, _ENDS = _of(STRING, SCALAR, OPEN_OBJ, OPEN_ARR), _of(SCALAR, CLOSE_OBJ, CLOSE_ARR)
 #: Nesting beyond this many levels is indexed by the slow path, level by level costs grow with depth.
 MAX_LEVELS = 64
 
@@ -44,12 +52,13 @@ class JsonIndex:
         marks = np.flatnonzero(_STRUCT[buf])
         if len(self.escaped):
             marks = marks[~np.isin(marks, self.escaped, assume_unique=True)]
-        doc = np.searchsorted(offsets, marks, side="right") - 1
+        first = np.searchsorted(marks, offsets)
+        doc = np.repeat(np.arange(n_docs), np.diff(first))
+        first = first[:-1]
         kind = cls[marks]
         quote = kind == _QUOTE
         # parity of the quotes before each mark, counted afresh in every document
         before = np.cumsum(quote) - quote
-        first = np.searchsorted(marks, offsets[:-1])
         base = np.concatenate((before, [int(quote.sum())]))[first]
         inside = ((before - base[doc]) & 1).astype(bool)
         odd = np.bincount(doc[quote], minlength=n_docs) & 1
@@ -118,9 +127,10 @@ class JsonIndex:
     def _with_scalars(self, pos, end, kind, doc) -> None:
         """Add the numbers and literals, which stand in the gaps between the other tokens."""
         buf, offsets, n_docs = self.buf, self.offsets, len(self.offsets) - 1
-        solid = np.flatnonzero(_NONWS[buf])
-        count = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(_NONWS[buf], out=count[1:])
+        filled = _NONWS[buf]
+        solid = np.flatnonzero(filled)
+        count = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(filled, out=count[1:])
         # gaps: from each token's end to the next token of the same document (or its end), and before the first token
         first = np.searchsorted(doc, np.arange(n_docs))
         has = np.bincount(doc, minlength=n_docs) > 0
@@ -138,12 +148,19 @@ class JsonIndex:
         s0, s1 = solid[count[g0[at]]], solid[count[g1[at]] - 1] + 1
         self.valid[gd[at][s1 - s0 != full[at]]] = False
         self._check_scalars(s0, s1, gd[at])
-        pos = np.concatenate((pos, s0))
-        order = np.argsort(pos, kind="stable")
-        self.pos = pos[order]
-        self.end = np.concatenate((end, s1))[order]
-        self.kind = np.concatenate((kind, np.full(len(at), SCALAR, kind.dtype)))[order]
-        self.doc = np.concatenate((doc, gd[at]))[order]
+        # both token lists ascend, so each scalar's place in the merged list is known
+        order = np.argsort(s0, kind="stable")
+        s0, s1, gd = s0[order], s1[order], gd[at][order]
+        place = np.searchsorted(pos, s0) + np.arange(len(s0))
+        old = np.ones(len(pos) + len(s0), bool)
+        old[place] = False
+
+        def merged(a: np.ndarray, b) -> np.ndarray:
+            out = np.empty(len(old), a.dtype)
+            out[old], out[place] = a, b
+            return out
+
+        self.pos, self.end, self.kind, self.doc = merged(pos, s0), merged(end, s1), merged(kind, SCALAR), merged(doc, gd)
 
     def _check_scalars(self, s0, s1, doc) -> None:
         buf, length = self.buf, s1 - s0
@@ -165,9 +182,8 @@ class JsonIndex:
 
     def _levels(self) -> None:
         kind, doc, n_docs = self.kind, self.doc, len(self.offsets) - 1
-        opens = (kind == OPEN_OBJ) | (kind == OPEN_ARR)
-        closes = (kind == CLOSE_OBJ) | (kind == CLOSE_ARR)
-        step = opens.astype(np.int64) - closes
+        opens, closes = _OPENS[kind], _CLOSES[kind]
+        step = opens.astype(np.int32) - closes
         run = np.cumsum(step)
         first = np.searchsorted(doc, np.arange(n_docs))
         before = np.concatenate(([0], run))
@@ -181,17 +197,25 @@ class JsonIndex:
         deep[doc[level >= MAX_LEVELS]] = True
         self.deep = deep & self.valid
         self.valid &= ~deep
-        idx = np.arange(len(kind))
         self.parent = np.full(len(kind), -1)
         self.match = np.full(len(kind), -1)
         use = self.valid[doc]
-        for k in range(int(level[use].max(initial=0)) + 1):
-            mine = opens & (level == k) & use
-            latest = np.maximum.accumulate(np.where(mine, idx, -1))
-            child = (level == k + 1) & use
-            self.parent[child] = latest[child]
-            shut = closes & (level == k) & use
-            self.match[shut] = latest[shut]
+        # tokens level by level: a token's holder, and a closing bracket's opener, is the last opener before it one level up
+        usable = np.flatnonzero(use)
+        rank = np.clip(level[usable], 0, MAX_LEVELS + 1).astype(np.uint8)
+        order = usable[np.argsort(rank, kind="stable")]
+        cut = np.concatenate((np.searchsorted(level[order], np.arange(int(rank.max(initial=0)) + 1)), [len(order)]))
+        above = np.zeros(0, np.int64)
+        for k in range(len(cut) - 1):
+            mine = order[cut[k] : cut[k + 1]]
+            if len(above):
+                at = np.searchsorted(above, mine) - 1
+                self.parent[mine] = np.where(at >= 0, above[np.maximum(at, 0)], -1)
+            own, shut = mine[opens[mine]], mine[closes[mine]]
+            if len(own) and len(shut):
+                at = np.searchsorted(own, shut) - 1
+                self.match[shut] = np.where(at >= 0, own[np.maximum(at, 0)], -1)
+            above = own
         self.level = level
         stray = use & (((level > 0) & (self.parent < 0)) | (closes & (self.match < 0)))
         self.valid[doc[stray]] = False
@@ -210,8 +234,8 @@ class JsonIndex:
         comma_in = lambda k: (prev == COMMA) & (holder == k)
         self.is_key = (kind == STRING) & ((prev == OPEN_OBJ) | comma_in(OPEN_OBJ))
         prev_key = np.concatenate(([False], self.is_key[:-1])) & (prev != 0)
-        ended = np.isin(prev, (SCALAR, CLOSE_OBJ, CLOSE_ARR)) | ((prev == STRING) & ~prev_key)
-        starts = np.isin(kind, (STRING, SCALAR, OPEN_OBJ, OPEN_ARR))
+        ended = _ENDS[prev] | ((prev == STRING) & ~prev_key)
+        starts = _STARTS[kind]
         ok = np.zeros(n, bool)
         ok |= starts & ((prev == 0) | (prev == COLON) | (prev == OPEN_ARR) | comma_in(OPEN_ARR))
         ok |= self.is_key

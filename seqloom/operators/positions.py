@@ -50,9 +50,9 @@ def wide_positions(rows: DataFrame, labels: list[str] | None = None) -> DataFram
     return labelled.groupBy(*KEYS).pivot("label", labels).agg(F.first("amino_acid")).na.fill("-")
 
 
-def aligned_texts(rows: DataFrame, filler: str = "-", value: str = "amino_acid") -> DataFrame:
-    """``aligned`` text of every domain over the union of positions, all of one length."""
-    union = position_union(rows)
+def aligned_texts(rows: DataFrame, filler: str = "-", value: str = "amino_acid", union: DataFrame | None = None) -> DataFrame:
+    """``aligned`` text of every domain over a union of positions (its own by default), all of one length."""
+    union = position_union(rows) if union is None else union
     order = union.select("position", "insertion", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("position", "max_rank", "first_seen")) - 1).alias("place"))
     width = union.count()
     placed = rows.join(maybe_broadcast(order, width), ["position", "insertion"])

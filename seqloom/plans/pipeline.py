@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -146,5 +146,5 @@ def number_sequences(records: DataFrame, profiles: list[Profile], germlines: Dat
     d = numbered_domains(records, profiles, germlines, **options)
     fields = [c for c in d.columns if c != "key"]
     nested = d.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: a["domain_index"] - b["domain_index"]).alias("domains"))
-    empty = F.slice(F.array(F.lit(None)), 1, 0).cast(nested.schema["domains"].dataType)
+    empty = F.from_json(F.lit("[]"), nested.schema["domains"].dataType)
     return records.join(nested, "key", "left").withColumn("domains", F.coalesce("domains", empty)).select("key", "id", S.normalise(F.col("sequence")).alias("sequence"), F.when(F.lower(F.trim("input_type")) == "dna", "dna").otherwise("protein").alias("input_type"), "domains")

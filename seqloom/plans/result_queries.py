@@ -120,7 +120,7 @@ def json_documents(spark, sf_dir):
 
 
 def line_reports(spark, sf_dir):
-    return X.line_report(_results(spark, sf_dir), "imgt")
+    return X.line_report(_results(spark, sf_dir))
 
 
 def json_cells(spark, sf_dir):

@@ -104,26 +104,36 @@ def csv_lines(table: DataFrame) -> DataFrame:
     return table.select(F.concat_ws(",", *[cell(c) for c in table.columns]).alias("line"))
 
 
-def line_report(results: DataFrame, scheme: str, key: str = "result_no") -> DataFrame:
-    """One text a record: headers, hit line, germline block, numbered residues, terminator."""
+# Lines of the report.
+_HIT_LINES = "# Most significant HMM hit\n#|species|chain_type|e-value|score|seqstart_index|seqend_index|\n"
+_GENE_LINES = "# Most sequence-identical germlines\n#|species|v_gene|v_identity|j_gene|j_identity|\n"
+
+
+def line_report(results: DataFrame, key: str = "result_no") -> DataFrame:
+    """One text a record: headers, hit line, germline block where anything is known, numbered residues, ``//``."""
     d = present_domains(F.col("domains"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    piped = lambda *cells: F.concat(F.lit("#|"), F.concat_ws("|", *cells), F.lit("|"))
 
     def block(x: Column, i: Column) -> Column:
-        bits = F.concat_ws("|", x["species"], x["chain_type"], x["evalue_text"], F.format_string("%.1f", x["bit_score"]), x["seq_start"].cast("string"), (x["seq_end"] - 1).cast("string"))
-        genes = F.concat_ws("|", *[F.when(F.coalesce(x[c].cast("string"), F.lit("")) == "", "unknown").otherwise(x[c].cast("string")) for c in ("identity_species", "v_gene")], F.format_string("%.2f", x["v_identity"]), F.when(x["j_gene"] == "", "unknown").otherwise(x["j_gene"]), F.format_string("%.2f", x["j_identity"]))
-        any_gene = (F.coalesce(x["identity_species"], F.lit("")) != "") | (F.coalesce(x["v_gene"], F.lit("")) != "") | (F.coalesce(x["j_gene"], F.lit("")) != "")
-        rows = F.transform(x["numbering"], lambda r: F.concat_ws(" ", x["chain_class"], F.rpad(r["position"].cast("string"), 5, " "), r["insertion"], r["amino_acid"]))
+        last = F.when(x["seq_end"] > x["seq_start"], x["seq_end"] - 1).otherwise(x["seq_end"])
+        hit = piped(text(x["species"]), text(x["chain_type"]), text(x["evalue_text"]), F.format_string("%.1f", x["bit_score"]), x["seq_start"].cast("string"), last.cast("string"))
+        gene = lambda c: F.when(text(x[c]) == "", "unknown").otherwise(x[c])
+        share = lambda c: F.format_string("%.2f", F.coalesce(x[c], F.lit(0.0)))
+        known = (F.concat(text(x["identity_species"]), text(x["v_gene"]), text(x["j_gene"])) != "") | (F.coalesce(x["v_identity"], F.lit(0.0)) != 0) | (F.coalesce(x["j_identity"], F.lit(0.0)) != 0)
+        genes = piped(text(x["identity_species"]), gene("v_gene"), share("v_identity"), gene("j_gene"), share("j_identity"))
+        rows = F.transform(x["numbering"], lambda r: F.concat_ws(" ", x["chain_class"], F.rpad(r["position"].cast("string"), 5, " "), F.when(text(r["insertion"]) == "", " ").otherwise(r["insertion"]), r["amino_acid"]))
         return F.concat_ws(
             "\n",
             F.format_string("# Domain %d of %d", i + 1, F.size(d)),
-            F.lit("#|species|chain_type|e-value|score|seqstart_index|seqend_index|"),
-            F.concat(F.lit("#|"), bits, F.lit("|")),
-            F.when(any_gene, F.concat(F.lit("# Germline genes\n#|identity_species|v_gene|v_identity|j_gene|j_identity|\n#|"), genes, F.lit("|"))),
-            F.lit(f"# Scheme = {scheme}"),
-            F.when(F.size(x["numbering"]) == 0, F.lit("# Warning: no numbering for this domain")).otherwise(F.array_join(rows, "\n")),
+            F.concat(F.lit(_HIT_LINES), hit),
+            F.when(known, F.concat(F.lit(_GENE_LINES), genes)),
+            F.concat(F.lit("# Scheme = "), text(x["scheme"])),
+            F.when(F.coalesce(F.size(x["numbering"]), F.lit(0)) <= 0, F.concat(F.lit("# Warning: "), text(x["scheme"]), F.lit(" scheme could not be applied to this sequence."))).otherwise(F.array_join(rows, "\n")),
         )
 
-    return results.select(key, F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("id", F.lit(""))), F.array_join(F.transform(d, block), "\n"), F.lit("//")).alias("report"))
+    some = F.when(F.size(d) > 0, F.concat(F.lit("# numbered\n"), F.array_join(F.transform(d, block), "\n")))
+    return results.select(key, F.concat_ws("\n", F.concat(F.lit("# "), text(F.col("id"))), some, F.lit("//")).alias("report"))
 
 
 def write_text(rows: DataFrame, column: str, path: str, *order: str) -> None:
@@ -132,18 +142,18 @@ def write_text(rows: DataFrame, column: str, path: str, *order: str) -> None:
 
 
 def aligned_fasta(results: DataFrame, key: str = "result_no", codon: bool = False) -> DataFrame:
-    """Every domain over the union of positions; with ``codon`` three letters a position (DNA records)."""
+    """Every domain over the union of all records' positions; with ``codon`` three letters a position (DNA records only)."""
     from ..operators.positions import aligned_texts
 
     kept = results.withColumn("domains", present_domains(F.col("domains")))
-    cells = residue_rows(kept, key)
+    every = cells = residue_rows(kept, key)
     rows = domain_rows(results, key)
     if codon:
         w = Window.partitionBy("result_no", "domain_pos").orderBy("idx")
         coding = _coding(rows).select(F.col(key).alias("result_no"), "domain_pos", codons(F.col("coding")).alias("_c"))
         live = cells.filter("amino_acid <> '-'").withColumn("_n", F.row_number().over(w)).join(coding, ["result_no", "domain_pos"])
         cells = live.withColumn("codon", F.coalesce(F.try_element_at("_c", F.col("_n")), F.lit("---"))).drop("_c", "_n")
-        text = aligned_texts(cells, "---", "codon")
+        text = aligned_texts(cells, "---", "codon", position_union(every))
     else:
         text = aligned_texts(cells)
     named = rows.select(F.col(key).alias("result_no"), "domain_pos", domain_label(F.coalesce("id", F.lit("")), F.col("n_domains"), F.col("domain_pos")).alias("label"))

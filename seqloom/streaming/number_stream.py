@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions import sequence as S
 from ..operators.rejects import loaded_lines, rejected_lines
 
 
-def line_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def line_stream(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """Parquet files of raw lines as they arrive."""
     return spark.readStream.schema(schema).parquet(folder)
 

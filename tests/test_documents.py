@@ -192,4 +192,4 @@ def test_lines_in_spark(spark):
 def test_span_helpers():
     assert expand(np.array([5, 1]), np.array([2, 3])).tolist() == [5, 6, 1, 2, 3]
     assert ranks(np.array([1, 1, 2, 2, 2])).tolist() == [0, 1, 0, 1, 2]
-    assert list(chunks(pa.array(["aa", "b" * 9, "", "c"]), 4)) == [(0, 1), (1, 3), (3, 4)] or sum(b - a for a, b in chunks(pa.array(["aa", "b" * 9, "", "c"]), 4)) == 4
+    assert list(chunks(pa.array(["aa", "b" * 9, "", "c"]), 4)) == [(0, 1), (1, 2), (2, 4)]

@@ -62,8 +62,8 @@ def test_chothia_heavy_loops():
     base = plain(skip=(10, 31, 32, 33, 34, 60, 61, 73))
     got = labels("chothia", "H", base)
     assert [x for x in got if 95 <= int("".join(c for c in x if c.isdigit())) <= 102] == ["95", "96", "97", "98", "99", "100", "100A", "100B", "100C", "101", "102"]
-    got = labels("chothia", "H", plain(skip=(10, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38, 24, 25, 26, 39)))
-    assert "32" not in got[:30] or True
+    # a lone residue of the first loop keeps the front label
+    assert [x for x in labels("chothia", "H", plain(skip=range(24, 38))) if 22 < int(x.strip("ABCDEFGH")) < 34] == ["23"]
     assert "52A" in labels("chothia", "H", plain(skip=(10, 73)))
 
 
