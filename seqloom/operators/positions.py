@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,71 @@ def position_union(rows: DataFrame) -> DataFrame:
     return run_ranks(rows).groupBy("position", "insertion").agg(F.max("run_rank").alias("max_rank"), F.min(F.struct("result_no", "domain_pos", "idx")).alias("first_seen"))
 
 
+def _domain_arrays(results: DataFrame, key: str) -> DataFrame:
+    """One row a domain with its positions, insertions and residues as arrays."""
+    d = results.select(F.col(key).cast("bigint").alias("result_no"), F.posexplode("domains").alias("domain_pos", "d")).filter("d is not null and size(d.numbering) > 0")
+    return d.select("result_no", "domain_pos", F.col("d.numbering.position").alias("p"), F.col("d.numbering.insertion").alias("i"), F.col("d.numbering.amino_acid").alias("a"))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list]:
+    """(domain row, place, position, insertion, residue) of all cells of a batch; cells without a position are left out."""
+    lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(batch.num_rows), lengths)
+    idx = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    pos = batch.column(2).flatten()
+    live = np.flatnonzero(pc.is_valid(pos).to_numpy(zero_copy_only=False))
+    take = pa.array(live)
+    ins = pc.fill_null(batch.column(3).flatten().take(take), " ")
+    ins = pc.if_else(pc.equal(pc.utf8_trim_whitespace(ins), ""), " ", ins)
+    return row[live], idx[live], pos.take(take).to_numpy(zero_copy_only=False), ins, batch.column(4).flatten().take(take)
+
+
+def position_union_of(results: DataFrame, key: str = "result_no") -> DataFrame:
+    """:func:`position_union` straight from the nested documents.
+
+    A domain's numbering lies whole in its row, so runs are ranked and positions gathered
+    inside the map stage; what is shuffled is a few hundred rows a task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            row, idx, pos, ins, _ = _flat(batch)
+            fresh = np.concatenate(([True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1]))) if len(row) else np.zeros(0, bool)
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(row)), 0)) if len(row) else idx
+            cells = pd.DataFrame({"position": pos, "insertion": ins.to_pandas(), "rank": np.arange(len(row)) - start})
+            cells["r"] = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            cells["d"], cells["i"] = batch.column(1).to_numpy(zero_copy_only=False)[row], idx
+            first = cells.sort_values(["r", "d", "i"], kind="stable").drop_duplicates(["position", "insertion"])
+            out = first.drop(columns="rank").merge(cells.groupby(["position", "insertion"], as_index=False)["rank"].max(), on=["position", "insertion"])
+            yield pa.RecordBatch.from_pandas(out.astype({"position": "int32", "rank": "int32", "d": "int32", "i": "int32"})[["position", "insertion", "rank", "r", "d", "i"]], preserve_index=False)
+
+    part = _domain_arrays(results, key).mapInArrow(run, "position int, insertion string, rank int, r bigint, d int, i int")
+    seen = F.struct(F.col("r").alias("result_no"), F.col("d").alias("domain_pos"), F.col("i").alias("idx"))
+    return part.groupBy("position", "insertion").agg(F.max("rank").alias("max_rank"), F.min(seen).alias("first_seen"))
+
+
+def aligned_texts_of(results: DataFrame, key: str = "result_no", filler: str = "-") -> DataFrame:
+    """:func:`aligned_texts` of residues straight from the nested documents, without a shuffle of cells.
+
+    The union of positions is bounded by the scheme's labels and travels with the tasks.
+    """
+    union = position_union_of(results, key).orderBy("position", "max_rank", "first_seen").select("position", "insertion").collect()
+    place = {(r[0], r[1]): k for k, r in enumerate(union)}
+
+    def run(batches):
+        for batch in batches:
+            row, _, pos, ins, aa = _flat(batch)
+            grid = np.full((batch.num_rows, max(1, len(place))), filler, dtype=object)
+            at = np.array([place[k] for k in zip(pos.tolist(), ins.to_pylist())], np.int64)
+            # of cells with one label the least residue stays, whatever their order
+            order = np.argsort(np.array([x if x is not None else "\U0010ffff" for x in aa.to_pylist()], dtype=object), kind="stable")[::-1]
+            grid[row[order], at[order]] = np.array([x if x is not None else filler for x in aa.to_pylist()], dtype=object)[order]
+            text = pa.array(["".join(g) for g in grid] if place else [], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["result_no", "domain_pos", "aligned"])
+
+    return _domain_arrays(results, key).mapInArrow(run, "result_no bigint, domain_pos int, aligned string")
+
+
 def union_order(union: DataFrame) -> list[str]:
     """Labels of the union's columns in order; the union is bounded by the scheme, not by the data."""
     ordered = union.orderBy("position", "max_rank", "first_seen").select(position_label(F.col("position"), F.col("insertion")).alias("l"))

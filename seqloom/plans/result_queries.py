@@ -56,7 +56,7 @@ def _cells(spark, sf_dir) -> DataFrame:
 
 
 def position_union(spark, sf_dir):
-    u = P.position_union(_cells(spark, sf_dir))
+    u = P.position_union_of(_results(spark, sf_dir))
     return u.select(position_label(F.col("position"), F.col("insertion")).alias("label"), "max_rank", F.col("first_seen.result_no").alias("first_result"))
 
 
@@ -72,7 +72,7 @@ def gap_filled(spark, sf_dir):
 
 def aligned_residues(spark, sf_dir):
     """Aligned FASTA text of every domain."""
-    return P.aligned_texts(_cells(spark, sf_dir))
+    return P.aligned_texts_of(_results(spark, sf_dir))
 
 
 def aligned_codons(spark, sf_dir):

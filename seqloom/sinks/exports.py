@@ -14,7 +14,7 @@ from ..functions.labels import position_label
 from ..functions.sequence import codons, coding_dna, csv_field, wrapped
 from ..numbering.tables import CDR_RANGES
 from ..operators.dedup import present_domains, residue_text
-from ..operators.positions import position_union, residue_rows, union_order
+from ..operators.positions import aligned_texts, aligned_texts_of, position_union_of, residue_rows, union_order
 
 # The leading columns of the wide table.
 WIDE_COLUMNS = ["Id", "domain_no", "hmm_species", "chain_type", "e-value", "score", "seqstart_index", "seqend_index", "identity_species", "v_gene", "v_identity", "j_gene", "j_identity", "heavy_cdr3_length", "full_length_aa"]
@@ -93,7 +93,7 @@ def wide_table(results: DataFrame, key: str = "result_no") -> DataFrame:
         percent("v_identity").alias("v_identity"), d["j_gene"].alias("j_gene"), percent("j_identity").alias("j_identity"), F.when(d["chain_class"] == "H", heavy_cdr3_length(d)).alias("heavy_cdr3_length"), residue_text(d["numbering"]).alias("full_length_aa"),
     )
     cells = residue_rows(results.withColumn("domains", present_domains(F.col("domains"))), key)
-    labels = union_order(position_union(cells))
+    labels = union_order(position_union_of(results, key))
     grid = cells.select(F.col("result_no").alias("_k"), F.col("domain_pos").alias("_p"), position_label(F.col("position"), F.col("insertion")).alias("l"), "amino_acid").groupBy("_k", "_p").pivot("l", labels).agg(F.first("amino_acid"))
     return head.join(grid, ["_k", "_p"], "left").na.fill("-", labels).orderBy("_k", "_p").select(*WIDE_COLUMNS, *[F.col(f"`{x}`") for x in labels])
 
@@ -143,19 +143,16 @@ def write_text(rows: DataFrame, column: str, path: str, *order: str) -> None:
 
 def aligned_fasta(results: DataFrame, key: str = "result_no", codon: bool = False) -> DataFrame:
     """Every domain over the union of all records' positions; with ``codon`` three letters a position (DNA records only)."""
-    from ..operators.positions import aligned_texts
-
     kept = results.withColumn("domains", present_domains(F.col("domains")))
-    every = cells = residue_rows(kept, key)
     rows = domain_rows(results, key)
     if codon:
         w = Window.partitionBy("result_no", "domain_pos").orderBy("idx")
         coding = _coding(rows).select(F.col(key).alias("result_no"), "domain_pos", codons(F.col("coding")).alias("_c"))
-        live = cells.filter("amino_acid <> '-'").withColumn("_n", F.row_number().over(w)).join(coding, ["result_no", "domain_pos"])
+        live = residue_rows(kept, key).filter("amino_acid <> '-'").withColumn("_n", F.row_number().over(w)).join(coding, ["result_no", "domain_pos"])
         cells = live.withColumn("codon", F.coalesce(F.try_element_at("_c", F.col("_n")), F.lit("---"))).drop("_c", "_n")
-        text = aligned_texts(cells, "---", "codon", position_union(every))
+        text = aligned_texts(cells, "---", "codon", position_union_of(kept, key))
     else:
-        text = aligned_texts(cells)
+        text = aligned_texts_of(kept, key)
     named = rows.select(F.col(key).alias("result_no"), "domain_pos", domain_label(F.coalesce("id", F.lit("")), F.col("n_domains"), F.col("domain_pos")).alias("label"))
     return named.join(text, ["result_no", "domain_pos"]).select("result_no", "domain_pos", "label", "aligned")
 

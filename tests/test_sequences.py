@@ -15,7 +15,7 @@ from seqloom.operators import quality as Q
 from seqloom.operators.germline import _order, _score_by_join, _score_by_matrix, assign_germlines, model_lengths
 from seqloom.operators.hits import best_frame, of_chains, prefer_species, select_domains
 from seqloom.operators.identity import leaf_order, pairwise_identity
-from seqloom.operators.positions import aligned_texts, filled_gaps, position_union, residue_rows, union_order
+from seqloom.operators.positions import aligned_texts, aligned_texts_of, filled_gaps, position_union, position_union_of, residue_rows, union_order
 from seqloom.search.profile_search import Model, align, scores, stable_evalue
 from seqloom.sinks import exports as X
 from seqloom.sources import abif, fasta, germlines, profiles
@@ -201,6 +201,9 @@ def test_positions_and_exports(spark, tmp_path):
     df = spark.createDataFrame(rows, RESULTS)
     cells = residue_rows(df)
     assert union_order(position_union(cells)) == ["1", "2", "3", "4", "111A", "112A", "112"]
+    assert {tuple(r) for r in position_union_of(df).collect()} == {tuple(r) for r in position_union(cells).collect()}
+    assert {tuple(r) for r in aligned_texts_of(df).collect()} == {tuple(r) for r in aligned_texts(cells).collect()}
+    assert position_union_of(df.limit(0)).count() == 0 == aligned_texts_of(df.limit(0)).count()
     texts = {(r.result_no, r.domain_pos): r.aligned for r in aligned_texts(cells).collect()}
     assert texts == {(1, 0): "A---CDE", (1, 1): "--F----", (2, 0): "MX-Q---"}
     assert filled_gaps(cells).filter("result_no = 1 and domain_pos = 1").count() == 3
