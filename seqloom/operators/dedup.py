@@ -5,7 +5,7 @@ Works on a results table: ``ordinal, sequence, input_type, domains`` (array of s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,20 +38,16 @@ def mark_canonical(results: DataFrame, ordinal: str = "result_no", codon_score:
     """Adds ``dup_key, is_canonical, canonical, slot``.
 
     Within a group: stop-free before others, then the higher codon score (stop-free only), then
-    the earlier one; ``slot`` is the place of the group's first member.  Groups are keyed by a
-    hash with the text behind it, so long keys are shuffled once.
+    the earlier one; ``slot`` is the place of the group's first member.  The choice is a minimum of a
+    struct, combined map-side, so a group of very many copies costs no more than others; the
+    join back leaves a hot key to the adaptive skew join.
     """
     marked = results.withColumns({"dup_key": duplicate_key(F.col("sequence"), F.col("input_type"), F.col("domains")), "_stop": has_stop(F.col("domains"))})
     score = F.when(F.col("_stop"), F.lit(0.0)).otherwise(codon_score if codon_score is not None else F.lit(0.0))
-    group = Window.partitionBy("dup_key")
-    order = group.orderBy("_stop", F.desc("_score"), ordinal).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        marked.withColumn("_score", score)
-        .withColumn("canonical", F.first(ordinal).over(order))
-        .withColumn("slot", F.min(ordinal).over(group))
-        .withColumn("is_canonical", F.col("canonical") == F.col(ordinal))
-        .drop("_stop", "_score")
-    )
+    rank = F.struct(F.col("_stop").alias("stop"), (-score).alias("score"), F.col(ordinal).alias("ordinal"))
+    best = marked.groupBy(F.col("dup_key").alias("_key")).agg(F.min(rank).alias("_best"), F.min(ordinal).alias("slot"))
+    joined = marked.join(best, F.col("dup_key") == F.col("_key")).withColumn("canonical", F.col("_best.ordinal"))
+    return joined.withColumn("is_canonical", F.col("canonical") == F.col(ordinal)).drop("_stop", "_key", "_best")
 
 
 def result_classes(marked: DataFrame) -> DataFrame:
@@ -75,14 +71,16 @@ def summary(classed: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_groups(marked: DataFrame, ordinal: str = "result_no") -> DataFrame:
-    """Members and size of every group with duplicates, by canonical result.
+def duplicate_groups(marked: DataFrame, ordinal: str = "result_no", most_listed: int = 100_000) -> DataFrame:
+    """``canonical, size, duplicates`` of every group with duplicates.
 
-    The list holds ordinals only; :func:`mark_canonical` has the membership row by row for
-    groups too large to be listed.
+    ``duplicates`` lists the other members; for groups of more than ``most_listed`` it is null, and
+    their members are the rows of :func:`mark_canonical`.
     """
-    g = marked.groupBy("canonical").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(~F.col("is_canonical"), F.col(ordinal)))).alias("duplicates"))
-    return g.filter("size > 1")
+    sizes = marked.groupBy("canonical").agg(F.count("*").alias("size")).filter("size > 1")
+    listed = marked.filter("not is_canonical").join(sizes.filter(F.col("size") <= most_listed).select("canonical"), "canonical", "left_semi")
+    lists = listed.groupBy("canonical").agg(F.sort_array(F.collect_list(ordinal)).alias("duplicates"))
+    return sizes.join(lists, "canonical", "left")
 
 
 def for_download(classed: DataFrame, omit_stops: bool = True, omit_no_domain: bool = True, unique_only: bool = False) -> DataFrame:

@@ -22,8 +22,9 @@ def prefer_species(hits: DataFrame, species: list[str] | None, key: str = "resul
     if not names:
         return hits
     asked = F.lower(profile_species(F.col("hmm_name"))).isin(*names)
-    any_asked = F.max(asked).over(Window.partitionBy(key))
-    return hits.withColumn("_asked", asked).withColumn("_any", any_asked).filter("_asked or not _any").drop("_asked", "_any")
+    # distinct keys are aggregated map-side, so a sequence with very many hits is no hot group
+    some = hits.filter(asked).select(key).distinct().withColumn("_some", F.lit(True))
+    return hits.join(some, key, "left").filter(asked | F.col("_some").isNull()).drop("_some")
 
 
 def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
@@ -45,12 +46,16 @@ def best_apart(hits: Column) -> Column:
 def select_domains(hits: DataFrame, key: str = "result_no", ordinal: str = "hit_no") -> DataFrame:
     """Non-overlapping hits of each sequence, best score first; ``domain_index`` counts them by start.
 
-    One sequence's hits form one array; they are as many as the profiles a sequence meets,
-    not as the rows of the table.  Hits with a null or NaN score or no span take no part.
+    Of hits with one span only the best can be chosen, so each span is reduced map-side before a
+    sequence's hits form one array: its size is bounded by the sequence's spans, not by the rows.
+    Hits with a null or NaN score or no span take no part.
     """
     rows = hits.filter("bit_score is not null and not isnan(bit_score) and seq_start is not null and seq_end is not null")
-    h = F.struct((-F.col("bit_score")).alias("rank"), F.col(ordinal).alias("ordinal"), F.col("seq_start").alias("start"), F.col("seq_end").alias("end"))
-    kept = rows.groupBy(key).agg(best_apart(F.collect_set(h)).alias("kept"))
+    # an empty span overlaps nothing, not even its like
+    alone = F.when(F.col("seq_end") <= F.col("seq_start"), F.col(ordinal))
+    best = rows.groupBy(key, F.col("seq_start").alias("start"), F.col("seq_end").alias("end"), alone.alias("_alone")).agg(F.min(F.struct((-F.col("bit_score")).alias("rank"), F.col(ordinal).alias("ordinal"))).alias("b"))
+    h = F.struct(F.col("b.rank").alias("rank"), F.col("b.ordinal").alias("ordinal"), "start", "end")
+    kept = best.groupBy(key).agg(best_apart(F.collect_list(h)).alias("kept"))
     return kept.select(key, F.posexplode("kept").alias("domain_index", "d")).select(
         key, "domain_index", F.col("d.ordinal").alias(ordinal), (-F.col("d.rank")).alias("bit_score"), F.col("d.start").alias("seq_start"), F.col("d.end").alias("seq_end")
     )
