@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import amino_acid, let, reverse_complement
+from ..functions.sequence import amino_acid, codons, coding_dna, let, reverse_complement
 
 
 def _round_half_up(c: Column) -> Column:
@@ -43,3 +43,19 @@ def codon_track(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Col
         return F.struct(i.alias("k"), codon.alias("codon"), aa.alias("residue"), (aa == "*").alias("is_stop"), F.when(is_reverse, nt_end - 1 - i * 3).otherwise(nt_start + i * 3).alias("base_start"))
 
     return F.when(n > 0, let(coding, lambda strand: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(strand, i))))
+
+
+def residue_codon(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Column, k: Column) -> Column:
+    """Codon of the k-th (0-based) residue of a range, in reading order; null beyond its end."""
+    return F.get(codons(coding_dna(bases, nt_start, nt_end, is_reverse)), k)
+
+
+def domain_qualities(results: DataFrame, traces: DataFrame) -> DataFrame:
+    """``id, domain_pos, mean_quality, share20`` of every domain of results that have a trace.
+
+    Results without a trace stay, with null values; a domain without a nucleotide range has none either.
+    """
+    d = results.select("id", F.posexplode("domains").alias("domain_pos", "d")).filter("d is not null").select("id", "domain_pos", F.col("d.nt_start").alias("a"), F.col("d.nt_end").alias("b"))
+    span = span_qualities(F.col("quality"), F.col("a"), F.col("b"))
+    q = d.join(traces.select("id", "quality"), "id", "left").withColumn("q", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), span))
+    return q.select("id", "domain_pos", mean_quality(F.col("q")).alias("mean_quality"), share_from(F.col("q")).alias("share20"))

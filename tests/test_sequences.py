@@ -166,6 +166,11 @@ def test_traces(spark, tmp_path):
 def test_quality(spark):
     r = one(spark, a=Q.mean_quality(F.array(F.lit(10), F.lit(20))), b=Q.share_from(F.array(F.lit(10), F.lit(20), F.lit(30))), c=Q.mean_quality(F.array().cast("array<int>")), d=Q.span_qualities(F.array(*[F.lit(k) for k in range(6)]), F.lit(2), F.lit(4)))
     assert tuple(r) == (13, 67, None, [2, 3])
+    assert one(spark, c=Q.residue_codon(F.lit("AACTACCATGG"), F.lit(2), F.lit(8), F.lit(True), F.lit(1)), d=Q.residue_codon(F.lit("ACG"), F.lit(0), F.lit(3), F.lit(False), F.lit(1)))[:] == ("TAG", None)
+    results = spark.createDataFrame([("r", [(0, 2), (2, 4), (None, None)]), ("none", [(0, 2)])], "id string, domains array<struct<nt_start int, nt_end int>>")
+    traces = spark.createDataFrame([("r", [10, 20, 30, 30])], "id string, quality array<int>")
+    got = {(x.id, x.domain_pos): (x.mean_quality, x.share20) for x in Q.domain_qualities(results, traces).collect()}
+    assert got == {("r", 0): (13, 50), ("r", 1): (30, 100), ("r", 2): (None, None), ("none", 0): (None, None)}
     t = one(spark, t=Q.codon_track(F.lit("AACTACCATGG"), F.lit(2), F.lit(8), F.lit(True))).t
     assert [(x.codon, x.residue, x.base_start) for x in t] == [("TGG", "W", 7), ("TAG", "*", 4)]
 
@@ -291,3 +296,14 @@ def test_planted_domains_are_found():
     path = align(m, code(seqs[2]), 1, 40)
     assert [k for _, k in path].count("i") == 2 and [s for s, k in path if k == "i"] == [20, 20]
     assert align(m, code("A"), 1, 1) == [(1, "m")] and align(m, code(""), 1, 3) is None
+
+
+def test_sql_functions(spark):
+    from seqloom.functions.registry import register
+
+    assert len(register(spark)) == 9
+    r = spark.sql("SELECT seq_clean('ac-t.g'), seq_is_dna('ACGN'), seq_is_dna('ACE'), seq_is_protein('MK*'), seq_reverse_complement('ACGU?'), profile_species('a_b_C'), profile_chain('a_b_C'), chain_class('K'), spans_overlap(0, 5, 5, 9), position_label(111, 'A'), position_label(1, ' ')").first()
+    assert tuple(r) == ("ACTG", True, False, True, "NACGT", "a", "b_C", "L", False, "111A", "1")
+    df = spark.createDataFrame([("ac-t",), (None,)], "s string")
+    df.createOrReplaceTempView("seqs")
+    assert {x[0] for x in spark.sql("SELECT seq_clean(s) FROM seqs").collect()} == {"ACT", None}
