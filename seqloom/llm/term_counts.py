@@ -17,6 +17,8 @@ counts as no record; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
+import re
 import shutil
 import uuid
 
@@ -105,7 +107,7 @@ SELECT f, term, count(*)::BIGINT AS occurrences, count(DISTINCT rec)::BIGINT AS
 FROM (SELECT DISTINCT f, term, rec, occ FROM rows_in) GROUP BY f, term"""
 
 
-def _aggregate(spill: str | None):
+def _aggregate(spill: str | None, memory: str):
     def run(batches):
         import duckdb
 
@@ -116,7 +118,12 @@ def _aggregate(spill: str | None):
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int8()), b.column(1).cast(pa.string()), b.column(2), b.column(3)], schema=schema)
 
         own = f"{spill}/{uuid.uuid4().hex}" if spill else ""
-        con = duckdb.connect(config={"memory_limit": MEMORY_LIMIT, "threads": 1, "temp_directory": own, "preserve_insertion_order": False})
+        try:
+            if own:
+                os.makedirs(own)
+        except OSError:  # not writable from here: the partitions are sized for memory
+            own = ""
+        con = duckdb.connect(config={"memory_limit": memory, "threads": 1, "temp_directory": own, "preserve_insertion_order": False})
         try:
             con.register("rows_in", pa.RecordBatchReader.from_batches(schema, feed()))
             yield from con.execute(_COUNT).to_arrow_reader(20_000)
@@ -128,16 +135,16 @@ def _aggregate(spill: str | None):
     return run
 
 
-def term_counts(df: DataFrame, fields: list[str], record: str, occurrence: str, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+def term_counts(df: DataFrame, fields: list[str], record: str, occurrence: str, partition_rows: int = PARTITION_ROWS, memory: str = MEMORY_LIMIT) -> DataFrame:
     """``field_name, term, occurrences, records`` of every distinct term of each field."""
     spark = df.sparkSession
     rows = explode_terms(df.select(*{record: 0, occurrence: 0, **dict.fromkeys(fields)}), fields, record, occurrence)
     rows = rows.withColumns({"rec": F.col("rec").cast("bigint"), "occ": F.col("occ").cast("bigint")})
     part, n, _ = plan_partitions(rows, partition_rows)
     root = scratch_root(spark)
-    spill = f"{root.removeprefix('file://')}/seqloom-terms" if root.startswith(("file:", "/")) else None
+    spill = re.sub("^file:(//)?", "", root) + "/seqloom-terms" if root.startswith(("file:", "/")) else None
     placed = rows.select(part.alias("part"), "f", "term", "rec", "occ").repartitionById(n, "part").drop("part")
-    counted = placed.mapInArrow(_aggregate(spill), "f tinyint, term string, occurrences bigint, records bigint")
+    counted = placed.mapInArrow(_aggregate(spill, memory), "f tinyint, term string, occurrences bigint, records bigint")
     whole = counted.groupBy("f", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     names = F.array(*[F.lit(x) for x in fields])
     return whole.select(F.element_at(names, F.col("f") + 1).alias("field_name"), "term", "occurrences", "records")

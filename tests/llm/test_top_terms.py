@@ -121,3 +121,9 @@ def test_marks(spark):
     df = spark.createDataFrame([("v", "a", 9, 2), ("v", "b", 9, 3), ("v", "c", 9, 11), ("v", "d", 9, 10)], "field_name string, term string, occurrences long, records long")
     got = {r.term: r.mark for r in T.marked_terms(df, 100).collect()}
     assert got == {"a": "rare", "b": None, "c": "common", "d": None}
+
+
+def test_aggregation_spills(spark, tmp_path):
+    df = spark.range(400_000).select(F.col("id").alias("dom_no"), (F.col("id") % 99_991).alias("result_no"), F.concat(F.lit("a long enough name of a gene "), F.sha2(F.col("id").cast("string"), 256)).alias("v_gene"))
+    got = T.term_counts(df, ["v_gene"], "result_no", "dom_no", 10**9, memory="60MB").agg(F.count("*"), F.sum("occurrences"), F.sum("records")).first()
+    assert tuple(got) == (400_000, 400_000, 400_000)
