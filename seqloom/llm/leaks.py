@@ -38,7 +38,7 @@ SAMPLES, WALK, RECALL, MOST_TABLES = 3, 2, 0.9, 24
 #: Item windows of one broadcast block (each takes (window + repetitions) * 8 bytes).
 BLOCK_WINDOWS = 100_000
 #: Document windows that are embedded at a time.
-STEP = 100_000
+STEP = 16_384
 
 _WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id bigint, item_id bigint, edits int, windows bigint"
@@ -94,17 +94,20 @@ class Embedding:
         flat[:, : self.window] = w
         flat = flat.ravel()
         begin = np.arange(n, dtype=np.int64) * (self.window + 1)
-        stop = begin + self.window
         out = np.zeros((self.repetitions, n), np.uint64)
+        symbol, moved, shift = np.empty(n, np.uint64), np.empty(n, np.uint64), np.uint64(63)
         for r in range(self.repetitions):
             at = begin.copy()
-            for j in range(max(self.factors[r]) + 1):
-                symbol = flat[at]
+            last = max(self.factors[r])
+            for j in range(last + 1):
+                np.take(flat, at, out=symbol)
                 if j in self.factors[r]:
-                    mixed = symbol * self.factors[r][j]
-                    out[r] += mixed ^ (mixed >> np.uint64(29))
-                at += ((symbol * self.moves[r][j]) >> np.uint64(63)).astype(np.int64)
-                np.minimum(at, stop, out=at)
+                    np.multiply(symbol, self.factors[r][j], out=moved)
+                    out[r] += moved ^ (moved >> np.uint64(29))
+                # the zero behind each window never moves on, so no walk leaves its window
+                np.multiply(symbol, self.moves[r][j], out=moved)
+                np.right_shift(moved, shift, out=moved)
+                at += moved.view(np.int64)
         return out.T
 
 
@@ -170,12 +173,12 @@ class ItemIndex:
     def __init__(self, ids: list, texts: list, embedding: Embedding):
         self.embedding = embedding
         flat, starts, rows = _windows(texts, _Hasher(), embedding.window)
-        self.item = np.array(ids, object)[rows] if len(rows) else np.zeros(0, object)
+        self.item = np.array(ids, np.int64)[rows]
         self.words = np.lib.stride_tricks.sliding_window_view(flat, embedding.window)[starts].copy() if len(starts) else np.zeros((0, embedding.window), np.uint64)
         keys = embedding.keys(self.words)
         self.order = np.argsort(keys, axis=0, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=0)
-        self.bits = max(16, int(np.ceil(np.log2(max(1, len(starts)) * 32))))
+        self.bits = max(16, int(np.ceil(np.log2(max(1, len(self.words)) * 32))))
         self.seen = np.zeros((embedding.repetitions, 1 << self.bits), bool)
         for r in range(embedding.repetitions):
             self.seen[r, keys[:, r] >> np.uint64(64 - self.bits)] = True
@@ -227,7 +230,7 @@ def _search(index, max_edits: int):
             row, window, edits = index.value.matches(batch.column(1).to_pylist(), hasher, max_edits)
             if not len(row):
                 continue
-            items, code = np.unique(index.value.item.astype(np.int64), return_inverse=True)
+            items, code = np.unique(index.value.item, return_inverse=True)
             item = code[window]
             pair = row * len(items) + item
             uniq, where, count = np.unique(pair, return_inverse=True, return_counts=True)
@@ -255,7 +258,7 @@ def find_leaks(
     """``doc_id, item_id, edits, windows``: documents that hold a passage of an item.
 
     ``edits`` is the least word edit distance of a matching window (0: verbatim) and
-    ``windows`` the number of matching window pairs.
+    ``windows`` the number of matching window pairs, a window that an item repeats counting once.
     """
     spark = docs.sparkSession
     embedding = Embedding(window, tables_for(max_edits, recall, window))
