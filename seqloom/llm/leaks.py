@@ -173,8 +173,11 @@ class ItemIndex:
     def __init__(self, ids: list, texts: list, embedding: Embedding):
         self.embedding = embedding
         flat, starts, rows = _windows(texts, _Hasher(), embedding.window)
-        self.item = np.array(ids, np.int64)[rows]
-        self.words = np.lib.stride_tricks.sliding_window_view(flat, embedding.window)[starts].copy() if len(starts) else np.zeros((0, embedding.window), np.uint64)
+        every = np.lib.stride_tricks.sliding_window_view(flat, embedding.window)[starts] if len(starts) else np.zeros((0, embedding.window), np.uint64)
+        # an item that repeats a window holds it once
+        once = np.unique(np.column_stack((rows.astype(np.uint64), every)), axis=0)
+        self.item = np.array(ids, np.int64)[once[:, 0].astype(np.int64)]
+        self.words = once[:, 1:].copy()
         keys = embedding.keys(self.words)
         self.order = np.argsort(keys, axis=0, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=0)

@@ -198,3 +198,9 @@ def test_labels(spark):
 def test_languages_of_nothing(spark, samples):
     s = spark.createDataFrame(samples, "lang string, text string")
     assert G.label_languages(docs(spark, []), s).count() == 0
+
+
+def test_texts_that_repeat_one_word(spark):
+    same = " ".join(["again"] * 3000)
+    got = L.find_leaks(docs(spark, [(1, same), (2, "again and again")]), items(spark, [(7, same), (8, " ".join(["again"] * 12)), (9, "again")])).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(1, 7, 0), (1, 8, 0)}
