@@ -22,7 +22,7 @@ from ..numbering.tables import resolve_scheme
 from ..numbering.udf import number_domains
 from ..operators.germline import assign_germlines, model_lengths
 from ..operators.hits import best_apart, best_frame
-from ..runtime import maybe_broadcast
+from ..runtime import Scratch, maybe_broadcast
 from ..search.profile_search import find_hits
 from ..sources.profiles import Profile
 
@@ -108,7 +108,9 @@ def numbered_domains(
     chains = allowed_chains(restrict, name)
     pep = peptides(records)
     searched = [p for p in profiles if (p.name.split("_", 1) + ["H"])[1] in chains]
-    chosen = choose(find_hits(pep, searched, threshold), species)
+    # the search is by far the dearest step and three later ones read it: it is written once
+    scratch = Scratch(records.sparkSession, "numbering")
+    chosen = scratch.table(choose(find_hits(pep, searched, threshold), species), "chosen")
     lengths = model_lengths(germlines)
     d = chosen.select("key", "part", "n_domains", F.posexplode("kept").alias("domain_index", "h")).select(
         "key", "part", "n_domains", "domain_index", F.col("h.start").alias("seq_start"), F.col("h.end").alias("seq_end"), "h.hmm_name", "h.bit_score", "h.evalue", "h.evalue_text", "h.hmm_start", "h.hmm_end", "h.path"
@@ -118,8 +120,9 @@ def numbered_domains(
     d = d.join(pep, ["key", "part"])
     if rescue:
         d = d.join(_rescued(d, profiles, lengths), ["key", "part"], "left")
+    d = scratch.table(d, "domains")
     ids = ["key", "domain_index"]
-    numbered = number_domains(d, name, rescue)
+    numbered = scratch.table(number_domains(d, name, rescue), "numbered")
     genes = assign_germlines(numbered.join(d.select(*ids, "chain_type"), ids), germlines, ids, species)
     full = numbered.join(d.select(*ids, "hmm_name", "species", "chain_type", "bit_score", "evalue", "evalue_text", "sequence", "stops", "nt_offset", "is_reverse", "label", "dna_length"), ids)
     full = full.join(genes, ids, "left")

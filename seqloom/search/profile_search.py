@@ -196,4 +196,6 @@ def find_hits(records: DataFrame, profiles: list[Profile], threshold: float = 12
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in HITS.split(", ")])
 
     rows = records.select(F.col(key).cast("bigint"), F.col(part).cast("int"), F.col(text)).filter(F.col(text).rlike(r"\A[ACDEFGHIKLMNPQRSTVWYX*]+\z") & (F.length(text) < 10_000))
-    return rows.mapInArrow(run, HITS)
+    # the work is in the search, not in the bytes: spread the texts over all cores
+    tasks = 2 * records.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks).mapInArrow(run, HITS)
