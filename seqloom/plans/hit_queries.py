@@ -169,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile_names, score_threshold, chain_restrict, species_fallback, greedy_domains, frame_choice, germline_species, germline_model_lengths, scheme_catalog,
-        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, *map(_numbering, NAMES), profile_search, number_sequences,
+        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, *map(_numbering, NAMES),
     )
 }
 

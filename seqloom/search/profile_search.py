@@ -104,12 +104,13 @@ def align(model: Model, seq: np.ndarray, first: int, last: int) -> list[tuple[in
     e = model.emit[lo : lo + m][:, seq].T.astype(float)
     M[1, 1] = e[0, 0]
     t = {k: getattr(model, k)[lo : lo + m].astype(float) for k in ("mm", "mi", "md", "im", "ii", "dm", "dd")}
+    run = np.cumsum(t["dd"][:-1])
     for i in range(1, n + 1):
         if i > 1:
             M[i, 2:] = e[i - 1, 1:] + np.maximum(np.maximum(M[i - 1, 1:-1] + t["mm"][:-1], I[i - 1, 1:-1] + t["im"][:-1]), D[i - 1, 1:-1] + t["dm"][:-1])
             I[i, 1:] = np.maximum(M[i - 1, 1:] + t["mi"], I[i - 1, 1:] + t["ii"])
-        for k in range(2, m + 1):
-            D[i, k] = max(M[i, k - 1] + t["md"][k - 2], D[i, k - 1] + t["dd"][k - 2])
+        # the chain of deletes as a running maximum
+        D[i, 2:] = np.maximum.accumulate(M[i, 1:-1] + t["md"][:-1] - run) + run
     kind = "m" if M[n, m] >= D[n, m] else "d"
     if max(M[n, m], D[n, m]) == -np.inf:
         return None

@@ -94,7 +94,7 @@ def test_queries_are_complete():
     assert set(sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", ["profile_search", "numbering_wolfguy", "wide_positions", "line_reports", "json_documents", "aligned_codons", "identity_order"])
+@pytest.mark.parametrize("name", ["numbering_wolfguy", "wide_positions", "line_reports", "json_documents", "aligned_codons", "identity_order"])
 def test_queries_without_sql_run(spark, sf, name):
     assert queries()[name](spark, sf).count() > 0
 
