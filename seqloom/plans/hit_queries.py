@@ -11,8 +11,8 @@ from ..numbering.tables import NAMES
 from ..numbering.udf import number_domains
 from ..operators.germline import assign_germlines, identity, model_lengths
 from ..operators.hits import above_threshold, best_frame, of_chains, prefer_species, select_domains
-from ..operators.identity import clustered_order, pairwise_identity
-from ..runtime import maybe_broadcast, table
+from ..operators.identity import cell_vectors, clustered_order, domain_vectors, encoded, pairwise_identity, vector_pairs
+from ..runtime import Scratch, maybe_broadcast, table
 from ..sources.germlines import available_species as species_of
 from ..sources.profiles import from_germlines
 from . import pipeline
@@ -119,8 +119,24 @@ def identity_matrix(spark, sf_dir):
 
 def identity_order(spark, sf_dir):
     """Average-linkage order of the V genes of each chain."""
-    cells = _gene_cells(spark, sf_dir)
-    return clustered_order(pairwise_identity(cells), cells)
+    return clustered_order(encoded(cell_vectors(_gene_cells(spark, sf_dir))))
+
+
+def _domain_vectors(spark, sf_dir) -> DataFrame:
+    """Every numbered result domain of a known class as a vector; its member is record * 4096 + place."""
+    d = table(spark, sf_dir, "numbering_results").select("result_no", F.posexplode("domains").alias("domain_pos", "d")).filter("d.chain_class <> ''")
+    rows = d.select(F.col("d.chain_class").alias("chain_class"), (F.col("result_no") * 4096 + F.col("domain_pos")).alias("member"), F.col("d.numbering").alias("numbering"))
+    return Scratch(spark, "identity").table(encoded(domain_vectors(rows)))
+
+
+def domain_identity(spark, sf_dir):
+    """Identity of all pairs of result domains of a class."""
+    return vector_pairs(_domain_vectors(spark, sf_dir)).withColumn("identity", F.round("identity", 6))
+
+
+def domain_order(spark, sf_dir):
+    """Average-linkage order of the result domains of each class."""
+    return clustered_order(_domain_vectors(spark, sf_dir))
 
 
 def _paths(spark, sf_dir) -> DataFrame:
@@ -169,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile_names, score_threshold, chain_restrict, species_fallback, greedy_domains, frame_choice, germline_species, germline_model_lengths, scheme_catalog,
-        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, *map(_numbering, NAMES),
+        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, domain_identity, domain_order, *map(_numbering, NAMES),
     )
 }
 
@@ -227,5 +243,12 @@ c AS (SELECT chain_class, member, p, substr(q, p::INT, 1) AS aa FROM (SELECT *,
 l AS (SELECT * FROM c WHERE aa <> '-'), n AS (SELECT chain_class, member, count(*) AS n FROM l GROUP BY 1, 2),
 m AS (SELECT a.chain_class, a.member AS a, b.member AS b, count(*) AS n_both, count(*) FILTER (a.aa = b.aa) AS n_same FROM l a JOIN l b ON a.chain_class = b.chain_class AND a.p = b.p AND a.member < b.member GROUP BY 1, 2, 3)
 SELECT x.chain_class, x.member AS a, y.member AS b, round(100.0 * coalesce(n_same, 0) / (x.n + y.n - coalesce(n_both, 0)), 6) AS identity
+FROM n x JOIN n y ON x.chain_class = y.chain_class AND x.member < y.member LEFT JOIN m ON m.chain_class = x.chain_class AND m.a = x.member AND m.b = y.member""",
+    "domain_identity": """WITH d AS (SELECT result_no, unnest(domains) AS d, generate_subscripts(domains, 1) - 1 AS k FROM numbering_results),
+c AS (SELECT d.chain_class AS chain_class, result_no * 4096 + k AS member, unnest(d.numbering) AS r, generate_subscripts(d.numbering, 1) AS idx FROM d WHERE d.chain_class <> ''),
+l AS (SELECT chain_class, member, r.position AS p, coalesce(trim(r.insertion), '') AS i, arg_max(r.amino_acid, idx) AS aa FROM c WHERE r.amino_acid <> '-' GROUP BY 1, 2, 3, 4),
+n AS (SELECT c.chain_class, c.member, coalesce(any_value(s.n), 0) AS n FROM c LEFT JOIN (SELECT chain_class, member, count(*) AS n FROM l GROUP BY 1, 2) s ON s.chain_class = c.chain_class AND s.member = c.member WHERE c.r IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT a.chain_class, a.member AS a, b.member AS b, count(*) AS n_both, count(*) FILTER (a.aa = b.aa) AS n_same FROM l a JOIN l b ON a.chain_class = b.chain_class AND a.p = b.p AND a.i = b.i AND a.member < b.member GROUP BY 1, 2, 3)
+SELECT x.chain_class, x.member AS a, y.member AS b, round(coalesce(100.0 * coalesce(n_same, 0) / nullif(x.n + y.n - coalesce(n_both, 0), 0), 0.0), 6) AS identity
 FROM n x JOIN n y ON x.chain_class = y.chain_class AND x.member < y.member LEFT JOIN m ON m.chain_class = x.chain_class AND m.a = x.member AND m.b = y.member""",
 }

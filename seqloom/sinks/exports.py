@@ -6,6 +6,7 @@ that the writer stays distributed; :func:`write_text` orders and writes them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ from ..functions.labels import position_label
 from ..functions.sequence import codons, coding_dna, csv_field, wrapped
 from ..numbering.tables import CDR_RANGES
 from ..operators.dedup import present_domains, residue_text
+from ..operators.identity import compared, residue_grid
 from ..operators.positions import aligned_texts, aligned_texts_of, position_union_of, residue_rows, union_order
 
+#: Rows of an identity matrix that one task writes.
+LINES_A_TASK = 256
+
 # The leading columns of the wide table.
 WIDE_COLUMNS = ["Id", "domain_no", "hmm_species", "chain_type", "e-value", "score", "seqstart_index", "seqend_index", "identity_species", "v_gene", "v_identity", "j_gene", "j_identity", "heavy_cdr3_length", "full_length_aa"]
 
@@ -157,14 +162,24 @@ def aligned_fasta(results: DataFrame, key: str = "result_no", codon: bool = Fals
     return named.join(text, ["result_no", "domain_pos"]).select("result_no", "domain_pos", "label", "aligned")
 
 
-def identity_csv(order: DataFrame, pairs: DataFrame) -> DataFrame:
+def identity_csv(order: DataFrame, vectors: DataFrame) -> DataFrame:
     """Matrix lines of every class in clustered order: ``chain_class, place, line``.
 
-    ``order`` has chain_class, member, place, label; ``pairs`` chain_class, a, b, identity.
+    ``order`` has chain_class, member, place, label; ``vectors`` are encoded.  Each task writes the
+    lines of a block of rows against the whole class.
     """
-    both = pairs.select("chain_class", "a", "b", "identity").unionByName(pairs.select("chain_class", F.col("b").alias("a"), F.col("a").alias("b"), "identity"))
-    own = order.select("chain_class", F.col("member").alias("a"), F.col("member").alias("b"), F.lit(100.0).alias("identity"))
-    o = order.select("chain_class", F.col("member").alias("b"), F.col("place").alias("pb"))
-    cells = both.unionByName(own).join(o, ["chain_class", "b"]).groupBy("chain_class", "a").agg(F.sort_array(F.collect_list(F.struct("pb", F.format_string("%.2f", "identity").alias("v")))).alias("c"))
-    head = order.select("chain_class", F.col("member").alias("a"), "place", "label")
-    return head.join(cells, ["chain_class", "a"]).select("chain_class", "place", F.concat_ws(",", csv_field(F.col("label")), F.array_join(F.transform("c", lambda x: x["v"]), ",")).alias("line"))
+    rows = vectors.join(order.select("chain_class", "member", "place", csv_field(F.col("label")).alias("label")), ["chain_class", "member"])
+    blocks = order.groupBy("chain_class").agg(F.floor(F.max("place") / LINES_A_TASK).cast("int").alias("n"))
+    sent = rows.join(F.broadcast(blocks), "chain_class").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+
+    def lines(key, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place", ignore_index=True)
+        grid, text, out, first = residue_grid(part), {}, [], key[1] * LINES_A_TASK
+        same, union = compared(grid[first : first + LINES_A_TASK], grid)
+        for k, (s, u) in enumerate(zip(same.tolist(), union.tolist()), first):
+            cells = [text.get(x) or text.setdefault(x, "%.2f" % (x[0] / max(x[1], 1) * 100.0)) for x in zip(s, u)]
+            cells[k] = "100.00"
+            out.append(",".join([part["label"][k], *cells]))
+        return pd.DataFrame({"chain_class": key[0], "place": part["place"].to_numpy()[first : first + LINES_A_TASK], "line": out})
+
+    return sent.select("chain_class", "k", "place", "label", "codes", "width").groupBy("chain_class", "k").applyInPandas(lines, "chain_class string, place int, line string")
