@@ -71,16 +71,19 @@ def summary(classed: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_groups(marked: DataFrame, ordinal: str = "result_no", most_listed: int = 100_000) -> DataFrame:
-    """``canonical, size, duplicates`` of every group with duplicates.
+def duplicate_members(marked: DataFrame, ordinal: str = "result_no") -> DataFrame:
+    """``canonical, size, member``: a flat row for every other member of every group with duplicates; no list is gathered."""
+    others = marked.filter("not is_canonical")
+    sizes = others.groupBy("canonical").agg((F.count("*") + 1).alias("size"))
+    return others.select("canonical", F.col(ordinal).alias("member")).join(sizes, "canonical").select("canonical", "size", "member")
 
-    ``duplicates`` lists the other members; for groups of more than ``most_listed`` it is null, and
-    their members are the rows of :func:`mark_canonical`.
+
+def duplicate_groups(marked: DataFrame, ordinal: str = "result_no") -> DataFrame:
+    """``canonical, size, duplicates`` of every group with duplicates; ``duplicates`` lists all other members.
+
+    The list of a group lies in one row, whatever its size; :func:`duplicate_members` has the same as flat rows.
     """
-    sizes = marked.groupBy("canonical").agg(F.count("*").alias("size")).filter("size > 1")
-    listed = marked.filter("not is_canonical").join(sizes.filter(F.col("size") <= most_listed).select("canonical"), "canonical", "left_semi")
-    lists = listed.groupBy("canonical").agg(F.sort_array(F.collect_list(ordinal)).alias("duplicates"))
-    return sizes.join(lists, "canonical", "left")
+    return marked.filter("not is_canonical").groupBy("canonical").agg((F.count("*") + 1).alias("size"), F.sort_array(F.collect_list(ordinal)).alias("duplicates"))
 
 
 def for_download(classed: DataFrame, omit_stops: bool = True, omit_no_domain: bool = True, unique_only: bool = False) -> DataFrame:

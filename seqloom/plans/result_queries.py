@@ -37,6 +37,11 @@ def duplicate_groups(spark, sf_dir):
     return g.select("canonical", "size", F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"))
 
 
+def duplicate_members(spark, sf_dir):
+    """The same groups as flat rows, one for every other member."""
+    return D.duplicate_members(_marked(spark, sf_dir))
+
+
 def result_classes(spark, sf_dir):
     c = D.result_classes(_marked(spark, sf_dir))
     return c.select("result_no", "class_stop", "class_no_domain", "class_correct", "class_usable")
@@ -132,7 +137,7 @@ def json_cells(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        duplicate_marks, duplicate_groups, result_classes, summary_counts, download_set, position_union, wide_positions, gap_filled, aligned_residues, aligned_codons, loop_positions,
+        duplicate_marks, duplicate_groups, duplicate_members, result_classes, summary_counts, download_set, position_union, wide_positions, gap_filled, aligned_residues, aligned_codons, loop_positions,
         loop_ranges, heavy_cdr3, domain_labels, fasta_residues, fasta_coding, fasta_amber, json_documents, line_reports, json_cells,
     )
 }
@@ -182,6 +187,7 @@ SQL = {
     "duplicate_marks": f"WITH {_MARKED} SELECT result_no, canonical, slot, is_canonical FROM classed",
     "duplicate_groups": f"""WITH {_MARKED} SELECT canonical, count(*) AS size, array_to_string(list_sort(list(result_no) FILTER (result_no <> canonical)), ',') AS duplicates
 FROM marked GROUP BY 1 HAVING count(*) > 1""",
+    "duplicate_members": f"WITH {_MARKED} SELECT canonical, size, result_no AS member FROM (SELECT *, count(*) OVER (PARTITION BY canonical) AS size FROM marked) WHERE canonical <> result_no",
     "result_classes": f"WITH {_MARKED} SELECT result_no, class_stop, class_no_domain, class_correct, class_usable FROM classed",
     "summary_counts": f"""WITH {_MARKED} SELECT count(*) AS total, count(*) FILTER (class_correct) AS correct, count(*) FILTER (is_canonical) AS unique_results, count(*) FILTER (NOT is_canonical) AS duplicates,
   count(*) FILTER (class_stop) AS with_stop, count(*) FILTER (class_no_domain) AS no_domain, count(*) FILTER (class_usable) AS usable FROM classed""",
