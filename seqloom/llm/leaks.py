@@ -5,7 +5,8 @@ documents alike, is embedded by a random walk (CGK: step j emits the current sym
 moves on if a random bit of (j, symbol) says so), which turns edit distance between
 windows into Hamming distance between walks.  Each table has a walk of its own and hashes a few
 sampled positions of it; windows that meet in a table are verified exactly: word by
-word for equality, then by edit distance up to ``max_edits`` words.  Equal windows have
+word for equality, then by the least edit distance, up to ``max_edits`` words, between the item's window and
+the spans from the document window's start that are up to ``max_edits`` words shorter or longer.  Equal windows have
 equal walks, so they meet in every table and are found with certainty; windows with edits
 are found with at least the target recall, for which the number of tables is chosen.
 
@@ -139,32 +140,40 @@ def tables_for(edits: int, recall: float = RECALL, window: int = WINDOW, samples
     return next((r for r in range(1, MOST_TABLES) if expected_recall(edits, r, window=window, samples=samples) >= recall), MOST_TABLES)
 
 
-def _windows(texts: list, hasher: _Hasher, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all word hashes, start of every window, row of every window)."""
+def _windows(texts: list, hasher: _Hasher, window: int, edits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all word hashes, start of every window, row of every window).
+
+    With ``edits``, zeros (no word) follow each text, and up to so many windows run into them.
+    """
     lists = [hasher(t) for t in texts]
     size = np.array([len(x) for x in lists], np.int64)
+    count = np.where(size >= window, size - window + 1 + edits, 0)
+    if edits:
+        lists, size = [x + [0] * (2 * edits) for x in lists], size + 2 * edits
     flat = np.fromiter((h for x in lists for h in x), np.uint64, int(size.sum()))
     first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
-    count = np.maximum(size - window + 1, 0)
     rows = np.repeat(np.arange(len(lists)), count)
     starts = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum())) if len(count) else count
     return flat, starts, rows
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Word edit distance of window pairs [n, w], exact up to ``most`` and more than ``most`` beyond."""
-    n, w = a.shape
-    prev = np.tile(np.arange(w + 1, dtype=np.int16), (n, 1))
+    """Word edit distance of window pairs [n, w], exact up to ``most`` and more than ``most`` beyond.
+
+    If ``b`` has more words, the least distance to its first w - most to w + most words counts.
+    """
+    (n, w), m = a.shape, b.shape[1]
+    prev = np.tile(np.arange(m + 1, dtype=np.int16), (n, 1))
     for i in range(1, w + 1):
-        cur = np.full((n, w + 1), most + 1, np.int16)
+        cur = np.full((n, m + 1), most + 1, np.int16)
         if i <= most:
             cur[:, 0] = i
-        for j in range(max(1, i - most), min(w, i + most) + 1):
+        for j in range(max(1, i - most), min(m, i + most) + 1):
             cost = (a[:, i - 1] != b[:, j - 1]).astype(np.int16)
             best = np.minimum(prev[:, j - 1] + cost, cur[:, j - 1] + 1)
             cur[:, j] = np.minimum(best, prev[:, j] + 1) if j < i + most else best
         prev = cur
-    return np.minimum(prev[:, w], most + 1)
+    return np.minimum(prev[:, w] if m == w else prev[:, max(0, w - most) :].min(axis=1), most + 1)
 
 
 class ItemIndex:
@@ -204,20 +213,21 @@ class ItemIndex:
 
     def matches(self, texts: list, hasher: _Hasher, max_edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item window, edits) of every verified pair of windows."""
-        flat, starts, rows = _windows(texts, hasher, self.embedding.window)
+        w = self.embedding.window
+        flat, starts, rows = _windows(texts, hasher, w, max_edits)
         out = ([], [], [])
         if not len(starts) or not len(self.words):
             return tuple(np.zeros(0, np.int64) for _ in out)
-        view = np.lib.stride_tricks.sliding_window_view(flat, self.embedding.window)
+        view = np.lib.stride_tricks.sliding_window_view(flat, w + max_edits)
         for at in range(0, len(starts), STEP):
             part = view[starts[at : at + STEP]]
-            left, right = self.candidates(self.embedding.keys(part))
+            left, right = self.candidates(self.embedding.keys(part[:, :w]))
             for k in range(0, len(left), STEP):
                 a, b = part[left[k : k + STEP]], self.words[right[k : k + STEP]]
-                edits = np.where((a == b).all(axis=1), 0, max_edits + 1)
+                edits = np.where((a[:, :w] == b).all(axis=1), 0, max_edits + 1)
                 near = np.flatnonzero(edits)
                 if max_edits and len(near):
-                    edits[near] = edit_distance(a[near], b[near], max_edits)
+                    edits[near] = edit_distance(b[near], a[near], max_edits)
                 ok = np.flatnonzero(edits <= max_edits)
                 out[0].append(rows[at + left[k : k + STEP][ok]])
                 out[1].append(right[k : k + STEP][ok])
