@@ -133,10 +133,8 @@ class Discriminator:
             self._table[at] = self.weights[f].sum(axis=0) / np.sqrt(len(f))
         return at
 
-    def judge(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(language index, confidence) of every sentence, given as plain words."""
-        if not sentences:
-            return np.zeros(0, np.int64), np.zeros(0)
+    def _sums(self, sentences: list[list[str]]) -> np.ndarray:
+        """The words' rows of every sentence, added up."""
         if len(self._known) + sum(map(len, sentences)) > WORDS_KEPT:
             self._known.clear()
         try:
@@ -144,13 +142,19 @@ class Discriminator:
         except OverflowError:  # more distinct words in one call than the table holds: halves
             if len(sentences) == 1:
                 n = len(sentences[0]) // 2
-                return self.judge([sentences[0][:n]])
+                return self._sums([sentences[0][:n]]) + self._sums([sentences[0][n:]])
             half = len(sentences) // 2
-            a, b = self.judge(sentences[:half]), self.judge(sentences[half:])
-            return np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+            return np.concatenate((self._sums(sentences[:half]), self._sums(sentences[half:])))
         size = np.array([len(s) for s in sentences])
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
-        f = np.add.reduceat(self._table[at], first, axis=0) / size[:, None] + self.weights[DIMENSIONS]
+        return np.add.reduceat(self._table[at], first, axis=0)
+
+    def judge(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(language index, confidence) of every sentence, given as plain words."""
+        if not sentences:
+            return np.zeros(0, np.int64), np.zeros(0)
+        size = np.array([len(s) for s in sentences])
+        f = self._sums(sentences) / size[:, None] + self.weights[DIMENSIONS]
         votes = np.zeros((len(sentences), len(LANGUAGES)))
         margin = np.full((len(sentences), len(LANGUAGES)), np.inf)
         for k, (a, b) in enumerate(self.pairs):
