@@ -15,7 +15,9 @@ null, empty or not valid JSON gives no row; a null parent key is carried as null
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import numpy as np
 import pyarrow as pa
@@ -80,12 +82,83 @@ def _json_links(parent: pa.Array, payload: pa.Array) -> Iterator[pa.RecordBatch]
         yield from _deep_links(parent, int(d), buf[offsets[d] : offsets[d + 1]].tobytes())
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_NAMES = {"true": True, "false": False, "null": None}
+
+
+def parsed(text: str):
+    """JSON of any depth without recursion; numbers are given as 0, text that is not JSON raises ValueError."""
+    skip = lambda k: _SPACE.match(text, k).end()
+
+    def name(k: int) -> tuple[str, int]:
+        if text[k : k + 1] != '"':
+            raise ValueError(k)
+        key, k = scanstring(text, k + 1, True)
+        k = skip(k)
+        if text[k : k + 1] != ":":
+            raise ValueError(k)
+        return key, skip(k + 1)
+
+    root: list = []
+    open_, keys = [root], [None]
+    k = skip(0)
+    while True:
+        c, opened = text[k : k + 1], False
+        if c in ("{", "["):
+            value = {} if c == "{" else []
+            k = skip(k + 1)
+            opened = text[k : k + 1] != ("}" if c == "{" else "]")
+            k += not opened
+        elif c == '"':
+            value, k = scanstring(text, k + 1, True)
+        elif m := _NUMBER.match(text, k):
+            value, k = 0, m.end()
+        else:
+            word = next((w for w in _NAMES if text.startswith(w, k)), None)
+            if word is None:
+                raise ValueError(k)
+            value, k = _NAMES[word], k + len(word)
+        if isinstance(open_[-1], dict):
+            open_[-1][keys[-1]] = value
+        else:
+            open_[-1].append(value)
+        if opened:
+            open_.append(value)
+            keys.append(None)
+            if c == "{":
+                keys[-1], k = name(k)
+            continue
+        while True:
+            k = skip(k)
+            if len(open_) == 1:
+                if k != len(text):
+                    raise ValueError(k)
+                return root[0]
+            own = isinstance(open_[-1], dict)
+            c = text[k : k + 1]
+            if c == ",":
+                k = skip(k + 1)
+                if own:
+                    keys[-1], k = name(k)
+                break
+            if c != ("}" if own else "]"):
+                raise ValueError(k)
+            open_.pop()
+            keys.pop()
+            k += 1
+
+
 def _deep_links(parent: pa.Array, doc: int, raw: bytes) -> Iterator[pa.RecordBatch]:
-    """Documents nested beyond the index's levels, one by one with the standard parser."""
+    """Documents nested beyond the index's levels, one by one with the standard parser, or :func:`parsed` beyond its depth."""
     try:
-        tree = json.loads(raw, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
-    except (ValueError, RecursionError):
+        try:
+            tree = json.loads(raw, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
+        except RecursionError:
+            tree = parsed(raw.decode(json.detect_encoding(raw), "surrogatepass"))
+    except ValueError:
         return
+    filled = lambda x: isinstance(x, (dict, list)) or x is not None and bool(str(x).strip())
     many = lambda x: [] if x is None else x if isinstance(x, list) else [x]
     found = []
     for p, d in enumerate(many(tree.get("domains") if isinstance(tree, dict) else None)):
@@ -95,7 +168,7 @@ def _deep_links(parent: pa.Array, doc: int, raw: bytes) -> Iterator[pa.RecordBat
         if isinstance(d, dict):
             found += [(p, "stop", k) for k, _ in enumerate(many(d.get("stop_positions")))]
             for k, x in enumerate(many(d.get("numbering"))):
-                if isinstance(x, dict) and x.get("insertion") is not None and str(x["insertion"]).strip():
+                if isinstance(x, dict) and filled(x.get("insertion")):
                     found.append((p, "residue", k))
     for p, item, k in found:
         yield _rows(parent, np.array([doc]), [p], item, [k])
