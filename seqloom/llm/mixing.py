@@ -2,10 +2,10 @@
 
 Each source's budget is its share of all tokens.  Documents are counted by exact token
 length; whole repeats of the source fill what they can, and the remaining budget is met by
-a subset of documents: most of it in proportion to the length counts, the last part by a
-bounded-knapsack program over the lengths that are left, which hits the budget exactly
-wherever the lengths allow it (else the nearest total below).  Which documents of a length
-are taken is decided by a seeded hash.
+a subset of documents: in proportion to the length counts at first, then corrected by a
+bounded-knapsack program over additions and removals, which hits the budget exactly wherever
+the lengths allow it (else the nearest total below; see :data:`PROGRAM_SUMS`).  Which documents
+of a length are taken is decided by a seeded hash.
 
 The program sees counts by length only, never documents, one source to a task.  A hot
 (source, length) group is chosen by hash bucket; only the bucket at the boundary is ranked.
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch, maybe_broadcast
 
-#: The remaining budget that the exact program solves; what lies above is filled with long documents first.
-PROGRAM_TOKENS = 1 << 20
+#: Sums that the program looks at around its first choice, at most: 4 bytes each.  They prove the choice best for lengths
+#: up to 2,895 tokens; beyond, a budget that is met is exact and another is the nearest of these sums.
+PROGRAM_SUMS = 1 << 25
 BUCKETS = 256
 
 
@@ -68,38 +69,51 @@ def source_key(c: Column) -> Column:
     return F.nullif(F.lower(F.translate(F.btrim(c, F.lit(" \t\r\n")), "-", "_")), F.lit(""))
 
 
-def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, program_tokens: int = PROGRAM_TOKENS) -> np.ndarray:
-    """How many documents of each length to take (at most ``counts``) for a total nearest to ``budget`` from below."""
+def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, program_sums: int = PROGRAM_SUMS) -> np.ndarray:
+    """How many documents of each length to take (at most ``counts``) for the total nearest to ``budget`` from below.
+
+    A first choice takes every length in proportion and fills up with long documents, so that less than the
+    longest length D is left.  The program then adds and gives back documents: a best choice differs from
+    any such first choice by sums that stay within 2 D^2 + 2 D either way (of more single steps, in an
+    order that keeps their running sum within D of zero, two would reach the same sum, and what lies
+    between them could be left out).  It stops as soon as the budget is met.
+    """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * max(0, budget) // total for c in counts], np.int64)
+    if budget <= 0:
+        return np.zeros_like(counts)
+    take = np.array([int(c) * budget // total for c in counts], np.int64)
     rest = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths)
-    for k in order:
-        if rest <= program_tokens:
-            break
-        more = min(int(counts[k] - take[k]), max(0, rest - program_tokens // 2) // int(lengths[k]))
+    for k in np.argsort(-lengths, kind="stable"):
+        more = min(int(counts[k] - take[k]), rest // int(lengths[k]))
         take[k] += more
         rest -= more * int(lengths[k])
-    # bounded knapsack: first[s] is the stage at which the sum s was first reached
-    first = np.full(rest + 1, -1, np.int32)
-    first[0] = 0
+    if not rest:
+        return take
+    longest = int(lengths.max())
+    reach = min(2 * longest * (longest + 1), program_sums // 2)
+    low, high = min(reach, budget - rest), min(reach, total - budget + rest)
+    # bounded knapsack over sums -low..high: first[s] is the stage at which the sum s was first reached
+    first = np.full(low + high + 1, -1, np.int32)
+    first[low] = 0
     stages = [(0, 0)]
-    for k in order[::-1]:
-        spare, unit = int(counts[k] - take[k]), 1
-        while spare and first[rest] < 0:
-            n = min(unit, spare)
-            size = n * int(lengths[k])
-            if size > rest:
-                break
-            stages.append((int(k), n))
-            new = (first[: rest + 1 - size] >= 0) & (first[size:] < 0)
-            first[size:][new] = len(stages) - 1
-            spare, unit = spare - n, unit * 2
-    s = int(np.flatnonzero(first >= 0)[-1])
-    while s:
+    for k in np.argsort(lengths, kind="stable"):
+        for sign, spare in ((1, int(counts[k] - take[k])), (-1, int(take[k]))):
+            unit = 1
+            while spare and first[low + rest] < 0:
+                n = min(unit, spare)
+                size = n * int(lengths[k])
+                if size >= len(first):
+                    break
+                stages.append((int(k), sign * n))
+                before, after = (first[:-size], first[size:]) if sign > 0 else (first[size:], first[:-size])
+                new = (before >= 0) & (after < 0)
+                after[new] = len(stages) - 1
+                spare, unit = spare - n, unit * 2
+    s = int(np.flatnonzero(first[: low + rest + 1] >= 0)[-1])
+    while first[s]:
         k, n = stages[first[s]]
         take[k] += n
         s -= n * int(lengths[k])

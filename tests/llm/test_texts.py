@@ -106,7 +106,22 @@ def test_budgets_are_filled_best(seed):
         take = M.fill_budget(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
         got = int((take * lengths).sum())
-        assert got <= budget and (got == max(s for s in reach if s <= budget) or budget - got <= 3 * int(lengths.max()))
+        assert got == max(s for s in reach if s <= budget)
+
+
+def test_many_small_budgets_against_brute_force():
+    rng = np.random.default_rng(9)
+    assert int((M.fill_budget([4, 51], [2, 3], 102) * [4, 51]).sum()) == 102
+    for _ in range(3000):
+        n = int(rng.integers(1, 6))
+        lengths, counts = rng.choice(np.arange(1, 70), n, replace=False), rng.integers(0, 7, n)
+        reach = {0}
+        for l, c in zip(lengths, counts):
+            reach = {s + int(l) * k for s in reach for k in range(c + 1)}
+        budget = int(rng.integers(0, max(1, int((lengths * counts).sum())) + 3))
+        take = M.fill_budget(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * lengths).sum()) == max(s for s in reach if s <= budget)
 
 
 def test_large_budgets_are_exact():
