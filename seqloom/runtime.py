@@ -58,6 +58,12 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Hadoop resolves it to (a path without one lies on ``fs.defaultFS``)."""
+    p, fs = _path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def _delete_on_exit(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
