@@ -1,13 +1,19 @@
 """Occurrences and records of every distinct term, by recursive radix partitioning.
 
-Terms are hashed; the leading hash bits choose a partition.  A bucket that holds more rows
-than a partition should is split by further bits, again and again; a bucket that holds a
-single hot term is split by the bits of the record instead, whose distinct counts add up
-because the splits share no record.  The rows of each partition go to disk in one shuffle
-and DuckDB aggregates them there under a memory limit, spilling into the shared folder.
+The terms of all rows are cut out once and written to disk with their hashes; the leading
+hash bits choose a partition.  A bucket that holds more rows than a partition should is split by further
+bits, again and again; a bucket that holds a single hot term is split by the bits of the record
+instead (of the occurrence where the record is null), whose distinct counts add up because
+the splits share no record.  The rows of each partition go to one task, where DuckDB aggregates
+them under a memory limit.
 
-The plan of the partitions is a bounded table (at most ``MAX_LEAVES`` leaves); the counts
-behind it come from all rows.
+Out of core: where the shared folder is a plain file system, DuckDB spills into it.  On any
+other file system (object stores, HDFS), into which it cannot write, Spark's external sort orders a
+partition by hash, spilling where Spark is told to, and DuckDB gets one run of hash values after the
+other, none larger than a run should be but for a single term's rows, which the plan bounds.
+
+The plan of the partitions is a bounded table (at most ``MAX_LEAVES`` leaves and what hot terms
+add); the counts behind it come from all rows.
 
 Defined results: a field may hold several names; null, empty and ``-`` are no names; a name
 counts once per (record, occurrence key), so redelivered rows change nothing; a null record
@@ -18,18 +24,19 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import shutil
 import uuid
+from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_root
+from ..runtime import Scratch, qualified
 
 BLANKS = " \t\r\n\f\v "
-FIRST_BITS, MORE_BITS, MAX_LEAVES = 12, 6, 16_384
+FIRST_BITS, MORE_BITS, MAX_LEAVES = 12, 6, 65_536
 #: Rows that one DuckDB aggregation takes in at best.
 PARTITION_ROWS = 250_000
 MEMORY_LIMIT = "400MB"
@@ -98,7 +105,8 @@ def plan_partitions(rows: DataFrame, partition_rows: int = PARTITION_ROWS) -> tu
         levels.append(table)
         big, done = list(range(nxt)), done + MORE_BITS
     first_of, ways = F.element_at(_array(base), index + 1), F.element_at(_array(splits), index + 1)
-    part = F.when(ways == 1, first_of).otherwise(first_of + F.pmod(F.xxhash64("rec"), ways).cast("int"))
+    own = F.when(F.col("rec").isNull(), F.xxhash64(F.lit("occ"), "occ")).otherwise(F.xxhash64("rec"))
+    part = F.when(ways == 1, first_of).otherwise(first_of + F.pmod(own, ways).cast("int"))
     return part, max(1, len(load)), len(levels)
 
 
@@ -107,44 +115,77 @@ SELECT f, term, count(*)::BIGINT AS occurrences, count(DISTINCT rec)::BIGINT AS
 FROM (SELECT DISTINCT f, term, rec, occ FROM rows_in) GROUP BY f, term"""
 
 
-def _aggregate(spill: str | None, memory: str):
-    def run(batches):
-        import duckdb
+def _counted(batches, schema: pa.Schema, memory: str, spill: str):
+    import duckdb
 
-        schema = pa.schema([("f", pa.int8()), ("term", pa.string()), ("rec", pa.int64()), ("occ", pa.int64())])
+    con = duckdb.connect(config={"memory_limit": memory, "threads": 1, "temp_directory": spill, "preserve_insertion_order": False})
+    try:
+        con.register("rows_in", pa.RecordBatchReader.from_batches(schema, batches))
+        yield from con.execute(_COUNT).to_arrow_reader(20_000)
+    finally:
+        con.close()
 
-        def feed():
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int8()), b.column(1).cast(pa.string()), b.column(2), b.column(3)], schema=schema)
 
-        own = f"{spill}/{uuid.uuid4().hex}" if spill else ""
-        try:
-            if own:
-                os.makedirs(own)
-        except OSError:  # not writable from here: the partitions are sized for memory
-            own = ""
-        con = duckdb.connect(config={"memory_limit": memory, "threads": 1, "temp_directory": own, "preserve_insertion_order": False})
+def _runs(batches, rows: int):
+    """Lists of batches, sorted by ``h``, that hold at least ``rows`` rows and end with a hash value's last row."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows and n >= rows:
+            h = b.column(4).to_numpy()
+            cut = int(np.searchsorted(h, held[-1].column(4)[-1].as_py(), "right"))
+            if cut < b.num_rows:
+                yield [*held, b.slice(0, cut)]
+                held, n, b = [], 0, b.slice(cut)
+        held.append(b)
+        n += b.num_rows
+    if held:
+        yield held
+
+
+def _aggregate(spill: str | None, memory: str, run_rows: int):
+    schema = pa.schema([("f", pa.int8()), ("term", pa.string()), ("rec", pa.int64()), ("occ", pa.int64())])
+
+    def cast(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int8()), b.column(1).cast(pa.string()), b.column(2), b.column(3)], schema=schema)
+
+    def run(batches):
+        if spill is None:
+            for held in _runs(batches, run_rows):
+                yield from _counted(cast(held), schema, memory, "")
+            return
+        own = f"{spill}/{uuid.uuid4().hex}"
+        os.makedirs(own)
         try:
-            con.register("rows_in", pa.RecordBatchReader.from_batches(schema, feed()))
-            yield from con.execute(_COUNT).to_arrow_reader(20_000)
+            yield from _counted(cast(batches), schema, memory, own)
         finally:
-            con.close()
-            if own:
-                shutil.rmtree(own, ignore_errors=True)
+            shutil.rmtree(own, ignore_errors=True)
 
     return run
 
 
-def term_counts(df: DataFrame, fields: list[str], record: str, occurrence: str, partition_rows: int = PARTITION_ROWS, memory: str = MEMORY_LIMIT) -> DataFrame:
-    """``field_name, term, occurrences, records`` of every distinct term of each field."""
+def _local(path: str) -> str | None:
+    """The plain path of a folder on a ``file:`` system, None on any other."""
+    url = urlparse(path)
+    return unquote(url.path) if url.scheme == "file" else None
+
+
+def term_counts(
+    df: DataFrame, fields: list[str], record: str, occurrence: str, partition_rows: int = PARTITION_ROWS, memory: str = MEMORY_LIMIT, spill_by_sort: bool = False
+) -> DataFrame:
+    """``field_name, term, occurrences, records`` of every distinct term of each field.
+
+    ``spill_by_sort`` takes the way of file systems that DuckDB cannot spill to, wherever the shared folder is.
+    """
     spark = df.sparkSession
+    scratch = Scratch(spark, "terms")
     rows = explode_terms(df.select(*{record: 0, occurrence: 0, **dict.fromkeys(fields)}), fields, record, occurrence)
-    rows = rows.withColumns({"rec": F.col("rec").cast("bigint"), "occ": F.col("occ").cast("bigint")})
+    rows = scratch.table(rows.withColumns({"rec": F.col("rec").cast("bigint"), "occ": F.col("occ").cast("bigint")}), "terms")
     part, n, _ = plan_partitions(rows, partition_rows)
-    root = scratch_root(spark)
-    spill = re.sub("^file:(//)?", "", root) + "/seqloom-terms" if root.startswith(("file:", "/")) else None
-    placed = rows.select(part.alias("part"), "f", "term", "rec", "occ").repartitionById(n, "part").drop("part")
-    counted = placed.mapInArrow(_aggregate(spill, memory), "f tinyint, term string, occurrences bigint, records bigint")
+    spill = None if spill_by_sort else _local(qualified(spark, f"{scratch.base}/spill"))
+    placed = rows.select(part.alias("part"), "f", "term", "rec", "occ", "h").repartitionById(n, "part").drop("part")
+    placed = placed.sortWithinPartitions("h") if spill is None else placed.drop("h")
+    counted = placed.mapInArrow(_aggregate(spill, memory, partition_rows), "f tinyint, term string, occurrences bigint, records bigint")
     whole = counted.groupBy("f", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     names = F.array(*[F.lit(x) for x in fields])
     return whole.select(F.element_at(names, F.col("f") + 1).alias("field_name"), "term", "occurrences", "records")

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,10 +84,11 @@ def domain_rows(n=2500, seed=1):
     return rows + rows[::9]
 
 
+@pytest.mark.parametrize("by_sort", [False, True])
 @pytest.mark.parametrize("partition_rows", [T.PARTITION_ROWS, 300, 40])
-def test_term_counts(spark, partition_rows):
+def test_term_counts(spark, partition_rows, by_sort):
     rows = domain_rows()
-    got = T.term_counts(spark.createDataFrame(rows, DOMAINS).repartition(3), ["v_gene", "j_gene", "chain_type"], "result_no", "dom_no", partition_rows)
+    got = T.term_counts(spark.createDataFrame(rows, DOMAINS).repartition(3), ["v_gene", "j_gene", "chain_type"], "result_no", "dom_no", partition_rows, spill_by_sort=by_sort)
     want = {(f, x.replace("ß", "SS"), n, r) for f, x, n, r in brute_terms([r[:5] for r in rows])}
     assert {tuple(r) for r in got.collect()} == want
 
@@ -127,3 +129,25 @@ def test_aggregation_spills(spark, tmp_path):
     df = spark.range(400_000).select(F.col("id").alias("dom_no"), (F.col("id") % 99_991).alias("result_no"), F.concat(F.lit("a long enough name of a gene "), F.sha2(F.col("id").cast("string"), 256)).alias("v_gene"))
     got = T.term_counts(df, ["v_gene"], "result_no", "dom_no", 10**9, memory="60MB").agg(F.count("*"), F.sum("occurrences"), F.sum("records")).first()
     assert tuple(got) == (400_000, 400_000, 400_000)
+
+
+def test_runs_end_with_a_term():
+    rng = np.random.default_rng(4)
+    h = np.sort(rng.integers(-50, 50, 1000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[k : k + 64])] * 5, names=list("abcde")) for k in range(0, 1000, 64)]
+    runs = [np.concatenate([b.column(4).to_numpy() for b in run]) for run in T._runs(iter(batches), 100)]
+    assert len(runs) > 5 and np.concatenate(runs).tolist() == h.tolist()
+    assert all(a[-1] < b[0] for a, b in zip(runs, runs[1:])) and all(len(r) >= 100 for r in runs[:-1])
+
+
+def test_spill_folder_follows_the_file_system(spark):
+    assert T._local("hdfs://nn/x") is None and T._local("s3a://b/x") is None and T._local("file:/a%20b/c") == "/a b/c"
+    assert T.qualified(spark, "/somewhere").startswith("file:")
+
+
+def test_hot_term_without_records_is_split(spark):
+    df = spark.range(5000).select(F.col("id").alias("dom_no"), F.lit(None).cast("bigint").alias("result_no"), F.lit("hot").alias("v_gene"))
+    part, n, _ = T.plan_partitions(T.explode_terms(df, ["v_gene"], "result_no", "dom_no"), 500)
+    sizes = [r[1] for r in T.explode_terms(df, ["v_gene"], "result_no", "dom_no").groupBy(part.alias("p")).agg(F.count("*")).collect()]
+    assert n <= 11 and len(sizes) == 10 and max(sizes) < 700
+    assert [tuple(r) for r in T.term_counts(df, ["v_gene"], "result_no", "dom_no", 500).collect()] == [("v_gene", "HOT", 5000, 0)]
