@@ -20,6 +20,7 @@ among themselves by text hash.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -72,8 +73,8 @@ def source_key(c: Column) -> Column:
 def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, program_sums: int = PROGRAM_SUMS) -> np.ndarray:
     """How many documents of each length to take (at most ``counts``) for the total nearest to ``budget`` from below.
 
-    A first choice takes every length in proportion and fills up with long documents, so that less than the
-    longest length D is left.  The program then adds and gives back documents: a best choice differs from
+    A first choice takes all lengths in proportion (in the order of length, so that rounding adds up to
+    less than a document) and is corrected by long documents until less than the longest length D is left.  The program then adds and gives back documents: a best choice differs from
     any such first choice by sums that stay within 2 D^2 + 2 D either way (of more single steps, in an
     order that keeps their running sum within D of zero, two would reach the same sum, and what lies
     between them could be left out).  It stops as soon as the budget is met.
@@ -84,10 +85,13 @@ def fill_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, program_su
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    upto = [0, *accumulate(int(c) for c in counts[order])]
+    take = np.zeros_like(counts)
+    take[order] = np.diff(np.array([c * budget // total for c in upto]))
     rest = budget - int((take * lengths).sum())
-    for k in np.argsort(-lengths, kind="stable"):
-        more = min(int(counts[k] - take[k]), rest // int(lengths[k]))
+    for k in order[::-1]:
+        more = min(int(counts[k] - take[k]), rest // int(lengths[k])) if rest >= 0 else -min(int(take[k]), -(rest // int(lengths[k])))
         take[k] += more
         rest -= more * int(lengths[k])
     if not rest:
