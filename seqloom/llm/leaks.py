@@ -10,9 +10,10 @@ the spans from the document window's start that are up to ``max_edits`` words sh
 equal walks, so they meet in every table and are found with certainty; windows with edits
 are found with at least the target recall, for which the number of tables is chosen.
 
-The item windows are the stated query set.  They are indexed in blocks of bounded size,
-each broadcast and held against all documents in one map stage: documents are never
-shuffled, and a block's size does not grow with either table.
+The item windows are the stated query set; documents are cut, embedded and looked up in one
+map stage.  Up to ``block_windows`` item windows travel to the tasks as a broadcast.  More of
+them stay distributed: a filter of fixed size over their LSH keys is broadcast instead, and only
+document windows that pass it are joined with the item windows by (table, key).
 
 Defined results: null or short texts (fewer words than the window) match nothing; repeated
 documents are reported one by one; texts of any length are read whole; a null item key or
@@ -24,7 +25,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
+
 WINDOW, MAX_EDITS = 12, 1
 #: LSH: sampled walk positions of a table, steps of the walk per word, and the recall that the
 #: number of tables is chosen for (at ``max_edits``; verbatim windows always meet).
-SAMPLES, WALK, RECALL, MOST_TABLES = 3, 2, 0.9, 24
-#: Item windows of one broadcast block (each takes (window + repetitions) * 8 bytes).
+SAMPLES, WALK, RECALL, MOST_TABLES = 3, 2, 0.93, 64
+#: Item windows that are broadcast (each takes (window + 2 * repetitions) * 8 bytes); more are joined by their LSH keys.
 BLOCK_WINDOWS = 100_000
+#: Bits of the filter over the LSH keys of items that are joined.
+FILTER_BITS = 27
 #: Document windows that are embedded at a time.
 STEP = 16_384
 
@@ -134,10 +139,13 @@ def expected_recall(edits: int, repetitions: int, trials: int = 2000, window: in
 
 @lru_cache(16)
 def tables_for(edits: int, recall: float = RECALL, window: int = WINDOW, samples: int = SAMPLES) -> int:
-    """Least number of tables (up to ``MOST_TABLES``) with this recall."""
+    """Least number of tables with this recall; a target that ``MOST_TABLES`` do not reach is refused."""
     if not edits:
         return 1
-    return next((r for r in range(1, MOST_TABLES) if expected_recall(edits, r, window=window, samples=samples) >= recall), MOST_TABLES)
+    for r in range(1, MOST_TABLES + 1):
+        if expected_recall(edits, r, window=window, samples=samples) >= recall:
+            return r
+    raise ValueError(f"recall {recall} at {edits} edits takes more than {MOST_TABLES} tables of {samples} samples; fewer samples a table reach it")
 
 
 def _windows(texts: list, hasher: _Hasher, window: int, edits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,6 +264,84 @@ def _search(index, max_edits: int):
     return run
 
 
+# -- items beyond a broadcast ---------------------------------------------------------------------
+
+KEYED = "lsh bigint, owner bigint, at bigint, words binary"
+
+
+def _keyed(embedding: Embedding, edits: int, seen=None):
+    """``KEYED`` rows of every window: its LSH key in each table, its text and place, and its words; ``seen`` filters them."""
+
+    def run(batches):
+        hasher, w = _Hasher(), embedding.window
+        for batch in batches:
+            flat, starts, rows = _windows(batch.column(1).to_pylist(), hasher, w, edits)
+            view = np.lib.stride_tricks.sliding_window_view(flat, w + edits) if len(flat) >= w + edits else None
+            ids, own = batch.column(0), np.arange(len(starts)) - np.searchsorted(rows, rows)
+            for k in range(0, len(starts), STEP):
+                part = np.ascontiguousarray(view[starts[k : k + STEP]])
+                # the table is part of the key
+                keys = embedding.keys(part[:, :w]) + np.arange(embedding.repetitions, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                live = seen.value[keys >> np.uint64(64 - FILTER_BITS + 3)] >> ((keys >> np.uint64(64 - FILTER_BITS)) & np.uint64(7)).astype(np.uint8) & 1 if seen else np.ones(keys.shape, np.uint8)
+                at, table = np.nonzero(live)
+                if len(at):
+                    text = pa.array([part[i].tobytes() for i in at], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at, table].view(np.int64)), ids.take(pa.array(rows[k + at])), pa.array(own[k + at]), text], names=[c.split()[0] for c in KEYED.split(", ")])
+
+    return run
+
+
+def _filter(batches):
+    """The LSH keys of a task's item windows as a bitmap, in pieces of 64 kB."""
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for batch in batches:
+        key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        np.bitwise_or.at(bits, (key >> np.uint64(64 - FILTER_BITS + 3)).astype(np.int64), np.uint8(1) << ((key >> np.uint64(64 - FILTER_BITS)) & np.uint64(7)).astype(np.uint8))
+    pieces = bits.reshape(-1, 1 << 16)
+    used = np.flatnonzero(pieces.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pieces[k].tobytes() for k in used], pa.binary())], names=["piece", "bits"])
+
+
+def _merged(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[k] = held.get(k, np.uint8(0)) | np.frombuffer(raw, np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["piece", "bits"])
+
+
+def _joined(texts: DataFrame, queries: DataFrame, embedding: Embedding, max_edits: int) -> DataFrame:
+    """The same from item windows that stay distributed: keyed, filtered, joined, verified."""
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "leaks")
+    every = scratch.table(queries.mapInArrow(_keyed(embedding, 0), KEYED).dropDuplicates(["lsh", "owner", "words"]), "items")
+    pieces = every.select("lsh").mapInArrow(_filter, "piece int, bits binary").repartition(16, "piece").mapInArrow(_merged, "piece int, bits binary")
+    bits = np.zeros((1 << (FILTER_BITS - 3)) >> 16 << 16, np.uint8).reshape(-1, 1 << 16)
+    for r in pieces.toLocalIterator():
+        bits[r[0]] = np.frombuffer(r[1], np.uint8)
+    seen = spark.sparkContext.broadcast(bits.ravel())
+    docs = texts.mapInArrow(_keyed(embedding, max_edits, seen), KEYED).select("lsh", F.col("owner").alias("doc_id"), F.col("at").alias("doc_at"), F.col("words").alias("doc_words"))
+    met = docs.join(every.select("lsh", F.col("owner").alias("item_id"), F.col("words").alias("item_words")), "lsh")
+    w = embedding.window
+
+    def verify(batches):
+        for batch in batches:
+            n = batch.num_rows
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(n, -1) for k in (2, 4))
+            edits = np.where((a[:, :w] == b).all(axis=1), 0, max_edits + 1)
+            near = np.flatnonzero(edits)
+            if max_edits and len(near):
+                edits[near] = edit_distance(b[near], a[near], max_edits)
+            ok = pa.array(np.flatnonzero(edits <= max_edits))
+            if len(ok):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok), batch.column(3).take(ok), batch.column(4).take(ok), pa.array(edits.astype(np.int32)).take(ok)], names=["doc_id", "doc_at", "item_id", "item_words", "edits"])
+
+    pairs = met.select("doc_id", "doc_at", "doc_words", "item_id", "item_words").mapInArrow(verify, "doc_id bigint, doc_at bigint, item_id bigint, item_words binary, edits int")
+    # a pair of windows may meet in several tables
+    once = pairs.groupBy("doc_id", "item_id", "doc_at", F.xxhash64("item_words").alias("w")).agg(F.min("edits").alias("edits"))
+    return once.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.count("*").alias("windows")).select("doc_id", "item_id", "edits", "windows")
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -271,18 +357,17 @@ def find_leaks(
     """``doc_id, item_id, edits, windows``: documents that hold a passage of an item.
 
     ``edits`` is the least word edit distance of a matching window (0: verbatim) and
-    ``windows`` the number of matching window pairs, a window that an item repeats counting once.
+    ``windows`` the number of matching window pairs, a window that an item repeats counting once
+    (beyond ``block_windows`` document keys must be unique for the windows to be told apart).
     """
     spark = docs.sparkSession
     embedding = Embedding(window, tables_for(max_edits, recall, window))
     queries = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null")
     # half the characters bound the number of words, and so of windows
     size = queries.agg(F.sum(F.length("t")) / 2).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_windows))
     texts = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(doc_text).alias("t")).filter("t is not null")
-    found = []
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow()
-        index = spark.sparkContext.broadcast(ItemIndex(block.column(0).to_pylist(), block.column(1).to_pylist(), embedding))
-        found.append(texts.mapInArrow(_search(index, max_edits), MATCHES))
-    return reduce(DataFrame.unionByName, found)
+    if size > block_windows:
+        return _joined(texts, queries, embedding, max_edits)
+    held = queries.toArrow()
+    index = spark.sparkContext.broadcast(ItemIndex(held.column(0).to_pylist(), held.column(1).to_pylist(), embedding))
+    return texts.mapInArrow(_search(index, max_edits), MATCHES)
