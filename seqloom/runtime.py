@@ -94,6 +94,12 @@ class Scratch:
             fs.delete(p, True)
 
 
+    def close(self) -> None:
+        """Remove everything written here."""
+        p, fs = _path(self.spark, self.base)
+        fs.delete(p, True)
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's size estimate of a (written) table, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
