@@ -1,4 +1,4 @@
-"""Records whose sequences share most of their substrings: an exact set-similarity join.
+"""Records whose sequences share most of their substrings: a set-similarity join.
 
 A record is the set of its distinct ``q``-letter substrings (grams).  Equal texts are one
 set: their answers are taken over from each other, never searched twice.  The join runs on
@@ -14,10 +14,11 @@ an inverted index whose lists are cut into blocks of equal set size, sorted by p
 Nucleotide sets draw on only 4^q grams, so each of their lists would hold a tenth of all
 sets and no position rules anything out.  For them the lists are keyed by bands of
 minwise hashes instead (``BANDS`` bands of ``ROWS``): a pair at the threshold 0.5 meets in
-two or more bands with probability above 0.9995 and unrelated pairs practically never.  A set
-of which at least two thirds of the grams are nucleotide goes to the bands only, one of at
-most one third to the prefix lists only, others to both; by counting grams, a pair split
-between the two routes cannot reach the threshold.
+two or more bands with probability above 0.9995 and unrelated pairs practically never.  At 0.5, a set
+of which more than two thirds of the grams are nucleotide goes to the bands only, one of less
+than one third to the prefix lists only, others to both; by counting grams, a pair split
+between the two routes cannot reach the threshold.  With ``exact`` nucleotide sets take the
+prefix lists as well: nothing is missed, at a cost that grows with the square of their number.
 
 Each text carries a 64-bit mask of its genes (all ones without genes); pairs whose masks do
 not meet cannot be compatible and are dropped in the lists.  Index blocks travel as packed binary rows, one shuffle; texts travel only to verified
@@ -47,6 +48,11 @@ BUCKET_BITS, RANGES = 20, 8
 PART_ENTRIES, PACK_ENTRIES = 1_500_000, 2_000_000
 #: Candidates that a list join expands at a time.
 EXPAND = 4_000_000
+#: Entries of one gram's list that a task joins; longer lists are cut into shards, joined pair by pair.
+LIST_ENTRIES = 1_000_000
+#: Parts that a map task packs for directly; more of them are reached in two steps.
+ONE_STEP = 4096
+LEVEL_STEPS = 1600
 
 _LETTER = np.full(256, 31, np.uint64)
 _LETTER[65:91] = np.arange(26)
@@ -104,9 +110,17 @@ class Sets:
         self.start = np.concatenate(([0], np.cumsum(self.size)[:-1])) if len(length) else self.size
         self.plain_size = np.bincount(self.row[self.plain], minlength=len(length))
 
-    def routes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which texts go to the prefix lists and which to the bands."""
-        return 3 * self.plain_size < 2 * self.size, 3 * self.plain_size > self.size
+    def routes(self, t: float, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts go to the prefix lists and which to the bands; with ``exact`` all go to the lists.
+
+        Sets of overlap o reach ``t`` if o >= s (a + b), s = t / (1 + t).  One with less than a share s of
+        nucleotide grams and one with less than a share s of others stay below that, so of such a
+        pair each needs one route only; at a share of exactly s a set takes both.
+        """
+        if exact:
+            return np.ones(len(self.size), bool), np.zeros(len(self.size), bool)
+        least = t / (1 + t) * self.size - 1e-6
+        return self.size - self.plain_size >= least, self.plain_size >= least
 
 
 _PLAIN_CODE = np.isin(np.arange(32), _LETTER[np.frombuffer(b"ACGTU", np.uint8)].astype(np.int64))
@@ -131,7 +145,7 @@ def bucket(gram: np.ndarray) -> np.ndarray:
 
 def levels(counts: np.ndarray) -> np.ndarray:
     """Counts on a fine logarithmic scale of 16 bits; their order is the order of the grams."""
-    return (np.log2(counts + 1.0) * 1600).astype(np.uint16)
+    return (np.log2(counts + 1.0) * LEVEL_STEPS).astype(np.uint16)
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -181,15 +195,19 @@ def _needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
 
-def _entries(batch: pa.RecordBatch, q: int, t: float, level: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(token, text, position, kind) of the batch's index entries; kind 2: band, 1: index and probe, 0: probe only."""
+def _entries(batch: pa.RecordBatch, q: int, t: float, level: np.ndarray, exact: bool) -> tuple[np.ndarray, ...]:
+    """(token, text, position, kind) of the batch's index entries.
+
+    Kind 2: band, 1: index and probe, 0: probe only; +4: list of two shards, of which only pairs across count; +8: its second shard.
+    """
     s = Sets(batch.column(1), q, level)
-    by_prefix, by_band = s.routes()
+    by_prefix, by_band = s.routes(t, exact)
     own = np.arange(len(s.row)) - s.start[s.row]
     size = s.size[s.row]
     probe = by_prefix[s.row] & (own < size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)
     token, row, pos = s.gram[probe], s.row[probe], own[probe]
-    index = pos < size[probe] - _needed(size[probe], size[probe], t) + 1
+    kind = (pos < size[probe] - _needed(size[probe], size[probe], t) + 1).astype(np.uint8)
+    token, row, pos, kind = _sharded(token, row, pos, kind, level, batch.column(0).to_numpy(zero_copy_only=False))
     dense = np.flatnonzero(by_band & (s.size > 0))
     keys = signatures(s, dense).ravel() | np.uint64(1 << 40)
     n = len(keys)
@@ -197,11 +215,31 @@ def _entries(batch: pa.RecordBatch, q: int, t: float, level: np.ndarray) -> tupl
         np.concatenate((token, keys)),
         np.concatenate((row, np.repeat(dense, BANDS))),
         np.concatenate((pos, np.zeros(n, np.int64))),
-        np.concatenate((index.astype(np.uint8), np.full(n, 2, np.uint8))),
+        np.concatenate((kind, np.full(n, 2, np.uint8))),
         s.size,
     )
 
 
+def _sharded(token, row, pos, kind, level: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The entries, those of long lists once for every pair of shards that holds theirs.
+
+    The number of shards comes from the gram's count over all texts, a bound on its list's length.
+    """
+    ways = np.ceil(np.exp2(level[bucket(token)] / LEVEL_STEPS) / LIST_ENTRIES).astype(np.int64)
+    hot = np.flatnonzero(ways > 1)
+    if not len(hot):
+        return token, row, pos, kind
+    n = ways[hot]
+    own = np.repeat((mix(ids[row[hot]].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64), n)
+    at, other = np.repeat(hot, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    first, second = np.minimum(own, other), np.maximum(own, other)
+    pair = (first * np.repeat(n, n) + second + 1).astype(np.uint64)
+    shard = (mix(token[at] + pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(23)) | np.uint64(1 << 41)
+    side = (kind[at] + 4 * (first != second) + 8 * ((first != second) & (own == second))).astype(np.uint8)
+    cold = np.flatnonzero(ways <= 1)
+    return tuple(np.concatenate((x[cold], y)) for x, y in ((token, shard), (row, row[at]), (pos, pos[at]), (kind, side)))
+
+
 def _pack(ids: np.ndarray, mask: np.ndarray, size: np.ndarray, token, row, pos, kind) -> bytes:
     """One index block: its texts once, then entries sorted by token, column by column."""
     order = np.argsort(token, kind="stable")
@@ -237,7 +275,21 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64), ids[local], size[local], pos, kind, mask[local]
 
 
-def _index(q: int, t: float, level, parts: int):
+def _part(token: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(token.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _blocks(ids, mask, size, token, row, pos, kind, where: np.ndarray) -> pa.RecordBatch:
+    """One packed block for every value of ``where`` among the entries."""
+    order = np.argsort(where, kind="stable")
+    used, cut = np.unique(where[order], return_index=True)
+    blobs = [_pack(ids, mask, size, *(x[mine] for x in (token, row, pos, kind))) for mine in np.split(order, cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
+
+
+def _index(q: int, t: float, level, parts: int, step: int, exact: bool):
+    """Blocks of the index entries, by runs of ``step`` parts."""
+
     def run(batches):
         held, count = [], 0
 
@@ -246,27 +298,41 @@ def _index(q: int, t: float, level, parts: int):
             mask = np.concatenate([h[2] for h in held])
             shift = np.concatenate(([0], np.cumsum([len(h[0]) for h in held])[:-1]))
             token, row, pos, kind, size = (np.concatenate([h[1][k] + (shift[j] if k == 1 else 0) for j, h in enumerate(held)]) for k in range(5))
-            kind = kind.astype(np.uint8)
-            part = (mix(token.astype(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order].astype(np.int64), np.arange(parts + 1))
-            where, blobs = [], []
-            for p in range(parts):
-                mine = order[cut[p] : cut[p + 1]]
-                if len(mine):
-                    where.append(p)
-                    blobs.append(_pack(ids, mask, size, token[mine], row[mine], pos[mine], kind[mine]))
-            return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
+            return _blocks(ids, mask, size, token, row, pos, kind.astype(np.uint8), _part(token, parts) // step)
 
         for batch in batches:
             for piece in pieces(batch, 1):
-                e = _entries(piece, q, t, level.value)
+                e = _entries(piece, q, t, level.value, exact)
                 held.append((piece.column(0).to_numpy(zero_copy_only=False), e, piece.column(2).to_numpy(zero_copy_only=False)))
                 count += len(e[0])
                 if count >= PACK_ENTRIES:
                     yield flush()
                     held, count = [], 0
-        if held:
+        if count:
+            yield flush()
+
+    return run
+
+
+def _repack(parts: int):
+    """Blocks of a run of parts, packed anew part by part."""
+
+    def run(batches):
+        held, count = [], 0
+
+        def flush():
+            token, ids, size, pos, kind, mask = (np.concatenate([h[k] for h in held]) for k in range(6))
+            texts, first, row = np.unique(ids, return_index=True, return_inverse=True)
+            return _blocks(texts, mask[first], size[first], token, row, pos, kind, _part(token, parts))
+
+        for batch in batches:
+            for blob in batch.column(1):
+                held.append(_unpack(blob.as_py()))
+                count += len(held[-1][0])
+                if count >= PACK_ENTRIES:
+                    yield flush()
+                    held, count = [], 0
+        if count:
             yield flush()
 
     return run
@@ -275,7 +341,7 @@ def _index(q: int, t: float, level, parts: int):
 def join_lists(token, ids, size, pos, kind, mask, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(text a, text b, weight) of the candidates of one part, in chunks."""
     for band in (False, True):
-        mine = np.flatnonzero((kind == 2) == band)
+        mine = np.flatnonzero(((kind & 3) == 2) == band)
         if not len(mine):
             continue
         # a list of one text answers nothing; most grams are such, so they go before the full sort
@@ -287,7 +353,7 @@ def join_lists(token, ids, size, pos, kind, mask, t: float) -> Iterator[tuple[np
             continue
         order = mine[np.lexsort((ids[mine], pos[mine], size[mine], token[mine]))]
         tk, sz, ps, iv, kd, mk = (x[order] for x in (token, size, pos, ids, kind, mask))
-        stored = np.flatnonzero(kd >= 1)
+        stored = np.flatnonzero(kd & 3)
         if not len(stored):
             continue
         # blocks of the stored entries: runs of equal token and size, sorted by position
@@ -320,11 +386,11 @@ def join_lists(token, ids, size, pos, kind, mask, t: float) -> Iterator[tuple[np
                 probe, blk, need = probe[fits], blk[fits], need[fits]
                 stop = np.searchsorted(pos_key, blk * wide + (b_size[blk] - need), "right")
             count = np.maximum(stop - head[blk], 0)
-            yield from _pairs(probe, head[blk], count, stored, iv, sz, mk, 1 if band else MEETINGS)
+            yield from _pairs(probe, head[blk], count, stored, iv, sz, mk, kd, 1 if band else MEETINGS)
             at = to
 
 
-def _pairs(probe, start, count, stored, ids, size, mask, weight) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _pairs(probe, start, count, stored, ids, size, mask, kind, weight) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     total = np.concatenate(([0], np.cumsum(count)))
     at = 0
     while at < len(count):
@@ -335,6 +401,7 @@ def _pairs(probe, start, count, stored, ids, size, mask, weight) -> Iterator[tup
         a, b = ids[left], ids[right]
         # each pair once: the stored set is the smaller one, ties by id
         keep = ((size[right] < size[left]) | (b < a)) & ((mask[left] & mask[right]) != 0)
+        keep &= ((kind[left] & 4) == 0) | (((kind[left] ^ kind[right]) & 8) != 0)
         a, b = a[keep], b[keep]
         yield np.minimum(a, b), np.maximum(a, b), weight
         at = to
@@ -397,7 +464,7 @@ def _bit(gene: Column) -> Column:
 class NearPairs:
     """The join over ``df``; ``members`` holds every record's class, ``links`` the pairs of classes."""
 
-    def __init__(self, df: DataFrame, key: str, sequence: str, gene_names: Column, q: int = Q, t: float = THRESHOLD, min_length: int = MIN_LENGTH, part_entries: int = PART_ENTRIES):
+    def __init__(self, df: DataFrame, key: str, sequence: str, gene_names: Column, q: int = Q, t: float = THRESHOLD, min_length: int = MIN_LENGTH, part_entries: int = PART_ENTRIES, exact: bool = False):
         spark = df.sparkSession
         self.scratch = scratch = Scratch(spark, "near")
         kept = df.select(F.col(key).cast("bigint").alias("k"), kept_letters(F.col(sequence)).alias("s"), base_genes(gene_names).alias("genes"))
@@ -407,15 +474,19 @@ class NearPairs:
         bits = F.aggregate("genes", F.lit(0).cast("bigint"), lambda acc, g: acc.bitwiseOR(_bit(g)))
         texts = scratch.table(kept.withColumn("mask", F.when(F.size("genes") > 0, bits).otherwise(F.lit(-1).cast("bigint"))).groupBy("c", "c2", "s").agg(F.bit_or("mask").alias("mask")), "texts")
 
-        counted, grams, dense = self._levels(texts, q)
+        counted, grams, dense = self._levels(texts, q, t, exact)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(grams // 2 + dense * BANDS) // part_entries))
         level = spark.sparkContext.broadcast(counted)
-        blocks = texts.select("c", "s", "mask").mapInArrow(_index(q, t, level, parts), "part int, block binary").repartitionById(parts, "part")
+        step = -(-parts // max(1, min(parts, ONE_STEP)))
+        schema = "part int, block binary"
+        blocks = texts.select("c", "s", "mask").mapInArrow(_index(q, t, level, parts, step, exact), schema).repartitionById(-(-parts // step), "part")
+        if step > 1:
+            blocks = blocks.mapInArrow(_repack(parts), schema).repartitionById(parts, "part")
         met = blocks.mapInArrow(_join(t), "a bigint, b bigint, met int").groupBy("a", "b").agg(F.sum("met").alias("met"))
         candidates = scratch.table(met.filter(F.col("met") >= MEETINGS).select("a", "b"), "candidates")
         self.links = self._verified(candidates, texts, q, t)
 
-    def _levels(self, texts: DataFrame, q: int) -> tuple[np.ndarray, int, int]:
+    def _levels(self, texts: DataFrame, q: int, t: float, exact: bool) -> tuple[np.ndarray, int, int]:
         """Level of every bucket by the number of its grams over all texts, the grams, and the texts that go to bands."""
         width = (1 << BUCKET_BITS) // RANGES
 
@@ -424,7 +495,7 @@ class NearPairs:
             for batch in batches:
                 for piece in pieces(batch, 0):
                     s = Sets(piece.column(0), q)
-                    by_prefix, by_band = s.routes()
+                    by_prefix, by_band = s.routes(t, exact)
                     total += np.bincount(bucket(s.gram[by_prefix[s.row]]), minlength=len(total))
                     dense += int(by_band.sum())
             packed = [zstandard.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in range(RANGES)]
@@ -471,6 +542,27 @@ class NearPairs:
         return every.select(F.least("ka", "kb").alias("result_a"), F.greatest("ka", "kb").alias("result_b"))
 
     def classes(self) -> DataFrame:
-        """One row per record: its class (of equal texts) and the number of records it is paired with."""
-        n = self.pairs().select(F.explode(F.array("result_a", "result_b")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
-        return self.members.join(n, "k", "left").select(F.col("k").alias("result_no"), F.col("c").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        """One row per record: its class (of equal texts, named by its least key) and the number of records it is paired with.
+
+        Records of one class and one set of genes are one group; groups are counted against each other, so
+        copies are never expanded into pairs.
+        """
+        group = ["c", "c2", "g"]
+        m = self.members.withColumn("g", F.array_sort("genes"))
+        sizes = self.scratch.table(m.groupBy(*group).agg(F.count("*").alias("n"), F.min("k").alias("least")), "groups")
+        named = sizes.groupBy("c", "c2").agg(F.min("least").alias("class_id"))
+        left, right = (sizes.select(F.col("c").alias(x), F.col("c2").alias(f"{x}2"), F.col("g").alias(f"g{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        agree = F.expr("size(ga) = 0 or size(gb) = 0 or arrays_overlap(ga, gb)")
+        across = self.links.select("a", "a2", "b", "b2").join(left, ["a", "a2"]).join(right, ["b", "b2"]).filter(agree)
+        own = left.join(right.withColumnsRenamed({"b": "a", "b2": "a2"}), ["a", "a2"]).filter(agree)
+        count = lambda x, gx, n: F.struct(F.col(x).alias("c"), F.col(f"{x}2").alias("c2"), F.col(gx).alias("g"), n.alias("n"))
+        both = across.select(F.explode(F.array(count("a", "ga", F.col("nb")), count("b", "gb", F.col("na")))).alias("x")).select("x.*")
+        # a record is not its own partner
+        inner = own.select("a", "a2", "ga", (F.col("nb") - (F.col("ga") == F.col("gb")).cast("bigint")).alias("n")).toDF(*group, "n")
+        links = both.unionByName(inner).groupBy(*group).agg(F.sum("n").alias("links"))
+        rows = m.join(links, group, "left").join(named, ["c", "c2"])
+        return rows.select(F.col("k").alias("result_no"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+    def close(self) -> None:
+        """Remove the written tables; nothing of the join can be read afterwards."""
+        self.scratch.close()

@@ -46,7 +46,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of equal texts of every record and how many other texts are near."""
+    """The class of equal texts of every record and with how many records it is paired."""
     return _near(spark, sf_dir).classes()
 
 
@@ -94,6 +94,19 @@ WITH names AS (
   FROM (SELECT DISTINCT * FROM terms WHERE term NOT IN ('', '-')) GROUP BY 1, 2)
 """
 
+_PAIRS = """s AS (SELECT result_no, regexp_replace(upper(sequence), '[^A-Z*]', '', 'g') AS q,
+    list_filter(list_distinct(list_transform(coalesce(domains, []), lambda d: regexp_replace(upper(split_part(coalesce(d.v_gene, ''), '*', 1)), '\\s+', '', 'g'))), lambda g: g <> '') AS genes
+  FROM numbering_results),
+r AS (SELECT * FROM s WHERE length(q) >= 20),
+g AS (SELECT DISTINCT result_no, substring(q, i::INT, 6) AS x FROM (SELECT result_no, q, unnest(range(1, length(q) - 4)) AS i FROM r)),
+n AS (SELECT result_no, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.result_no AS a, b.result_no AS b, count(*) AS o FROM g a JOIN g b ON a.x = b.x AND a.result_no < b.result_no GROUP BY 1, 2),
+pairs AS (
+SELECT o.a AS result_a, o.b AS result_b FROM o JOIN n na ON na.result_no = o.a JOIN n nb ON nb.result_no = o.b
+JOIN r ra ON ra.result_no = o.a JOIN r rb ON rb.result_no = o.b
+WHERE 3 * o.o >= na.n + nb.n AND (len(ra.genes) = 0 OR len(rb.genes) = 0 OR list_has_any(ra.genes, rb.genes)))
+"""
+
 SQL = {
     "p1_found": """
 SELECT hmm_name, rank_no, hit_no FROM (
@@ -104,18 +117,11 @@ WHERE rank_no <= 10""",
     "p2_found": _TERMS
     + """SELECT field_name, term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark FROM counts
 WHERE records <= 2 OR records > 0.1 * (SELECT count(DISTINCT result_no) FROM domain_results)""",
-    "p5_found": """
-WITH s AS (
-  SELECT result_no, regexp_replace(upper(sequence), '[^A-Z*]', '', 'g') AS q,
-    list_filter(list_distinct(list_transform(coalesce(domains, []), lambda d: regexp_replace(upper(split_part(coalesce(d.v_gene, ''), '*', 1)), '\\s+', '', 'g'))), lambda g: g <> '') AS genes
-  FROM numbering_results),
-r AS (SELECT * FROM s WHERE length(q) >= 20),
-g AS (SELECT DISTINCT result_no, substring(q, i::INT, 6) AS x FROM (SELECT result_no, q, unnest(range(1, length(q) - 4)) AS i FROM r)),
-n AS (SELECT result_no, count(*) AS n FROM g GROUP BY 1),
-o AS (SELECT a.result_no AS a, b.result_no AS b, count(*) AS o FROM g a JOIN g b ON a.x = b.x AND a.result_no < b.result_no GROUP BY 1, 2)
-SELECT o.a AS result_a, o.b AS result_b FROM o JOIN n na ON na.result_no = o.a JOIN n nb ON nb.result_no = o.b
-JOIN r ra ON ra.result_no = o.a JOIN r rb ON rb.result_no = o.b
-WHERE 3 * o.o >= na.n + nb.n AND (len(ra.genes) = 0 OR len(rb.genes) = 0 OR list_has_any(ra.genes, rb.genes))""",
+    "p5_found": "WITH " + _PAIRS + "SELECT * FROM pairs",
+    "p5_classes": "WITH "
+    + _PAIRS
+    + """, c AS (SELECT k, count(*) AS links FROM (SELECT result_a AS k FROM pairs UNION ALL SELECT result_b FROM pairs) GROUP BY 1)
+SELECT r.result_no, min(r.result_no) OVER (PARTITION BY r.q) AS class_id, coalesce(c.links, 0)::BIGINT AS links FROM r LEFT JOIN c ON c.k = r.result_no""",
     "p6_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\p{Cf}', '', 'g')), '[\p{L}\p{N}]+') AS w FROM eval_items),

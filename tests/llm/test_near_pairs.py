@@ -1,6 +1,7 @@
 """The set join against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -101,10 +102,43 @@ def test_copies_and_edges(spark):
     ]
     assert pairs(spark, rows) == brute(rows)
     classes = {r.result_no: r for r in N.NearPairs(spark.createDataFrame(rows, ROWS), "result_no", "sequence", F.col("v")).classes().collect()}
-    assert classes[1].class_id == classes[2].class_id == classes[3].class_id != classes[4].class_id
+    assert classes[1].class_id == classes[2].class_id == classes[3].class_id == 1 != classes[4].class_id
     assert classes[1].links == 2 and set(classes) == {1, 2, 3, 4, 8, 9, 10, 11}
 
 
+def test_links_of_classes_are_those_of_the_pairs(spark):
+    rows = family(6, 80)
+    rows += [(2000 + k, rows[k % 9][1], [None, ["A"], ["B", "A*2"], ["B"], []][k % 5], *rows[0][3:]) for k in range(40)]
+    near = N.NearPairs(spark.createDataFrame(rows, ROWS), "result_no", "sequence", F.col("v"))
+    links = Counter(k for pair in brute(rows) for k in pair)
+    assert {r.result_no: r.links for r in near.classes().collect()} == {r[0]: links[r[0]] for r in rows if len(norm(r[1])) >= 20}
+    near.close()
+
+
+def test_pair_between_the_routes(spark):
+    """Two thirds of one set's grams and one third of the other's are nucleotide, at exactly the threshold."""
+    rng = random.Random(0)
+    letters = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    shared = letters("ACGT", 35) + letters("DEFHIKLMNPQRSVWY", 30)
+    a, b = letters("ACGT", 30) + shared, shared + letters("DEFHIKLMNPQRSVWY", 30)
+    sets = N.Sets(pa.array([a, b]), 6)
+    assert sets.size.tolist() == [90, 90] and sets.plain_size.tolist() == [60, 30]
+    rows = [(1, a, None, "", "", "", ""), (2, b, None, "", "", "", "")]
+    assert pairs(spark, rows) == brute(rows) == {(1, 2)}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_long_lists_and_two_steps(spark, monkeypatch, exact):
+    monkeypatch.setattr(N, "LIST_ENTRIES", 3)
+    monkeypatch.setattr(N, "ONE_STEP", 3)
+    monkeypatch.setattr(N, "PACK_ENTRIES", 4000)
+    rows = family(11, 80)
+    base = rows[4][1]
+    rng = random.Random(1)
+    rows += [(3000 + k, edited(rng, base.upper(), k % 4, "ACDEFGHIKL"), None, "", "", "", "") for k in range(20)]
+    assert pairs(spark, rows, part_entries=400, exact=exact) == brute(rows)
+
+
 def test_nothing(spark):
     assert N.NearPairs(spark.createDataFrame([], ROWS), "result_no", "sequence", F.col("v")).pairs().count() == 0
     assert pairs(spark, [(1, "A" * 5, None, "", "", "", "")]) == set()
