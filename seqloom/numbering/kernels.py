@@ -10,6 +10,8 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import groupby
 
+import numpy as np
+
 from .tables import LETTERS, NONE, WOLF_L1, WOLF_L1_OTHER, Canonical, Fill, FrontLetters, FrontStretch, Scheme, Symmetric, blosum62, scheme_for
 
 State = tuple[int, str, int | None]
@@ -20,19 +22,25 @@ class TooManyInsertions(Exception):
     """A region has no letters left."""
 
 
-def state_vector(
-    path: list[tuple[int, str]], seq_start: int, seq_end: int, hmm_start: int, hmm_end: int, seq_len: int, domain_index: int = 0, n_domains: int = 1, model_length: int = 128
-) -> list[State]:
-    """Attach sequence indexes to a path and reach out to ends the alignment just missed.
+def reach(domain_index, n_domains, seq_start, seq_end, hmm_start, hmm_end, model_length, seq_len) -> tuple[np.ndarray, np.ndarray]:
+    """How many residues in front of each alignment and behind it belong to the domain.
 
     The first domain takes in up to four residues in front; a single domain takes in the
     residues behind if its alignment stops within the model's last states.
     """
-    out: list[State] = []
-    if domain_index == 0 and 2 <= hmm_start <= 5:
-        lack = hmm_start - 1
-        n = min(seq_start, lack - seq_start) if lack > seq_start else lack
-        out += [(hmm_start - k, "m", seq_start - k) for k in range(n, 0, -1)]
+    lack = hmm_start - 1
+    front = np.where(lack > seq_start, np.minimum(seq_start, lack - seq_start), lack)
+    front = np.where((domain_index == 0) & (hmm_start >= 2) & (hmm_start <= 5), np.maximum(front, 0), 0)
+    behind = np.where((n_domains == 1) & (hmm_end > 123) & (hmm_end < model_length), np.minimum(seq_len - seq_end, model_length - hmm_end), 0)
+    return front, np.maximum(behind, 0)
+
+
+def state_vector(
+    path: list[tuple[int, str]], seq_start: int, seq_end: int, hmm_start: int, hmm_end: int, seq_len: int, domain_index: int = 0, n_domains: int = 1, model_length: int = 128
+) -> list[State]:
+    """Attach sequence indexes to a path and :func:`reach` out to ends the alignment just missed."""
+    n, behind = (int(x) for x in reach(*map(np.asarray, (domain_index, n_domains, seq_start, seq_end, hmm_start, hmm_end, model_length, seq_len))))
+    out: list[State] = [(hmm_start - k, "m", seq_start - k) for k in range(n, 0, -1)]
     at = seq_start
     for state, kind in path:
         if kind == "d":
@@ -40,9 +48,7 @@ def state_vector(
         elif kind in ("m", "i"):
             out.append((state, kind, at))
             at += 1
-    if n_domains == 1 and 123 < hmm_end < model_length:
-        out += [(hmm_end + 1 + k, "m", seq_end + k) for k in range(min(seq_len - seq_end, model_length - hmm_end))]
-    return out
+    return out + [(hmm_end + 1 + k, "m", seq_end + k) for k in range(behind)]
 
 
 # Boundary zones in which insertions are moved into the loop: (first, last state, loop follows the zone).
@@ -173,7 +179,7 @@ def _canonical(residues: str) -> list[Label]:
             raise TooManyInsertions
         return [(p, NONE) for p in sorted(WOLF_L1_OTHER[: len(residues)])]
     scores = [sum(blosum62(a.upper(), b) for a, b in zip(residues, form)) for form, _ in forms]
-    return [(500 + p, NONE) for p in forms[scores.index(max(scores))][1]]
+    return [(p, NONE) for p in forms[scores.index(max(scores))][1]]
 
 
 def _front(rule: FrontLetters | FrontStretch, part: list[tuple[Label, str]]) -> list[Label] | None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import allowed_chains, profile_chain, profile_species
@@ -61,13 +61,20 @@ def select_domains(hits: DataFrame, key: str = "result_no", ordinal: str = "hit_
     )
 
 
+def frame_rank() -> Column:
+    """Order of frames, best first: most domains, highest total, highest score of its first domain, then frame order."""
+    return F.struct((-F.col("n_domains")).alias("n"), (-F.col("total_score")).alias("total"), (-F.col("first_score")).alias("first"), "frame_no")
+
+
 def best_frame(frames: DataFrame, key: str = "ordinal") -> DataFrame:
-    """One frame per sequence: most domains, highest total, highest score of its first domain, then frame order.
+    """The best frame of every sequence by :func:`frame_rank`.
 
-    ``frames`` has one row a frame with ``frame_no, n_domains, total_score, first_score``.
+    ``frames`` has one row a frame with ``frame_no, n_domains, total_score, first_score``; the choice is a
+    minimum, combined map-side.
     """
-    w = Window.partitionBy(key).orderBy(F.col("n_domains").desc(), F.col("total_score").desc(), F.col("first_score").desc(), "frame_no")
-    return frames.filter("n_domains > 0").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rest = [c for c in frames.columns if c != key]
+    best = frames.filter("n_domains > 0").groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), frame_rank()).alias("_b"))
+    return best.select(key, *[F.col("_b").getField(c).alias(c) for c in rest])
 
 
 def with_profile(hits: DataFrame) -> DataFrame:

@@ -170,9 +170,11 @@ def _documents(spark, sf_dir):
 
 
 def profile_search(spark, sf_dir):
-    """Hits of every protein record against every profile built from the gene table."""
+    """Hits of every record, DNA in six frames, against every profile built from the gene table; equal peptides are searched once."""
     r, profiles, _ = _documents(spark, sf_dir)
-    return pipeline.find_hits(pipeline.peptides(r).filter(F.col("part") == pipeline.WHOLE), profiles, 60.0).drop("path")
+    kept = pipeline.searched_texts(Scratch(spark, "search").table(pipeline.peptides(r)), profiles, 60.0)
+    hits = kept.select("key", "part", F.posexplode("kept").alias("domain_index", "h"))
+    return hits.select("key", "part", "domain_index", "h.hmm_name", F.round("h.bit_score", 6).alias("bit_score"), F.col("h.start").alias("seq_start"), F.col("h.end").alias("seq_end"), "h.hmm_start", "h.hmm_end", "h.path")
 
 
 def number_sequences(spark, sf_dir):
@@ -185,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile_names, score_threshold, chain_restrict, species_fallback, greedy_domains, frame_choice, germline_species, germline_model_lengths, scheme_catalog,
-        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, domain_identity, domain_order, *map(_numbering, NAMES),
+        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, domain_identity, domain_order, *map(_numbering, NAMES), profile_search, number_sequences,
     )
 }
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.labels import allowed_chains, class_of_chain, profile_chain, profile_species
-from ..numbering.kernels import state_vector
+from ..numbering.kernels import reach
 from ..numbering.tables import resolve_scheme
 from ..numbering.udf import number_domains
 from ..operators.germline import assign_germlines, model_lengths
@@ -47,8 +48,8 @@ def peptides(records: DataFrame) -> DataFrame:
     return protein.unionByName(frames.filter(S.valid_protein(F.col("sequence"))))
 
 
-def choose(hits: DataFrame, species: list[str] | None) -> DataFrame:
-    """One row per record: its best part with the chosen hits in order of start."""
+def _kept(hits: DataFrame, species: list[str] | None) -> DataFrame:
+    """One row per searched text: its hits that do not overlap, in order of start."""
     names = [s.strip().lower() for s in species or [] if s.strip()]
     h = F.struct(
         (-F.col("bit_score")).alias("rank"), F.col("profile_ordinal").alias("ordinal"), F.col("seq_start").alias("start"), F.col("seq_end").alias("end"), "hmm_name", "bit_score", "evalue", "evalue_text", "hmm_start", "hmm_end", "path"
@@ -57,7 +58,11 @@ def choose(hits: DataFrame, species: list[str] | None) -> DataFrame:
     if names:
         asked = F.filter("hits", lambda x: F.lower(profile_species(x["hmm_name"])).isin(*names))
         per_part = per_part.withColumn("hits", F.when(F.size(asked) > 0, asked).otherwise(F.col("hits")))
-    kept = per_part.select("key", "part", best_apart(F.col("hits")).alias("kept"))
+    return per_part.select("key", "part", best_apart(F.col("hits")).alias("kept"))
+
+
+def choose(kept: DataFrame) -> DataFrame:
+    """The best part of every record; ``kept`` are its parts' chosen hits."""
     judged = kept.withColumns(
         {
             "n_domains": F.size("kept"),
@@ -69,30 +74,60 @@ def choose(hits: DataFrame, species: list[str] | None) -> DataFrame:
     return best_frame(judged, "key").select("key", "part", "kept", "n_domains")
 
 
+def searched_texts(pep: DataFrame, profiles: list[Profile], threshold: float, species: list[str] | None = None) -> DataFrame:
+    """``key, part, kept`` of every peptide with hits; equal texts are searched once.
+
+    A text goes by 96 bits of hash.  The join back has one row a text on its side, so a text that very
+    many records share is left to the adaptive skew join.
+    """
+    ids = pep.select("key", "part", F.xxhash64("sequence").alias("h"), F.hash("sequence").alias("g"), "sequence")
+    texts = ids.groupBy("h", "g").agg(F.first("sequence").alias("sequence"))
+    kept = _kept(find_hits(texts, profiles, threshold, "h", "g"), species).toDF("h", "g", "kept")
+    return ids.drop("sequence").join(kept, ["h", "g"]).select("key", "part", "kept")
+
+
+J_REGION = "struct<first:int,states:array<int>,kinds:string>"
+
+
 def _rescued(domains: DataFrame, profiles: list[Profile], lengths: DataFrame) -> DataFrame:
-    """``key, part, j_region`` of lone domains cut off after their second cysteine, where a J region lies behind it."""
-    seated = F.filter("path", lambda s: s["kind"] != "d")
-    before_cys = F.size(F.filter("path", lambda s: (s["state"] < 104) & (s["kind"] != "d")))
-    cut = domains.filter((F.col("n_domains") == 1) & (F.element_at(seated, -1)["state"] < 120) & (F.col("seq_end") - 1 + RESCUE_REST < F.length("sequence")) & F.exists("path", lambda s: (s["state"] == 104) & (s["kind"] == "m")))
-    asked = cut.select("key", "part", (F.col("seq_start") + before_cys).alias("cys"), "sequence").withColumn("rest", F.substr("sequence", F.col("cys") + 2))
-    hits = find_hits(asked, profiles, RESCUE_BITS, text="rest")
-    best = choose(hits, None).select("key", "part", "n_domains", F.element_at("kept", 1).alias("h"))
-    rows = best.join(asked.select("key", "part", "cys", "rest"), ["key", "part"]).withColumns({"species": profile_species(F.col("h.hmm_name")), "chain_type": profile_chain(F.col("h.hmm_name"))})
+    """``key, part, j_region`` of lone domains cut off after their second cysteine, where a J region lies behind it.
+
+    ``j_region``: its first sequence index, and states and kinds of its residues.
+    """
+    # the kinds' text holds the states: each match and delete moves on, so state 104 is behind a known number of them
+    moved = F.length(F.translate("path", "i", ""))
+    last_seat = F.col("hmm_start") + moved - 1 - F.length(F.regexp_extract("path", "(d*)$", 1))
+    until = F.concat(F.lit("^((?:i*[md]){"), F.greatest(F.lit(0), 104 - F.col("hmm_start")).cast("string"), F.lit("}i*)m"))
+    seats = F.length(F.translate(F.call_function("regexp_extract", F.col("path"), until, F.lit(1)), "d", ""))
+    cut = domains.filter((F.col("n_domains") == 1) & (F.col("hmm_start") <= 104) & (F.col("seq_end") - 1 + RESCUE_REST < F.length("sequence")) & (last_seat < 120) & F.rlike("path", until))
+    asked = cut.withColumn("cys", F.col("seq_start") + seats).select("key", "part", "cys", F.substr("sequence", F.col("cys") + 2).alias("rest"))
+    best = _kept(find_hits(asked, profiles, RESCUE_BITS, text="rest"), None).select("key", "part", F.size("kept").alias("n_domains"), F.element_at("kept", 1).alias("h"))
+    rows = best.join(asked.select("key", "part", "cys", F.length("rest").alias("n")), ["key", "part"]).withColumns({"species": profile_species(F.col("h.hmm_name")), "chain_type": profile_chain(F.col("h.hmm_name"))})
     rows = rows.join(maybe_broadcast(lengths), ["species", "chain_type"], "left").select(
-        "key", "part", "cys", F.length("rest").alias("n"), "n_domains", F.coalesce("model_length", F.lit(128)).alias("model_length"), F.col("h.start").alias("s"), F.col("h.end").alias("e"), F.col("h.hmm_start").alias("a"), F.col("h.hmm_end").alias("z"), F.col("h.path").alias("path")
+        "key", "part", "cys", "n", "n_domains", F.coalesce("model_length", F.lit(128)).alias("model_length"), F.col("h.start").alias("s"), F.col("h.end").alias("e"), F.col("h.hmm_start").alias("a"), F.col("h.hmm_end").alias("z"), F.col("h.path").alias("path")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                vector = state_vector([(int(x["state"]), x["kind"]) for x in r.path], r.s, r.e, r.a, r.z, r.n, 0, r.n_domains, r.model_length)
-                if vector and vector[0][0] <= 117 and vector[-1][0] >= 126:
-                    j = [{"state": s, "kind": k, "seq_index": i + r.cys + 1} for s, k, i in vector if s >= 117 and i is not None]
-                    out.append((r.key, r.part, j))
-            yield pd.DataFrame(out, columns=["key", "part", "j_region"])
-
-    return rows.mapInPandas(run, "key bigint, part int, j_region array<struct<state:int,kind:string,seq_index:int>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            cys, n, count, model, s, e, a, z = (col[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cys", "n", "n_domains", "model_length", "s", "e", "a", "z"))
+            front, behind = reach(0 * n, count, s, e, a, z, model, n)
+            at, found = [], []
+            for r, path in enumerate(col["path"].to_pylist()):
+                kinds = "m" * int(front[r]) + path + "m" * int(behind[r])
+                code = np.frombuffer(kinds.encode(), np.uint8)
+                state = a[r] - front[r] - 1 + np.cumsum(code != ord("i"))
+                state[len(kinds) - int(behind[r]) :] = z[r] + 1 + np.arange(int(behind[r]))
+                index = s[r] - front[r] - 1 + np.cumsum(code != ord("d")) + cys[r] + 1
+                own = np.flatnonzero((state >= 117) & (code != ord("d")))
+                if len(own) and state[0] <= 117 and state[-1] >= 126:
+                    at.append(r)
+                    found.append({"first": int(index[own[0]]), "states": state[own].tolist(), "kinds": code[own].tobytes().decode()})
+            take = pa.array(at, pa.int64())
+            kind = pa.struct([("first", pa.int32()), ("states", pa.list_(pa.int32())), ("kinds", pa.string())])
+            yield pa.RecordBatch.from_arrays([col["key"].take(take), col["part"].take(take), pa.array(found, kind)], names=["key", "part", "j_region"])
+
+    return rows.mapInArrow(run, f"key bigint, part int, j_region {J_REGION}")
 
 
 def numbered_domains(
@@ -106,21 +141,21 @@ def numbered_domains(
     if name is None:
         raise ValueError(f"unknown scheme {scheme!r}")
     chains = allowed_chains(restrict, name)
-    pep = peptides(records)
-    searched = [p for p in profiles if (p.name.split("_", 1) + ["H"])[1] in chains]
-    # the search is by far the dearest step and three later ones read it: it is written once
+    # frames, hits and numberings are each read by several later steps: they are written once
     scratch = Scratch(records.sparkSession, "numbering")
-    chosen = scratch.table(choose(find_hits(pep, searched, threshold), species), "chosen")
+    pep = scratch.table(peptides(records), "peptides")
+    searched = [p for p in profiles if (p.name.split("_", 1) + ["H"])[1] in chains]
+    chosen = choose(scratch.table(searched_texts(pep, searched, threshold, species), "kept"))
     lengths = model_lengths(germlines)
     d = chosen.select("key", "part", "n_domains", F.posexplode("kept").alias("domain_index", "h")).select(
         "key", "part", "n_domains", "domain_index", F.col("h.start").alias("seq_start"), F.col("h.end").alias("seq_end"), "h.hmm_name", "h.bit_score", "h.evalue", "h.evalue_text", "h.hmm_start", "h.hmm_end", "h.path"
     )
     d = d.withColumns({"species": profile_species(F.col("hmm_name")), "chain_type": profile_chain(F.col("hmm_name"))})
     d = d.join(maybe_broadcast(lengths), ["species", "chain_type"], "left").withColumn("model_length", F.coalesce("model_length", F.lit(128)))
-    d = d.join(pep, ["key", "part"])
+    d = scratch.table(d.join(pep, ["key", "part"]), "domains")
     if rescue:
-        d = d.join(_rescued(d, profiles, lengths), ["key", "part"], "left")
-    d = scratch.table(d, "domains")
+        j = scratch.table(_rescued(d, profiles, lengths), "j_regions")
+        d = d.join(maybe_broadcast(j), ["key", "part"], "left")
     ids = ["key", "domain_index"]
     numbered = scratch.table(number_domains(d, name, rescue), "numbered")
     genes = assign_germlines(numbered.join(d.select(*ids, "chain_type"), ids), germlines, ids, species)

@@ -1,15 +1,20 @@
 """Sequences against every profile: local Viterbi scores, spans and state paths.
 
-All sequences of a batch go through a profile together: one step of the recurrence is a few
-numpy operations over (sequences, states), the chain of deletes becomes a running maximum.
-Nothing is cut by e-value, coverage or a prefilter; only the score threshold applies.  Spans
-are aligned again, globally, only for hits that pass it.
+All sequences of a batch go through a profile together, in order of length: one step of the
+recurrence is a few numpy operations over (sequences, states), the chain of deletes a running
+maximum.  A first pass in single precision keeps nothing but scores.  Sequences that pass the
+threshold go through a second one in double precision, which keeps where each cell came from
+(one byte), and all of their paths are walked back together.
+
+Nothing is cut by e-value, coverage or a prefilter; only the score threshold applies.  A path is
+the text of its kinds (``m``, ``i``, ``d``) from state ``hmm_start`` on; matches and deletes move
+to the next state.  Ties go to the start of the alignment, then match, insert, delete.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import expm1, log, log10
+from math import log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -18,185 +23,196 @@ from pyspark.sql import functions as F
 
 from ..sources.profiles import BACKGROUND, RESIDUES, Profile
 
-HITS = (
-    "key bigint, part int, hmm_name string, profile_ordinal int, bit_score double, evalue double, evalue_text string, seq_start int, seq_end int, hmm_start int, hmm_end int, "
-    "path array<struct<state:int,kind:string>>"
-)
-_LOG0 = np.float32(-1e9)
-_CODE = np.full(256, 20, np.int64)
+HITS = "key bigint, part int, hmm_name string, profile_ordinal int, bit_score double, evalue double, evalue_text string, seq_start int, seq_end int, hmm_start int, hmm_end int, path string"
+_LOG0 = -1e9
+#: Codes of letters: the residues, any other letter (scores 0 everywhere), no letter (behind the text).
+_OTHER, _NO_LETTER = 20, 21
+_CODE = np.full(256, _OTHER, np.int64)
 for _i, _aa in enumerate(RESIDUES):
     _CODE[ord(_aa)] = _i
-#: Sequences that go through a profile at a time.
-BATCH = 128
+#: Sequences that go through a profile at a time, and cells whose origins are kept at a time.
+BATCH, TRACED_CELLS = 128, 32 << 20
 #: Rest of a sequence that is searched again on either side of a hit.
 LEAST_REST = 30
+#: Letters times profiles that one task searches.
+TASK_WORK = 40_000_000
+#: Single precision's margin below the threshold, in bits.
+MARGIN = 0.05
 
 
 class Model:
-    """Log-odds form of a profile."""
+    """Log-odds form of a profile, in both precisions."""
 
     def __init__(self, p: Profile):
         n = p.length
         self.name, self.length, self.mu, self.lam = p.name, n, p.mu, p.lam
         emit = np.log(np.maximum(p.match, 1e-9) / BACKGROUND)
-        self.emit = np.concatenate((emit, np.zeros((n, 1))), axis=1).astype(np.float32)  # unknown residues score 0
-        t = np.log(np.maximum(p.trans, 1e-9)).astype(np.float32)
-        self.mm, self.mi, self.md, self.im, self.ii, self.dm, self.dd = t.T
-        self.enter = np.float32(log(2.0 / (n * (n + 1))) if n else 0.0)
+        emit = np.concatenate((emit, np.zeros((n, 1)), np.full((n, 1), _LOG0)), axis=1).T.copy()
+        move = np.log(np.maximum(p.trans, 1e-9)).T.copy()
+        enter = log(2.0 / (n * (n + 1))) if n else 0.0
+        self.forms = {t: (emit.astype(t), move.astype(t), t(enter)) for t in (np.float32, np.float64)}
 
 
-def scores(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best local alignment of each sequence: bits, span [start, end) and states [hmm_start, hmm_end] (1-based)."""
-    n, m = len(seqs), model.length
+def _outside(size: np.ndarray) -> np.ndarray:
+    """The length model: entering, leaving and staying outside, relative to the null model."""
+    return np.log(size / (size + 3.0)) * size - np.log(size / (size + 1.0)) * size + np.log(3.0 / (size + 3.0)) - np.log(1.0 / (size + 1.0))
+
+
+def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(s) for s in seqs])
-    longest = int(size.max(initial=0))
-    x = np.full((n, longest), 20, np.int64)
+    x = np.full((int(size.max(initial=0)), len(seqs)), _NO_LETTER, np.int64)
     for k, s in enumerate(seqs):
-        x[k, : len(s)] = s
-    emit = model.emit.T.copy()
-    # the length model: entering, leaving and staying outside, relative to the null model
-    outside = np.log(size / (size + 3.0)) * size - np.log(size / (size + 1.0)) * size + np.log(3.0 / (size + 3.0)) - np.log(1.0 / (size + 1.0))
-    M = np.full((n, m), _LOG0, np.float32)
-    I, D = M.copy(), M.copy()
-    # where the alignment in each cell began: sequence place * (m + 1) + state
-    bm, bi, bd = (np.zeros((n, m), np.int64) for _ in range(3))
-    best, b_end, b_state, b_from = np.full(n, _LOG0, np.float32), np.zeros(n, int), np.zeros(n, int), np.zeros(n, np.int64)
-    run = np.concatenate(([0], np.cumsum(model.dd[:-1]))).astype(np.float32)
-    states = np.arange(m)
-    rows = np.arange(n)[:, None]
-    for i in range(longest):
-        e = emit[x[:, i]]
-        start = np.broadcast_to(i * (m + 1) + states, (n, m))
-        pm = np.full((n, m), model.enter, np.float32)
-        pb = start.copy()
-        for prev, back, t in ((M, bm, model.mm), (I, bi, model.im), (D, bd, model.dm)):
-            cand = prev[:, :-1] + t[:-1]
-            better = cand > pm[:, 1:]
-            pm[:, 1:] = np.where(better, cand, pm[:, 1:])
-            pb[:, 1:] = np.where(better, back[:, :-1], pb[:, 1:])
-        stay, open_ = I + model.ii, M + model.mi
-        bi = np.where(stay > open_, bi, bm)
+        x[: len(s), k] = s
+    return x, size
+
+
+def scores(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
+    """Bits of the best local alignment of each sequence."""
+    x, size = _padded(seqs)
+    emit, (mm, mi, md, im, ii, dm, dd), enter = model.forms[np.float32]
+    n, m = len(seqs), model.length
+    M, I, D, best, t, u = (np.full((n, m), _LOG0, np.float32) for _ in range(6))
+    run = np.concatenate(([0], np.cumsum(dd[:-1]))).astype(np.float32)
+    opening = md[:-1] - run[1:]
+    for codes in x:
+        np.add(M[:, :-1], mm[:-1], out=t[:, 1:])
+        np.add(I[:, :-1], im[:-1], out=u[:, 1:])
+        np.maximum(t, u, out=t)
+        np.add(D[:, :-1], dm[:-1], out=u[:, 1:])
+        np.maximum(t, u, out=t)
+        np.maximum(t, enter, out=t)
+        np.add(I, ii, out=I)
+        np.add(M, mi, out=u)
+        np.maximum(I, u, out=I)
+        np.take(emit, codes, axis=0, out=u)
+        np.add(t, u, out=M)
+        np.maximum(best, M, out=best)
+        # D[k] = max over j < k of M[j] + md[j] + the deletes between, as a running maximum
+        np.add(M[:, :-1], opening, out=D[:, 1:])
+        np.maximum.accumulate(D[:, 1:], axis=1, out=D[:, 1:])
+        np.add(D[:, 1:], run[1:], out=D[:, 1:])
+        t[:, 0] = u[:, 0] = _LOG0
+    return (best.max(axis=1) + _outside(size)) / log(2.0)
+
+
+def aligned(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Bits, span [start, end), states [hmm_start, hmm_end] (1-based) and kinds of the best local alignment of each sequence."""
+    x, size = _padded(seqs)
+    emit, (mm, mi, md, im, ii, dm, dd), enter = model.forms[np.float64]
+    n, m, longest = len(seqs), model.length, len(x)
+    M, I, D = (np.full((n, m), _LOG0) for _ in range(3))
+    run = np.concatenate(([0], np.cumsum(dd[:-1])))
+    # per cell: where a match came from (0 start, 1 match, 2 insert, 3 delete), +4 insert from insert, +8 delete from delete
+    came = np.zeros((longest, n, m), np.uint8)
+    best, end, state = np.full(n, _LOG0), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    rows = np.arange(n)
+    for i, codes in enumerate(x):
+        top = np.full((n, m), enter)
+        source = came[i]
+        for kind, (prev, move) in enumerate(((M, mm), (I, im), (D, dm)), 1):
+            cand = prev[:, :-1] + move[:-1]
+            better = cand > top[:, 1:]
+            np.maximum(top[:, 1:], cand, out=top[:, 1:])
+            np.putmask(source[:, 1:], better, kind)
+        stay, open_ = I + ii, M + mi
+        source |= (stay > open_).view(np.uint8) << 2
         I = np.maximum(stay, open_)
-        M, bm = pm + e, pb
-        # delete states: D[k] = max over j < k of M[j] + md[j] + sum of dd between, a running maximum
-        opened = np.concatenate((np.full((n, 1), _LOG0, np.float32), M[:, :-1] + model.md[:-1]), axis=1) - run
+        M = top + emit[codes]
+        opened = np.concatenate((np.full((n, 1), _LOG0), M[:, :-1] + md[:-1]), axis=1) - run
         D = np.maximum.accumulate(opened, axis=1)
-        origin = np.maximum.accumulate(np.where(opened >= D, states, 0), axis=1)
-        bd = bm[rows, np.maximum(origin - 1, 0)]
-        D = D + run
-        live = i < size
+        source |= (D > opened).view(np.uint8) << 3
+        D += run
         k = M.argmax(axis=1)
-        top = M[np.arange(n), k]
-        won = live & (top > best)
-        best[won], b_end[won], b_state[won], b_from[won] = top[won], i + 1, k[won] + 1, bm[np.arange(n), k][won]
-    bits = (best + outside) / log(2.0)
-    return bits, b_from // (m + 1), b_end, b_from % (m + 1) + 1, b_state
-
-
-def align(model: Model, seq: np.ndarray, first: int, last: int) -> list[tuple[int, str]] | None:
-    """State path of ``seq`` through states first..last from match to match or delete; None if there is none."""
-    n, m = len(seq), last - first + 1
-    if not n or m < 1:
-        return None
-    lo = first - 1
-    M = np.full((n + 1, m + 1), -np.inf)
-    I, D = M.copy(), M.copy()
-    e = model.emit[lo : lo + m][:, seq].T.astype(float)
-    M[1, 1] = e[0, 0]
-    t = {k: getattr(model, k)[lo : lo + m].astype(float) for k in ("mm", "mi", "md", "im", "ii", "dm", "dd")}
-    run = np.cumsum(t["dd"][:-1])
-    for i in range(1, n + 1):
-        if i > 1:
-            M[i, 2:] = e[i - 1, 1:] + np.maximum(np.maximum(M[i - 1, 1:-1] + t["mm"][:-1], I[i - 1, 1:-1] + t["im"][:-1]), D[i - 1, 1:-1] + t["dm"][:-1])
-            I[i, 1:] = np.maximum(M[i - 1, 1:] + t["mi"], I[i - 1, 1:] + t["ii"])
-        # the chain of deletes as a running maximum
-        D[i, 2:] = np.maximum.accumulate(M[i, 1:-1] + t["md"][:-1] - run) + run
-    kind = "m" if M[n, m] >= D[n, m] else "d"
-    if max(M[n, m], D[n, m]) == -np.inf:
-        return None
-    out, i, k = [], n, m
-    while True:
-        out.append((lo + k, kind))
-        if kind == "m":
-            if (i, k) == (1, 1):
-                break
-            choices = {"m": M[i - 1, k - 1] + t["mm"][k - 2], "i": I[i - 1, k - 1] + t["im"][k - 2], "d": D[i - 1, k - 1] + t["dm"][k - 2]}
-            i, k = i - 1, k - 1
-        elif kind == "i":
-            choices = {"m": M[i - 1, k] + t["mi"][k - 1], "i": I[i - 1, k] + t["ii"][k - 1]}
-            i -= 1
-        else:
-            choices = {"m": M[i, k - 1] + t["md"][k - 2], "d": D[i, k - 1] + t["dd"][k - 2]}
-            k -= 1
-        kind = max(choices, key=choices.get)  # ties go to the first: match, insert, delete
-        if choices[kind] == -np.inf or i < 1 or k < 1:
-            return None
-    out.reverse()
-    return out if sum(s != "d" for _, s in out) == n else None
-
-
-def stable_evalue(bits: float, mu: float, lam: float) -> tuple[float, str]:
-    """Gumbel e-value and its short text, taken in log space where the value would underflow."""
+        top = M[rows, k]
+        won = top > best
+        best[won], end[won], state[won] = top[won], i + 1, k[won]
+    # all paths are walked back together
+    kinds = np.zeros((longest + m + 1, n), np.uint8)
+    i, k, kind, live, step = end - 1, state.copy(), np.full(n, ord("m"), np.uint8), np.flatnonzero(best > _LOG0 / 2), 0
+    while len(live):
+        kinds[step, live] = kind[live]
+        c, now = came[i[live], live, k[live]], kind[live]
+        match, insert = now == ord("m"), now == ord("i")
+        nxt = np.where(match, np.array([0, ord("m"), ord("i"), ord("d")], np.uint8)[c & 3], np.where(insert, np.where(c & 4, ord("i"), ord("m")), np.where(c & 8, ord("d"), ord("m"))))
+        more = nxt != 0
+        i[live] -= more & (match | insert)
+        k[live] -= more & ~insert
+        kind[live] = nxt
+        live = live[more]
+        step += 1
+    bits = (best + _outside(size)) / log(2.0)
+    return bits, i, end, k + 1, state + 1, [kinds[:step, r][::-1].tobytes().replace(b"\0", b"").decode() for r in range(n)]
+
+
+def stable_evalues(bits: np.ndarray, mu: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Gumbel e-values and their short texts, taken in log space where a value would underflow."""
     z = lam * (bits * log(2.0) - mu)
-    if z <= 700:
-        value = -expm1(-np.exp(-z))
-        if value > 0:
-            p = int(np.floor(log10(value)))
-            lead = round(value / 10.0**p, 1)
-            return float(value), f"{lead / 10 if lead >= 10 else lead:.1f}e{p + (lead >= 10)}"
-    power = -z / log(10.0)
+    with np.errstate(over="ignore", under="ignore"):
+        value = np.where(z <= 700, -np.expm1(-np.exp(-z)), 0.0)
+    return value, [_short(v) if v > 0 else _short_power(-t / log(10.0)) for v, t in zip(value.tolist(), z.tolist())]
+
+
+def _short(value: float) -> str:
+    p = int(np.floor(log10(value)))
+    lead = round(value / 10.0**p, 1)
+    return f"{lead / 10 if lead >= 10 else lead:.1f}e{p + (lead >= 10)}"
+
+
+def _short_power(power: float) -> str:
     p = int(np.floor(power))
-    return 0.0, f"{10 ** (power - p):.1f}e{p}"
+    return f"{10 ** (power - p):.1f}e{p}"
 
 
-def search(models: list[Model], texts: list[str], threshold: float) -> Iterator[tuple]:
-    """(row, profile ordinal, bits, start, end, hmm_start, hmm_end, path) of every hit of every text."""
+def search(models: list[Model], texts: list[str], threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns (row, profile ordinal, bits, start, end, hmm_start, hmm_end, path) of the hits of each group of texts."""
     codes = [_CODE[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)] for t in texts]
     for ordinal, model in enumerate(models):
         todo = [(row, 0, c) for row, c in enumerate(codes) if len(c)]
         while todo:
             todo.sort(key=lambda x: len(x[2]))
-            rest = []
+            passed, rest = [], []
             for at in range(0, len(todo), BATCH):
                 part = todo[at : at + BATCH]
-                bits, start, end, h0, h1 = scores(model, [c for *_, c in part])
-                for (row, shift, c), b, s, e, a, z in zip(part, bits, start, end, h0, h1):
-                    if not b >= threshold:
-                        continue
-                    path = align(model, c[s:e], int(a), int(z))
-                    if path:
-                        yield row, ordinal, float(b), int(s + shift), int(e + shift), int(a), int(z), path
-                    if s >= LEAST_REST:
-                        rest.append((row, shift, c[:s]))
-                    if len(c) - e >= LEAST_REST:
-                        rest.append((row, shift + int(e), c[e:]))
+                passed += [part[k] for k in np.flatnonzero(scores(model, [c for *_, c in part]) >= threshold - MARGIN)]
+            while passed:
+                n = max(1, min(BATCH, TRACED_CELLS // (len(passed[-1][2]) * model.length)))
+                part, passed = passed[-n:], passed[:-n]
+                bits, start, end, h0, h1, paths = aligned(model, [c for *_, c in part])
+                ok = np.flatnonzero(bits >= threshold)
+                rows, shift = (np.array([x[k] for x in part], np.int64) for k in (0, 1))
+                if len(ok):
+                    yield rows[ok], np.full(len(ok), ordinal), bits[ok], (start + shift)[ok], (end + shift)[ok], h0[ok], h1[ok], [paths[k] for k in ok]
+                for k in ok:
+                    row, moved, c = part[k]
+                    if start[k] >= LEAST_REST:
+                        rest.append((row, moved, c[: start[k]]))
+                    if len(c) - end[k] >= LEAST_REST:
+                        rest.append((row, moved + int(end[k]), c[end[k] :]))
             todo = rest
 
 
 def find_hits(records: DataFrame, profiles: list[Profile], threshold: float = 120.0, key: str = "key", part: str = "part", text: str = "sequence") -> DataFrame:
     """Hits of ``records`` (key, part, sequence); profiles travel as one broadcast.
 
-    Only valid protein texts are searched; others (null ones too) have no hits.
+    Only valid protein texts are searched; others (null ones too) have no hits.  The work is in the search,
+    not in the bytes: texts are spread over tasks by the letters that there are to search.
     """
-    models = records.sparkSession.sparkContext.broadcast([Model(p) for p in profiles])
+    spark = records.sparkSession
+    models = spark.sparkContext.broadcast([Model(p) for p in profiles])
+    names = [f.split()[0] for f in HITS.split(", ")]
 
     def run(batches):
+        known = models.value
+        label = pa.array([m.name for m in known], pa.string())
+        mu, lam = np.array([m.mu for m in known]), np.array([m.lam for m in known])
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                piece = batch.slice(at, BATCH)
-                keys, parts, texts = (c.to_pylist() for c in piece.columns)
-                found = list(search(models.value, texts, threshold))
-                cols = [[] for _ in range(12)]
-                for row, ordinal, bits, s, e, a, z, path in found:
-                    m = models.value[ordinal]
-                    value, shown = stable_evalue(bits, m.mu, m.lam)
-                    for c, v in zip(cols, (keys[row], parts[row], m.name, ordinal, bits, value, shown, s, e, a, z, [{"state": x, "kind": k} for x, k in path])):
-                        c.append(v)
-                if found:
-                    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.struct([("state", pa.int32()), ("kind", pa.string())]))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in HITS.split(", ")])
+            for row, ordinal, bits, s, e, a, z, paths in search(known, batch.column(2).to_pylist(), threshold):
+                value, shown = stable_evalues(bits, mu[ordinal], lam[ordinal])
+                take, which = pa.array(row), pa.array(ordinal.astype(np.int32))
+                spans = [pa.array(x.astype(np.int32)) for x in (s, e, a, z)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), label.take(which), which, pa.array(bits), pa.array(value), pa.array(shown), *spans, pa.array(paths)], names=names)
 
     rows = records.select(F.col(key).cast("bigint"), F.col(part).cast("int"), F.col(text)).filter(F.col(text).rlike(r"\A[ACDEFGHIKLMNPQRSTVWYX*]+\z") & (F.length(text) < 10_000))
-    # the work is in the search, not in the bytes: spread the texts over all cores
-    tasks = 2 * records.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(tasks).mapInArrow(run, HITS)
+    letters = rows.agg(F.sum(F.length(text))).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-letters * len(profiles) // TASK_WORK))
+    return rows.repartition(int(tasks)).mapInArrow(run, HITS)

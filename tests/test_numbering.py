@@ -129,7 +129,7 @@ def test_small_pieces():
     assert state_sequence([(1, "m", 0), (2, "i", 1), (3, "d", None), (128, "m", 2)], "acd") == "A" + "-" * 126 + "D"
     assert [resolve_scheme(x) for x in ("IMGT", "c", "x")] == ["imgt", "chothia", None]
     assert [chain_class(c) for c in "HKLA?"] == ["H", "L", "L", "A", "H"]
-    assert blosum62("W", "W") == 11 and blosum62("A", "R") == -1 == blosum62("X", "A")
+    assert blosum62("W", "W") == 11 and blosum62("A", "R") == -1 == blosum62("X", "X") and blosum62("X", "A") == 0 and blosum62("P", "X") == -2 and blosum62("Z", "B") == 1
     assert LETTERS[25:28] == ["Z", "AA", "BB"] and len(SCHEMES) == 8
     assert scheme_for("martin", "L") is scheme_for("chothia", "K")
     assert cdr_ranges("aho", "G")[0] == (25, 42) and cdr_ranges("none", "H") == ()
