@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import document_queries, hit_queries, result_queries, sequence_queries
+from . import document_queries, hit_queries, numbering_queries, result_queries, sequence_queries
 
-MODULES = [document_queries, sequence_queries, hit_queries, result_queries]
+MODULES = [document_queries, sequence_queries, hit_queries, numbering_queries, result_queries]
 
 
 def queries() -> dict:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import class_of_chain, profile_chain, profile_species
 from ..functions.sequence import let
 from ..numbering.tables import NAMES
-from ..numbering.udf import number_domains
 from ..operators.germline import assign_germlines, identity, model_lengths
 from ..operators.hits import above_threshold, best_frame, of_chains, prefer_species, select_domains
 from ..operators.identity import cell_vectors, clustered_order, domain_vectors, encoded, pairwise_identity, vector_pairs
@@ -139,30 +138,6 @@ def domain_order(spark, sf_dir):
     return clustered_order(_domain_vectors(spark, sf_dir))
 
 
-def _paths(spark, sf_dir) -> DataFrame:
-    """Hits with a stored path, beside their sequence."""
-    h = table(spark, sf_dir, "viterbi_hits").filter("path is not null and size(path) > 0 and hmm_name is not null")
-    newest = Window.partitionBy("hit_no").orderBy(F.desc("loaded_at"))
-    h = h.withColumn("_r", F.row_number().over(newest)).filter("_r = 1")
-    r = table(spark, sf_dir, "numbering_results").select("result_no", pipeline.S.normalise(F.col("sequence")).alias("sequence"), "input_type").filter("lower(trim(input_type)) = 'protein' and sequence is not null")
-    seated = F.size(F.filter("path", lambda s: s["kind"] != "d"))
-    j = h.join(r, "result_no").filter((F.col("seq_start") >= 0) & (F.col("seq_end") <= F.length("sequence")) & (seated == F.col("seq_end") - F.col("seq_start")))
-    return j.select(
-        F.col("hit_no").alias("key"), F.lit(-1).alias("part"), F.lit(0).alias("domain_index"), F.lit(1).alias("n_domains"), F.lit(128).alias("model_length"),
-        "seq_start", "seq_end", "hmm_start", "hmm_end", "path", "sequence", profile_chain(F.col("hmm_name")).alias("chain_type"),
-    )
-
-
-def _numbering(scheme: str):
-    def query(spark, sf_dir):
-        n = number_domains(_paths(spark, sf_dir), scheme)
-        return n.select("key", "seq_start", "seq_end", F.array_join(F.transform("numbering", lambda x: F.concat(x["position"].cast("string"), F.trim(x["insertion"]), F.lit(":"), x["amino_acid"])), " ").alias("numbering"))
-
-    query.__name__ = f"numbering_{scheme}"
-    query.__doc__ = f"Stored state paths numbered by the {scheme} scheme."
-    return query
-
-
 def _documents(spark, sf_dir):
     r = table(spark, sf_dir, "numbering_results").select(F.col("result_no").alias("key"), "id", "sequence", "input_type")
     g = table(spark, sf_dir, "germlines")
@@ -187,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile_names, score_threshold, chain_restrict, species_fallback, greedy_domains, frame_choice, germline_species, germline_model_lengths, scheme_catalog,
-        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, domain_identity, domain_order, *map(_numbering, NAMES), profile_search, number_sequences,
+        state_texts, germline_genes, germline_genes_of, germline_identity, identity_matrix, identity_order, domain_identity, domain_order, profile_search, number_sequences,
     )
 }
 
