@@ -1,4 +1,4 @@
-"""Codon usage measures as Column expressions over arrays of codons."""
+"""Codon usage tables, and expressions over arrays of codons."""
 
 from __future__ import annotations
 
@@ -37,35 +37,6 @@ def weights(usage: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def _lookup(table: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-
-
-def _known(codon_array: Column, table: dict[str, float]) -> Column:
-    values = F.transform(codon_array, lambda c: F.try_element_at(_lookup(table), F.translate(F.upper(c), "U", "T")))
-    return F.filter(values, lambda v: v.isNotNull())
-
-
-def _mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values))
-
-
-def adaptation_index(codon_array: Column, usage: dict[str, float] | None = None) -> Column:
-    """Geometric mean of the codons' weights; unknown and stop codons are left out, 0 if none is known."""
-    logs = {c: log(w) for c, w in weights(usage or usage_table()).items()}
-    return F.coalesce(F.exp(_mean(_known(codon_array, logs))), F.lit(0.0))
-
-
-def mean_usage(codon_array: Column, usage: dict[str, float] | None = None) -> Column:
-    """Mean usage per thousand of the known codons, 0 if there is none."""
-    table = {c: v for c, v in (usage or usage_table()).items() if CODONS[c] != "*"}
-    return F.coalesce(_mean(_known(codon_array, table)), F.lit(0.0))
-
-
-def rare_codons(codon_array: Column) -> Column:
-    return F.size(F.filter(codon_array, lambda c: F.translate(F.upper(c), "U", "T").isin(*RARE)))
-
-
 def has_amber(codon_array: Column) -> Column:
     return F.exists(codon_array, lambda c: F.translate(F.upper(c), "U", "T") == "TAG")
 

@@ -73,35 +73,6 @@ def residues(dna: Column) -> Column:
     return F.transform(codons(dna), amino_acid)
 
 
-def six_frames(dna: Column) -> Column:
-    """Array of frame structs: label, frame_no (0..5), nt_offset, is_reverse, sequence, stop_positions.
-
-    Stops read through as ``X`` and their 0-based places are kept; frames without a codon are left out.
-    """
-    frames = []
-    for k, label in enumerate(FRAMES):
-        strand = dna if k < 3 else reverse_complement(dna)
-        aa = residues(F.substr(strand, F.lit(k % 3 + 1)))
-        frames.append(F.struct(F.lit(label).alias("label"), F.lit(k).alias("frame_no"), F.lit(k % 3).alias("nt_offset"), F.lit(k >= 3).alias("is_reverse"), aa.alias("aa")))
-    shown = F.transform(
-        F.filter(F.array(*frames), lambda f: F.size(f["aa"]) > 0),
-        lambda f: F.struct(
-            f["label"].alias("label"),
-            f["frame_no"].alias("frame_no"),
-            f["nt_offset"].alias("nt_offset"),
-            f["is_reverse"].alias("is_reverse"),
-            F.translate(F.array_join(f["aa"], ""), "*", "X").alias("sequence"),
-            stop_places(f["aa"]).alias("stop_positions"),
-        ),
-    )
-    return shown
-
-
-def stop_places(aa: Column) -> Column:
-    """0-based places of the stops in a residue array."""
-    return F.filter(F.transform(aa, lambda x, i: F.when(x == "*", i)), lambda i: i.isNotNull())
-
-
 def nt_range(nt_offset: Column, is_reverse: Column, length: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """Forward-strand nucleotide range of a residue span in a frame."""
     lo, hi = nt_offset + start * 3, nt_offset + end * 3

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import coding_dna, let, normalise
+from .translate import codon_measures
+
 
 def residue_text(numbering: Column) -> Column:
     """Residues of a numbering without gaps."""
@@ -27,33 +30,57 @@ def has_stop(domains: Column) -> Column:
     return F.coalesce(F.exists(domains, lambda d: F.size(d["stop_positions"]) > 0), F.lit(False))
 
 
-def duplicate_key(sequence: Column, input_type: Column, domains: Column) -> Column:
-    """What makes two results the same: DNA by chain and residues of its domains, else the raw sequence; upper case."""
+def _amber_as_q(domain: Column, residues: Column, dna: Column) -> Column:
+    """``residues`` of a domain with ``X`` read as ``Q`` where its codon is TAG; the k-th residue has the k-th codon."""
+    reverse = F.coalesce(F.startswith(domain["translation_frame"], F.lit("-")), F.lit(False))
+    coding = F.upper(F.coalesce(coding_dna(dna, domain["nt_start"], domain["nt_end"], reverse), F.lit("")))
+    read = lambda c: F.transform(F.split(residues, ""), lambda aa, k: F.when((aa == "X") & (F.substring(c, k * 3 + 1, F.lit(3)) == "TAG"), "Q").otherwise(aa))
+    return F.when(F.contains(residues, F.lit("X")), F.array_join(let(coding, read), "")).otherwise(residues)
+
+
+def duplicate_key(sequence: Column, input_type: Column, domains: Column, readthrough_as_q: bool = False) -> Column:
+    """What makes two results the same: DNA by chain and residues of its domains, else the raw sequence; upper case.
+
+    With ``readthrough_as_q`` an amber stop that a domain reads through counts as a ``Q``; other stops stay ``X``.
+    """
     d = present_domains(domains)
-    translated = F.array_join(F.transform(d, lambda x: F.concat(F.coalesce(x["chain_type"], F.lit("")), F.lit(":"), F.coalesce(residue_text(x["numbering"]), F.lit("")))), "|")
+    text = lambda x: F.coalesce(residue_text(x["numbering"]), F.lit(""))
+    shown = (lambda x: F.when(has_stop(domains), _amber_as_q(x, text(x), normalise(sequence))).otherwise(text(x))) if readthrough_as_q else text
+    translated = F.array_join(F.transform(d, lambda x: F.concat(F.coalesce(x["chain_type"], F.lit("")), F.lit(":"), shown(x))), "|")
     return F.upper(F.when(is_dna(input_type) & (F.size(d) > 0), translated).otherwise(F.coalesce(sequence, F.lit(""))))
 
 
-def mark_canonical(results: DataFrame, ordinal: str = "result_no", codon_score: Column | None = None) -> DataFrame:
-    """Adds ``dup_key, is_canonical, canonical, slot``.
+def codon_scores(coding: DataFrame, key: str = "result_no") -> DataFrame:
+    """``key, score``: codon adaptation of every result, summed over its domains (``coding`` has a row a domain with its coding DNA)."""
+    measured = codon_measures(coding, key, text="coding")
+    # rounded, so that sums in another order are still equal
+    return measured.groupBy(key).agg(F.round(F.sum("cai"), 9).alias("score"))
+
+
+def mark_canonical(results: DataFrame, ordinal: str = "result_no", scores: DataFrame | None = None, keep: tuple[str, ...] = (), readthrough_as_q: bool = False) -> DataFrame:
+    """``ordinal, keep, has_stop, n_domains, canonical, slot, is_canonical`` of every result.
 
-    Within a group: stop-free before others, then the higher codon score (stop-free only), then
-    the earlier one; ``slot`` is the place of the group's first member.  The choice is a minimum of a
-    struct, combined map-side, so a group of very many copies costs no more than others; the
-    join back leaves a hot key to the adaptive skew join.
+    Within a group: stop-free before others, then the higher codon score (stop-free only; results that
+    ``scores`` does not name have 0), then the earlier one; ``slot`` is the place of the group's first member.  Only
+    flags and 96 bits of the key's hash are shuffled, never a document.  The choice is a minimum of a struct,
+    combined map-side, so a group of very many copies costs no more than others; the join back leaves a
+    hot key to the adaptive skew join.
     """
-    marked = results.withColumns({"dup_key": duplicate_key(F.col("sequence"), F.col("input_type"), F.col("domains")), "_stop": has_stop(F.col("domains"))})
-    score = F.when(F.col("_stop"), F.lit(0.0)).otherwise(codon_score if codon_score is not None else F.lit(0.0))
-    rank = F.struct(F.col("_stop").alias("stop"), (-score).alias("score"), F.col(ordinal).alias("ordinal"))
-    best = marked.groupBy(F.col("dup_key").alias("_key")).agg(F.min(rank).alias("_best"), F.min(ordinal).alias("slot"))
-    joined = marked.join(best, F.col("dup_key") == F.col("_key")).withColumn("canonical", F.col("_best.ordinal"))
-    return joined.withColumn("is_canonical", F.col("canonical") == F.col(ordinal)).drop("_stop", "_key", "_best")
+    key = duplicate_key(F.col("sequence"), F.col("input_type"), F.col("domains"), readthrough_as_q)
+    marked = results.select(ordinal, *keep, has_stop(F.col("domains")).alias("has_stop"), F.greatest(F.size(present_domains(F.col("domains"))), F.lit(0)).alias("n_domains"), key.alias("_key"))
+    marked = marked.withColumns({"_h": F.xxhash64("_key"), "_g": F.hash("_key")}).drop("_key")
+    if scores is not None:
+        marked = marked.join(scores.select(ordinal, F.col("score").alias("_score")), ordinal, "left")
+    score = F.when(F.col("has_stop"), F.lit(0.0)).otherwise(F.coalesce("_score", F.lit(0.0))) if scores is not None else F.lit(0.0)
+    rank = F.struct(F.col("has_stop").alias("stop"), (-score).alias("score"), F.col(ordinal).alias("ordinal"))
+    best = marked.groupBy("_h", "_g").agg(F.min(rank)["ordinal"].alias("canonical"), F.min(ordinal).alias("slot"))
+    joined = marked.join(best, ["_h", "_g"])
+    return joined.select(ordinal, *keep, "has_stop", "n_domains", "canonical", "slot", (F.col("canonical") == F.col(ordinal)).alias("is_canonical"))
 
 
 def result_classes(marked: DataFrame) -> DataFrame:
     """Adds ``class_stop, class_no_domain, class_correct, class_usable``."""
-    stop, some = has_stop(F.col("domains")), F.size(present_domains(F.col("domains"))) > 0
-    none = ~F.coalesce(some, F.lit(False))
+    stop, none = F.col("has_stop"), F.col("n_domains") == 0
     return marked.withColumns({"class_stop": stop, "class_no_domain": none, "class_correct": ~none & ~stop, "class_usable": ~none & ~stop & F.col("is_canonical")})
 
 

@@ -23,6 +23,7 @@ from ..numbering.tables import resolve_scheme
 from ..numbering.udf import number_domains
 from ..operators.germline import assign_germlines, model_lengths
 from ..operators.hits import best_apart, best_frame
+from ..operators.translate import six_frames_of
 from ..runtime import Scratch, maybe_broadcast
 from ..search.profile_search import find_hits
 from ..sources.profiles import Profile
@@ -43,7 +44,8 @@ def peptides(records: DataFrame) -> DataFrame:
     protein = clean.filter(~F.col("dna") & S.valid_protein(F.col("s")) & (F.col("s") != "")).select(
         "key", F.lit(WHOLE).alias("part"), F.col("s").alias("sequence"), F.array().cast("array<int>").alias("stops"), none.cast("int").alias("nt_offset"), none.cast("boolean").alias("is_reverse"), F.lit("").alias("label"), none.cast("int").alias("dna_length")
     )
-    frames = clean.filter(F.col("dna") & S.valid_dna(F.col("s"))).select("key", F.length("s").alias("dna_length"), F.inline(S.six_frames(F.col("s"))))
+    frames = clean.filter(F.col("dna") & S.valid_dna(F.col("s"))).select("key", F.length("s").alias("dna_length"), "s")
+    frames = six_frames_of(frames, "key", "dna_length")
     frames = frames.select("key", F.col("frame_no").alias("part"), "sequence", F.col("stop_positions").alias("stops"), "nt_offset", "is_reverse", "label", "dna_length")
     return protein.unionByName(frames.filter(S.valid_protein(F.col("sequence"))))
 

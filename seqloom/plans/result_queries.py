@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import cdr_of, position_label
-from ..functions.sequence import codons, normalise
-from ..functions.codons import adaptation_index
 from ..numbering.tables import CDR_RANGES
 from ..operators import dedup as D
 from ..operators import positions as P
@@ -21,10 +19,10 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "numbering_results").select("result_no", "id", "sequence", "input_type", "domains")
 
 
-def _marked(spark, sf_dir) -> DataFrame:
-    # the tie-break score: codon adaptation of DNA records, on an integer scale so that engines agree
-    score = F.when(D.is_dna(F.col("input_type")), F.round(adaptation_index(codons(normalise(F.col("sequence")))), 4)).otherwise(F.lit(0.0))
-    return D.mark_canonical(_results(spark, sf_dir), codon_score=F.coalesce(score, F.lit(0.0)))
+def _marked(spark, sf_dir, **options) -> DataFrame:
+    """Marks with the domains' codon adaptation as tie-break."""
+    r = _results(spark, sf_dir)
+    return D.mark_canonical(r, scores=D.codon_scores(X.coding_rows(r)), keep=("id",), **options)
 
 
 def duplicate_marks(spark, sf_dir):
@@ -32,6 +30,11 @@ def duplicate_marks(spark, sf_dir):
     return _marked(spark, sf_dir).select("result_no", "canonical", "slot", "is_canonical")
 
 
+def duplicate_marks_amber(spark, sf_dir):
+    """The same with amber stops read as Q."""
+    return _marked(spark, sf_dir, readthrough_as_q=True).select("result_no", "canonical", "slot", "is_canonical")
+
+
 def duplicate_groups(spark, sf_dir):
     g = D.duplicate_groups(_marked(spark, sf_dir))
     return g.select("canonical", "size", F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"))
@@ -137,7 +140,7 @@ def json_cells(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        duplicate_marks, duplicate_groups, duplicate_members, result_classes, summary_counts, download_set, position_union, wide_positions, gap_filled, aligned_residues, aligned_codons, loop_positions,
+        duplicate_marks, duplicate_marks_amber, duplicate_groups, duplicate_members, result_classes, summary_counts, download_set, position_union, wide_positions, gap_filled, aligned_residues, aligned_codons, loop_positions,
         loop_ranges, heavy_cdr3, domain_labels, fasta_residues, fasta_coding, fasta_amber, json_documents, line_reports, json_cells,
     )
 }
@@ -150,14 +153,6 @@ d AS (SELECT result_no, unnest(domains) AS d, (generate_subscripts(domains, 1) -
 n AS (SELECT result_no, domain_pos, d.chain_class AS chain_class, unnest(d.numbering) AS r, generate_subscripts(d.numbering, 1) - 1 AS idx FROM d WHERE d IS NOT NULL),
 cells AS (SELECT result_no, domain_pos, chain_class, idx, r.position AS position, CASE WHEN trim(coalesce(r.insertion, '')) = '' THEN ' ' ELSE r.insertion END AS insertion, r.amino_acid AS amino_acid FROM n WHERE r IS NOT NULL)"""
 _RESIDUES = "array_to_string(list_filter(list_transform(d.numbering, lambda r: r.amino_acid), lambda a: a IS NOT NULL AND a <> '-'), '')"
-_MARKED = f"""{_DOMAINS},
-w(c, weight) AS (VALUES {_WEIGHT}),
-score AS (SELECT result_no, round(exp(avg(ln(weight))), 4) AS cai FROM (SELECT result_no, unnest({codons_sql("replace(s, 'U', 'T')")}) AS c FROM (SELECT result_no, {CLEAN} AS s FROM numbering_results WHERE lower(trim(input_type)) = 'dna')) JOIN w USING (c) GROUP BY 1),
-keyed AS (SELECT result_no, id, len(ds) AS n, len(list_filter(ds, lambda d: len(d.stop_positions) > 0)) > 0 AS stop,
-  upper(CASE WHEN lower(trim(input_type)) = 'dna' AND len(ds) > 0 THEN array_to_string(list_transform(ds, lambda d: coalesce(d.chain_type, '') || ':' || coalesce({_RESIDUES}, '')), '|') ELSE coalesce(sequence, '') END) AS k FROM dom),
-marked AS (SELECT keyed.*, first_value(result_no) OVER (PARTITION BY k ORDER BY stop, CASE WHEN stop THEN 0 ELSE coalesce(cai, 0) END DESC, result_no) AS canonical, min(result_no) OVER (PARTITION BY k) AS slot
-  FROM keyed LEFT JOIN score USING (result_no)),
-classed AS (SELECT *, canonical = result_no AS is_canonical, stop AS class_stop, n = 0 AS class_no_domain, n > 0 AND NOT stop AS class_correct, n > 0 AND NOT stop AND canonical = result_no AS class_usable FROM marked)"""
 _UNION = _CELLS + """,
 isl AS (SELECT *, row_number() OVER (PARTITION BY result_no, domain_pos ORDER BY idx) - row_number() OVER (PARTITION BY result_no, domain_pos, position ORDER BY idx) AS g FROM cells),
 rk AS (SELECT *, (row_number() OVER (PARTITION BY result_no, domain_pos, position, g ORDER BY idx) - 1)::INT AS rank FROM isl),
@@ -169,6 +164,24 @@ _CODING = f"""cod AS (SELECT result_no, domain_pos, n_domains, id, CASE WHEN d.t
   WHERE lower(trim(input_type)) = 'dna' AND d.nt_start IS NOT NULL AND d.nt_end IS NOT NULL))"""
 
 
+def _marked_sql(residues: str) -> str:
+    return f"""{_DOMAINS}, {_CODING},
+w(c, weight) AS (VALUES {_WEIGHT}),
+score AS (SELECT result_no, round(sum(cai), 9) AS cai FROM (SELECT result_no, domain_pos, exp(avg(ln(weight))) AS cai FROM (SELECT result_no, domain_pos, unnest({codons_sql("replace(upper(coding), 'U', 'T')")}) AS c FROM cod) JOIN w USING (c) GROUP BY 1, 2) GROUP BY 1),
+keyed AS (SELECT result_no, id, len(ds) AS n, len(list_filter(ds, lambda d: len(d.stop_positions) > 0)) > 0 AS stop,
+  upper(CASE WHEN lower(trim(input_type)) = 'dna' AND len(ds) > 0 THEN array_to_string(list_transform(ds, lambda d: coalesce(d.chain_type, '') || ':' || coalesce({residues}, '')), '|') ELSE coalesce(sequence, '') END) AS k FROM dom),
+marked AS (SELECT keyed.*, first_value(result_no) OVER (PARTITION BY k ORDER BY stop, CASE WHEN stop THEN 0 ELSE coalesce(cai, 0) END DESC, result_no) AS canonical, min(result_no) OVER (PARTITION BY k) AS slot
+  FROM keyed LEFT JOIN score USING (result_no)),
+classed AS (SELECT *, canonical = result_no AS is_canonical, stop AS class_stop, n = 0 AS class_no_domain, n > 0 AND NOT stop AS class_correct, n > 0 AND NOT stop AND canonical = result_no AS class_usable FROM marked)"""
+
+
+# the coding strand of a domain inside a document's list
+_PART = "substr(upper(replace(replace(sequence, '-', ''), '.', '')), d.nt_start + 1, d.nt_end - d.nt_start)"
+_STRAND = f"coalesce(upper(CASE WHEN d.translation_frame LIKE '-%' THEN {rc_sql(_PART)} ELSE {_PART} END), '')"
+_AMBER = f"""CASE WHEN len(list_filter(ds, lambda y: len(y.stop_positions) > 0)) > 0 THEN array_to_string(list_transform(string_split({_RESIDUES}, ''), lambda aa, i: CASE WHEN aa = 'X' AND substr({_STRAND}, ((i - 1) * 3 + 1)::INT, 3) = 'TAG' THEN 'Q' ELSE aa END), '') ELSE {_RESIDUES} END"""
+_MARKED = _marked_sql(_RESIDUES)
+
+
 def _record_sql(source: str, text: str) -> str:
     wrap = f"array_to_string(list_transform(range((length({text}) + 59) // 60), lambda i: substr({text}, (i * 60 + 1)::INT, 60)), E'\\n')"
     return f"SELECT result_no, domain_pos, '>' || coalesce(id, '') || CASE WHEN n_domains > 1 THEN '_d' || (domain_pos + 1) ELSE '' END || E'\\n' || {wrap} AS record FROM {source} WHERE {text} <> ''"
@@ -185,6 +198,7 @@ def _loop_sql(p: str, scheme: str, k: str) -> str:
 
 SQL = {
     "duplicate_marks": f"WITH {_MARKED} SELECT result_no, canonical, slot, is_canonical FROM classed",
+    "duplicate_marks_amber": f"WITH {_marked_sql(_AMBER)} SELECT result_no, canonical, slot, is_canonical FROM classed",
     "duplicate_groups": f"""WITH {_MARKED} SELECT canonical, count(*) AS size, array_to_string(list_sort(list(result_no) FILTER (result_no <> canonical)), ',') AS duplicates
 FROM marked GROUP BY 1 HAVING count(*) > 1""",
     "duplicate_members": f"WITH {_MARKED} SELECT canonical, size, result_no AS member FROM (SELECT *, count(*) OVER (PARTITION BY canonical) AS size FROM marked) WHERE canonical <> result_no",

@@ -9,7 +9,8 @@ from ..functions import codons as C
 from ..functions import sequence as S
 from ..functions.labels import evalue, evalue_text
 from ..operators.quality import codon_track, mean_quality, share_from
-from ..runtime import table
+from ..operators.translate import codon_measures, six_frames_of
+from ..runtime import spread, table
 from ..sources.fasta import looks_like_dna_input, split_text
 
 
@@ -49,7 +50,7 @@ def reverse_complement(spark, sf_dir):
 
 
 def _frames(spark, sf_dir) -> DataFrame:
-    return _dna(spark, sf_dir).select("result_no", F.length("s").alias("n"), F.inline(S.six_frames(F.col("s"))))
+    return six_frames_of(spread(_dna(spark, sf_dir).withColumn("n", F.length("s"))), "result_no", "n")
 
 
 def six_frames(spark, sf_dir):
@@ -73,8 +74,8 @@ def flanks(spark, sf_dir):
 
 
 def codon_scores(spark, sf_dir):
-    c = S.codons(F.col("s"))
-    return _dna(spark, sf_dir).select("result_no", F.round(C.adaptation_index(c), 6).alias("cai"), F.round(C.mean_usage(c) + 1e-9, 6).alias("mean_usage"), C.rare_codons(c).alias("rare"))
+    m = codon_measures(spread(_dna(spark, sf_dir)), "result_no")
+    return m.select("result_no", F.round("cai", 6).alias("cai"), F.round(F.col("mean_usage") + 1e-9, 6).alias("mean_usage"), "rare")
 
 
 def amber_fix(spark, sf_dir):

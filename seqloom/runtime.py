@@ -115,5 +115,14 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, width: int = 64) ->
     return F.broadcast(df) if small(df, rows, width) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for maps whose work is not in the bytes.
+
+    A small file is one partition; only such few partitions are shuffled, large tables stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

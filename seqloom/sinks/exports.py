@@ -59,6 +59,11 @@ def _coding(rows: DataFrame) -> DataFrame:
     return rows.filter(ok).withColumn("coding", coding_dna(dna, F.col("d.nt_start"), F.col("d.nt_end"), F.coalesce(reverse, F.lit(False))))
 
 
+def coding_rows(results: DataFrame, key: str = "result_no") -> DataFrame:
+    """``key, domain_pos, coding`` of every domain of DNA records that has a nucleotide range."""
+    return _coding(domain_rows(results, key)).select(key, "domain_pos", "coding")
+
+
 def fasta_coding(results: DataFrame, key: str = "result_no") -> DataFrame:
     """Coding-strand DNA of every domain of DNA records."""
     return _fasta(_coding(domain_rows(results, key)), key, F.col("coding"))

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import sequence as S
 from ..operators.rejects import loaded_lines, rejected_lines
+from ..operators.translate import six_frames_of
 
 
 def line_stream(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
@@ -31,7 +32,7 @@ def checked(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def translated(records: DataFrame, key: str = "id") -> DataFrame:
     """Six frames of the valid DNA records of a stream."""
     clean = records.withColumn("s", S.normalise(F.col("sequence"))).filter((F.lower(F.trim("input_type")) == "dna") & S.valid_dna(F.col("s")))
-    return clean.select(key, F.inline(S.six_frames(F.col("s"))))
+    return six_frames_of(clean, key)
 
 
 def without_redeliveries(records: DataFrame, keys: list[str], time: str = "loaded_at", delay: str = "30 days") -> DataFrame:

@@ -15,8 +15,9 @@ from seqloom.operators import quality as Q
 from seqloom.operators.germline import _order, _score_by_join, _score_by_matrix, assign_germlines, model_lengths
 from seqloom.operators.hits import best_frame, of_chains, prefer_species, select_domains
 from seqloom.operators.identity import leaf_order, pairwise_identity
+from seqloom.operators.translate import codon_measures, six_frames_of
 from seqloom.operators.positions import aligned_texts, aligned_texts_of, filled_gaps, position_union, position_union_of, residue_rows, union_order
-from seqloom.search.profile_search import Model, align, scores, stable_evalue
+from seqloom.search.profile_search import Model, aligned, scores, stable_evalues
 from seqloom.sinks import exports as X
 from seqloom.sources import abif, fasta, germlines, profiles
 from seqloom.sources.results import DOCUMENT, position_cells, read_results
@@ -31,12 +32,25 @@ def test_clean_and_check(spark):
     assert tuple(r) == ("ACTGé", True, False, True, False, False, None)
 
 
+def frames(spark, *texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string")
+    out = {}
+    for r in six_frames_of(df, "k").collect():
+        out.setdefault(r.k, {})[r.label] = (r.sequence, r.stop_positions)
+    return out
+
+
 def test_frames(spark):
-    f = {r["label"]: r for r in one(spark, f=S.six_frames(F.lit("ATGGAATGAAAA"))).f}
-    assert f["+1"]["sequence"] == "MEXK" and f["+1"]["stop_positions"] == [2]
-    assert {r["label"]: (r["sequence"], r["stop_positions"]) for r in one(spark, f=S.six_frames(F.lit("ATGGANAAA"))).f}["+1"] == ("MXK", [])
-    assert one(spark, f=S.six_frames(F.lit("AC"))).f == [] == one(spark, f=S.six_frames(F.lit(""))).f
-    assert [r["label"] for r in one(spark, f=S.six_frames(F.lit("ACGT"))).f] == ["+1", "+2", "-1", "-2"]
+    long = "ACGTTGCAAT" * 9000
+    f = frames(spark, "ATGGAATGAAAA", "ATGGANAAA", "AC", "", None, "ACGT", "augUAGuaa", long)
+    assert f[0]["+1"] == ("MEXK", [2])
+    assert f[1]["+1"] == ("MXK", []) and list(f[5]) == ["+1", "+2", "-1", "-2"] and set(f) == {0, 1, 5, 6, 7}
+    assert f[6]["+1"] == ("MXX", [1, 2]) and len(f[7]["-3"][0]) == (len(long) - 2) // 3
+    for k, text in ((0, "ATGGAATGAAAA"), (7, long)):
+        back = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        for label, strand in (("+2", text[1:]), ("-1", back), ("-3", back[2:])):
+            aa = "".join(S.CODONS[strand[i : i + 3]] for i in range(0, len(strand) - 2, 3))
+            assert f[k][label] == (aa.replace("*", "X"), [i for i, x in enumerate(aa) if x == "*"])
 
 
 def test_strands(spark):
@@ -53,8 +67,13 @@ def test_strands(spark):
 
 def test_codons(spark):
     c = S.codons(F.lit("ATGTAGAGACTG"))
-    r = one(spark, a=C.rare_codons(c), b=C.has_amber(c), c=C.amber_fixed(c), d=C.adaptation_index(S.codons(F.lit("CTGATT"))), e=C.adaptation_index(S.codons(F.lit("TAG"))), f=C.mean_usage(S.codons(F.lit("CTGUUU"))))
-    assert (r.a, r.b, r.c, r.e) == (1, True, "ATGCAGAGACTG", 0.0) and abs(r.d - 1.0) < 1e-12 and abs(r.f - (52.6 + 22.4) / 2) < 1e-9
+    r = one(spark, b=C.has_amber(c), c=C.amber_fixed(c))
+    assert (r.b, r.c) == (True, "ATGCAGAGACTG")
+    texts = ["ATGTAGAGACTG", "CTGATT", "TAG", "CTGUUU", "", "AC", "NNNCTG", None]
+    got = {r.k: r for r in codon_measures(spark.createDataFrame(list(enumerate(texts)), "k int, s string"), "k").collect()}
+    assert set(got) == set(range(7)) and got[0].rare == 1 and abs(got[1].cai - 1.0) < 1e-12
+    assert [got[k].cai for k in (2, 4, 5)] == [0.0] * 3 == [got[k].mean_usage for k in (2, 4, 5)]
+    assert abs(got[3].mean_usage - (52.6 + 22.4) / 2) < 1e-9 and got[6].mean_usage == 52.6
     assert len(C.usage_table()) == 64 and sum(v == 1.0 for v in C.weights(C.usage_table()).values()) >= 20
 
 
@@ -67,8 +86,8 @@ def test_labels(spark):
     names = F.array(*[F.lit(x) for x in ("human_H", "a_b_C", "plain")])
     r = one(spark, a=F.transform(names, B.profile_species), b=F.transform(names, B.profile_chain), c=B.position_label(F.lit(111), F.lit("A")), d=B.position_label(F.lit(1), F.lit(" ")), e=B.evalue_text(F.lit(2.84e-40)), f=B.evalue_text(F.lit(9.97e-5)), g=B.cdr_of(F.lit(30), F.lit("chothia"), F.lit("H")), h=B.cdr_of(F.lit(30), F.lit("x"), F.lit("H")))
     assert tuple(r) == (["human", "a", "unknown"], ["H", "b_C", "H"], "111A", "1", "2.8e-40", "1.0e-4", "cdr1", "")
-    assert stable_evalue(2000.0, 0.0, 0.7)[0] == 0.0 and stable_evalue(2000.0, 0.0, 0.7)[1].endswith("e-422")
-    assert stable_evalue(100.0, 0.0, 0.7) == (pytest.approx(np.exp(-70 * np.log(2)), rel=1e-9), "8.5e-22")
+    value, text = stable_evalues(np.array([2000.0, 100.0]), np.zeros(2), np.full(2, 0.7))
+    assert value[0] == 0.0 and text[0].endswith("e-422") and (value[1], text[1]) == (pytest.approx(np.exp(-70 * np.log(2)), rel=1e-9), "8.5e-22")
 
 
 HITS = "result_no long, hmm_name string, bit_score double, hit_no long, seq_start int, seq_end int"
@@ -189,7 +208,8 @@ def test_duplicates(spark):
         (1, "a", "ATGTAG", "dna", [domain(stops=[1], numbering=n)]), (2, "b", "ATGCAG", "dna", [domain(numbering=n)]), (3, "c", "atgcag", "dna", [domain(numbering=n)]),
         (4, "d", "MKT", "protein", None), (5, "e", "mkt", "protein", []), (6, "f", None, None, [None]), (7, "g", "MKT", "protein", [domain(numbering=n)]),
     ]
-    marked = D.mark_canonical(spark.createDataFrame(rows, RESULTS), codon_score=F.when(F.col("result_no") == 3, 0.9).otherwise(0.5))
+    scores = spark.createDataFrame([(k, 0.9 if k == 3 else 0.5) for k in (1, 2, 3)], "result_no long, score double")
+    marked = D.mark_canonical(spark.createDataFrame(rows, RESULTS), scores=scores)
     got = {r.result_no: (r.canonical, r.slot, r.is_canonical) for r in marked.collect()}
     assert got == {1: (3, 1, False), 2: (3, 1, False), 3: (3, 1, True), 4: (4, 4, True), 5: (4, 4, False), 6: (6, 6, True), 7: (4, 4, False)}
     classed = D.result_classes(marked)
@@ -198,6 +218,21 @@ def test_duplicates(spark):
     assert {r.result_no for r in D.for_download(classed).collect()} == {2, 3, 7}
 
 
+def test_amber_stops_count_as_q(spark):
+    cells = lambda s: [(k + 1, " ", a) for k, a in enumerate(s)]
+    span = dict(nt_start=0, nt_end=9, translation_frame="+1")
+    rows = [
+        (1, "a", "ATGTAGAAA", "dna", [domain(stops=[1], numbering=cells("MX-K"), **span)]), (2, "b", "ATGCAGAAA", "dna", [domain(numbering=cells("MQK"), **span)]),
+        (3, "c", "ATGTAAAAA", "dna", [domain(stops=[1], numbering=cells("MXK"), **span)]), (4, "d", "TTTCTACAT", "dna", [domain(stops=[1], numbering=cells("MXK"), **span | {"translation_frame": "-1"})]),
+    ]
+    df = spark.createDataFrame(rows, RESULTS)
+    of = lambda **o: {r.result_no: r.canonical for r in D.mark_canonical(df, **o).collect()}
+    assert of() == {1: 1, 2: 2, 3: 1, 4: 1} and of(readthrough_as_q=True) == {1: 2, 2: 2, 3: 3, 4: 2}
+    total = {r.result_no: r.score for r in D.codon_scores(X.coding_rows(df)).collect()}
+    one_ = {r.result_no: r.cai for r in codon_measures(X.coding_rows(df), "result_no", text="coding").collect()}
+    assert total.keys() == one_.keys() and all(abs(total[k] - one_[k]) < 1e-8 for k in total)
+
+
 def test_positions_and_exports(spark, tmp_path):
     rows = [
         (1, "r1", "MKTLLV", "protein", [domain(numbering=[(1, " ", "A"), (111, "A", "C"), (112, "A", "D"), (112, " ", "E")], v_gene="IGHV1", v_identity=0.5), domain(1, "K", numbering=[(3, " ", "F")], chain_class="L")]),
@@ -288,14 +323,62 @@ def test_planted_domains_are_found():
     m = Model(toy())
     whole = "ACDEFGHIKLMNPQRSTVWY" * 2
     seqs = ["WWWW" + whole + "GG", "KK" + whole[:10] + whole[12:], whole[:20] + "WW" + whole[20:], "PPPPPPPPPP", whole[5:35]]
-    bits, start, end, a, z = scores(m, [code(s) for s in seqs])
+    coded = [code(s) for s in seqs]
+    bits, start, end, a, z, path = aligned(m, coded)
     assert bits[0] > 100 > bits[3] and (start[0], end[0], a[0], z[0]) == (4, 44, 1, 40)
     assert (start[1], end[1]) == (2, 40) and (start[4], end[4], a[4], z[4]) == (0, 30, 6, 35)
-    path = align(m, code(seqs[1][2:]), 1, 40)
-    assert [s for s, k in path if k == "d"] == [11, 12] and sum(k == "m" for _, k in path) == 38
-    path = align(m, code(seqs[2]), 1, 40)
-    assert [k for _, k in path].count("i") == 2 and [s for s, k in path if k == "i"] == [20, 20]
-    assert align(m, code("A"), 1, 1) == [(1, "m")] and align(m, code(""), 1, 3) is None
+    assert path[1] == "m" * 10 + "dd" + "m" * 28 and path[2] == "m" * 20 + "ii" + "m" * 20 and path[4] == "m" * 30
+    assert np.allclose(scores(m, coded), bits, atol=1e-3)
+
+
+def plain_viterbi(p, seq):
+    """Best local alignment by the recurrence, cell by cell: nats without the length model, and its path."""
+    n, neg = p.length, float("-inf")
+    emit = np.log(np.maximum(p.match, 1e-9) / profiles.BACKGROUND)
+    mm, mi, md, im, ii, dm, dd = np.log(np.maximum(p.trans, 1e-9)).T
+    enter = np.log(2.0 / (n * (n + 1)))
+    best, rows = (neg, None), {}
+    for i, x in enumerate(seq):
+        for k in range(n):
+            at = lambda j, s, kind: rows.get((j, s, kind), (neg, None))
+            options = [(enter, (i, k, ""))]
+            if k:
+                options += [(at(i - 1, k - 1, c)[0] + t[k - 1], at(i - 1, k - 1, c)[1]) for c, t in (("m", mm), ("i", im), ("d", dm))]
+            score, origin = max(options, key=lambda o: o[0])
+            if origin is None:
+                score, origin = options[0]
+            rows[i, k, "m"] = score + (emit[k, x] if x < 20 else 0.0), (*origin[:2], origin[2] + "m")
+            score, origin = max(((at(i - 1, k, c)[0] + t[k], at(i - 1, k, c)[1]) for c, t in (("m", mi), ("i", ii))), key=lambda o: o[0])
+            if origin:
+                rows[i, k, "i"] = score, (*origin[:2], origin[2] + "i")
+            if k:
+                score, origin = max(((at(i, k - 1, c)[0] + t[k - 1], at(i, k - 1, c)[1]) for c, t in (("m", md), ("d", dd))), key=lambda o: o[0])
+                if origin:
+                    rows[i, k, "d"] = score, (*origin[:2], origin[2] + "d")
+            if rows[i, k, "m"][0] > best[0]:
+                best = rows[i, k, "m"][0], (i + 1, k + 1, rows[i, k, "m"][1])
+    return best
+
+
+def test_search_agrees_with_the_plain_recurrence():
+    rng = np.random.default_rng(3)
+    match = rng.dirichlet(np.ones(20) * 0.3, 14)
+    trans = np.column_stack([*rng.dirichlet([8, 1, 1], 14).T, *rng.dirichlet([2, 1], 14).T, *rng.dirichlet([2, 1], 14).T])
+    p = profiles.Profile("r_H", match, trans)
+    seqs = [rng.integers(0, 21, n) for n in (1, 2, 9, 17, 25, 30)]
+    for k in range(8):  # cut and stretched copies of the profile's best text
+        own = match.argmax(axis=1).tolist()
+        own[5 : 5 + k % 3] = []
+        own[9:9] = rng.integers(0, 20, k % 4).tolist()
+        seqs.append(np.array([*rng.integers(0, 20, 3), *own, *rng.integers(0, 20, 2)]))
+    m = Model(p)
+    bits, start, end, a, z, path = aligned(m, seqs)
+    size = np.array([len(s) for s in seqs])
+    nats = bits * np.log(2) - (np.log(size / (size + 3.0)) * size - np.log(size / (size + 1.0)) * size + np.log(3.0 / (size + 3.0)) - np.log(1.0 / (size + 1.0)))
+    for k, s in enumerate(seqs):
+        score, (e, last, (first, state, kinds)) = plain_viterbi(p, s.tolist())
+        assert abs(score - nats[k]) < 1e-9 and (start[k], end[k], a[k], z[k], path[k]) == (first, e, state + 1, last, kinds)
+    assert np.allclose(scores(m, seqs), bits, atol=1e-3) and any("d" in x for x in path)
 
 
 def test_sql_functions(spark):
