@@ -1,15 +1,17 @@
-"""Nested result documents as flat tables that keep their parent (typed columns or JSON text).
+"""Nested result documents as flat tables that keep their parent.
 
 Linked rows: ``parent_no``, ``domain_pos`` (place in the domains array), ``item``
-(``domain``, ``stop`` or ``residue``) and ``item_pos`` (place in that array).  The rows come
-from structural offsets: for JSON text those of :class:`JsonIndex`, for typed columns the
-list offsets that Arrow already carries.  Every document is handled on its own inside a
-map stage, so nothing is shuffled and no group is ever gathered.
+(``domain``, ``stop`` or ``residue``) and ``item_pos`` (place in that array).  Value tables: the fields of
+documents, domains, numbered residues and stops, with the parent's key and places.  Both come from the
+spans that :class:`JsonIndex` finds in JSON text.  A typed nested column takes the same way for
+linked rows: the two arrays that they need are written as text, null elements in their places.
+Every document is handled on its own inside a map stage, so nothing is shuffled and no group is ever gathered.
 
 Defined results: null or empty arrays give no rows; a null domain element gives no row
 but keeps its place; a stop counts even if it is null; a residue counts if its insertion
 is present and not blank; a lone object or number is an array of one; a payload that is
-null, empty or not valid JSON gives no row; a null parent key is carried as null.
+null, empty or not valid JSON gives no row; a null parent key is carried as null; a missing value, or one
+that its type cannot read, is null; numbers given as text are numbers.
 """
 
 from __future__ import annotations
@@ -21,12 +23,11 @@ from json.decoder import scanstring
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .json_index import OPEN_OBJ, STRING, JsonIndex
-from .spans import chunks, expand, ranks, text_buffers
+from .spans import chunks, text_buffers
 
 LINKS = "parent_no bigint, domain_pos int, item string, item_pos int"
 _SCHEMA = pa.schema([("parent_no", pa.int64()), ("domain_pos", pa.int32()), ("item", pa.string()), ("item_pos", pa.int32())])
@@ -88,7 +89,7 @@ _NAMES = {"true": True, "false": False, "null": None}
 
 
 def parsed(text: str):
-    """JSON of any depth without recursion; numbers are given as 0, text that is not JSON raises ValueError."""
+    """JSON of any depth without recursion; numbers are given as text, text that is not JSON raises ValueError."""
     skip = lambda k: _SPACE.match(text, k).end()
 
     def name(k: int) -> tuple[str, int]:
@@ -113,7 +114,7 @@ def parsed(text: str):
         elif c == '"':
             value, k = scanstring(text, k + 1, True)
         elif m := _NUMBER.match(text, k):
-            value, k = 0, m.end()
+            value, k = m.group(), m.end()
         else:
             word = next((w for w in _NAMES if text.startswith(w, k)), None)
             if word is None:
@@ -149,25 +150,34 @@ def parsed(text: str):
             k += 1
 
 
-def _deep_links(parent: pa.Array, doc: int, raw: bytes) -> Iterator[pa.RecordBatch]:
-    """Documents nested beyond the index's levels, one by one with the standard parser, or :func:`parsed` beyond its depth."""
+def _deep(raw: bytes) -> dict | None:
+    """A document nested beyond the index's levels, by the standard parser, or :func:`parsed` beyond its depth; numbers as text."""
     try:
         try:
-            tree = json.loads(raw, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
+            tree = json.loads(raw, parse_float=str, parse_int=str, parse_constant=lambda _: (_ for _ in ()).throw(ValueError()))
         except RecursionError:
             tree = parsed(raw.decode(json.detect_encoding(raw), "surrogatepass"))
     except ValueError:
-        return
+        return None
+    return tree if isinstance(tree, dict) else None
+
+
+def _many(x) -> list:
+    return [] if x is None else x if isinstance(x, list) else [x]
+
+
+def _deep_domains(tree: dict | None) -> list[tuple[int, object]]:
+    return [(p, d) for p, d in enumerate(_many(tree.get("domains") if tree else None)) if d is not None]
+
+
+def _deep_links(parent: pa.Array, doc: int, raw: bytes) -> Iterator[pa.RecordBatch]:
     filled = lambda x: isinstance(x, (dict, list)) or x is not None and bool(str(x).strip())
-    many = lambda x: [] if x is None else x if isinstance(x, list) else [x]
     found = []
-    for p, d in enumerate(many(tree.get("domains") if isinstance(tree, dict) else None)):
-        if d is None:
-            continue
+    for p, d in _deep_domains(_deep(raw)):
         found.append((p, "domain", 0))
         if isinstance(d, dict):
-            found += [(p, "stop", k) for k, _ in enumerate(many(d.get("stop_positions")))]
-            for k, x in enumerate(many(d.get("numbering"))):
+            found += [(p, "stop", k) for k, _ in enumerate(_many(d.get("stop_positions")))]
+            for k, x in enumerate(_many(d.get("numbering"))):
                 if isinstance(x, dict) and filled(x.get("insertion")):
                     found.append((p, "residue", k))
     for p, item, k in found:
@@ -188,42 +198,111 @@ def link_json(df: DataFrame, key: str = "doc_no", text: str = "payload") -> Data
     return df.select(F.col(key).cast("bigint").alias("parent_no"), F.col(text).alias("text")).filter("text is not null").mapInArrow(run, LINKS)
 
 
-def _list_spans(column: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(values, row of each value, place in its list); null lists are empty."""
-    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)[:-1]
-    where = expand(offsets, lengths)
-    rows = np.repeat(np.arange(len(column)), lengths)
-    return column.values.take(pa.array(where)) if len(where) != len(column.values) else column.values, rows, ranks(rows)
+def link_typed(df: DataFrame, key: str = "result_no", domains: str = "domains") -> DataFrame:
+    """Linked rows of the typed nested column ``df[domains]``."""
+    residue = lambda r: F.struct(r["insertion"].alias("insertion"))
+    kept = lambda d: F.when(d.isNotNull(), F.struct(d["stop_positions"].alias("stop_positions"), F.transform(d["numbering"], residue).alias("numbering")))
+    text = F.to_json(F.struct(F.transform(domains, kept).alias("domains")))
+    return link_json(df.select(F.col(key).alias("_key"), text.alias("_text")), "_key", "_text")
 
 
-def _typed_links(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    parent, place, stops, letters = (batch.column(i) for i in range(4))
-    at = place.to_numpy(zero_copy_only=False)
-    yield _rows(parent, np.arange(len(at)), at, "domain", np.zeros(len(at)))
-    _, rows, k = _list_spans(stops)
-    yield _rows(parent, rows, at[rows], "stop", k)
-    values, rows, k = _list_spans(letters)
-    blank = pc.fill_null(pc.equal(pc.utf8_trim_whitespace(values), ""), True).to_numpy(zero_copy_only=False)
-    rows, k = rows[~blank], k[~blank]
-    yield _rows(parent, rows, at[rows], "residue", k)
+# -- values -------------------------------------------------------------------------------------
 
+DOMAIN_FIELDS = {
+    "domain_index": "int", "species": "string", "chain_type": "string", "chain_class": "string", "identity_species": "string", "v_gene": "string", "v_identity": "double", "j_gene": "string", "j_identity": "double",
+    "scheme": "string", "bit_score": "double", "evalue": "double", "evalue_text": "string", "seq_start": "int", "seq_end": "int", "translation_frame": "string", "nt_start": "int", "nt_end": "int", "flank_before": "string", "flank_after": "string",
+}
+#: The value tables: their places and their fields.
+TABLES = {
+    "documents": ((), {"id": "string", "sequence": "string", "input_type": "string"}),
+    "domains": (("domain_pos",), DOMAIN_FIELDS),
+    "numbering": (("domain_pos", "item_pos"), {"position": "int", "insertion": "string", "amino_acid": "string"}),
+    "stop_positions": (("domain_pos", "item_pos"), {"stop_position": "int"}),
+}
 
-def link_typed(df: DataFrame, key: str = "result_no", domains: str = "domains") -> DataFrame:
-    """Linked rows of the typed nested column ``df[domains]``."""
-    flat = (
-        df.select(F.col(key).cast("bigint").alias("parent_no"), F.posexplode(F.col(domains)).alias("domain_pos", "d"))
-        .filter("d is not null")
-        .select("parent_no", "domain_pos", F.col("d.stop_positions").alias("stops"), F.col("d.numbering.insertion").alias("letters"))
-    )
 
-    def run(batches):
-        for batch in batches:
-            for out in _typed_links(batch):
-                if out.num_rows:
-                    yield out
+def _found(index: JsonIndex, name: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, bool]:
+    """(document, places, token, whether fields are the token's members) of a table's rows."""
+    roots = index.roots()
+    roots = roots[index.kind[roots] == OPEN_OBJ]
+    if name == "documents":
+        return index.doc[roots], [], roots, True
+    row, value = index.members(roots, "domains")
+    r, element, place = index.elements(value)
+    live = np.flatnonzero(~index.is_null(element))
+    element, place, doc = element[live], place[live], index.doc[roots[row[r[live]]]]
+    if name == "domains":
+        return doc, [place], element, True
+    objects = np.flatnonzero(index.kind[element] == OPEN_OBJ)
+    row, value = index.members(element[objects], name)
+    r, item, item_pos = index.elements(value)
+    owner = objects[row[r]]
+    return doc[owner], [place[owner], item_pos], item, name == "numbering"
+
+
+def _json_values(parent: pa.Array, payload: pa.Array, name: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    buf, offsets = text_buffers(payload)
+    index = JsonIndex(buf, offsets)
+    doc, places, token, by_member = _found(index, name)
+    columns = []
+    objects = np.flatnonzero(index.kind[token] == OPEN_OBJ) if by_member and len(token) else np.zeros(0, np.int64)
+    for field in TABLES[name][1]:
+        at = token
+        if by_member:
+            at = np.full(len(token), -1)
+            row, value = index.members(token[objects], field)
+            at[objects[row]] = value
+        columns.append(index.values(at))
+    yield pa.RecordBatch.from_arrays([parent.take(pa.array(doc)), *(pa.array(p.astype(np.int32)) for p in places), *columns], schema=schema)
+    for d in np.flatnonzero(index.deep):
+        rows = list(_deep_values(_deep(buf[offsets[d] : offsets[d + 1]].tobytes()), name))
+        if rows:
+            texts = [pa.array([None if x is None else x if isinstance(x, str) else json.dumps(x) for x in c], pa.string()) for c in zip(*(r[1] for r in rows))]
+            yield pa.RecordBatch.from_arrays([parent.take(pa.array(np.full(len(rows), d))), *(pa.array(c, pa.int32()) for c in zip(*(r[0] for r in rows))), *texts], schema=schema)
+
+
+def _deep_values(tree: dict | None, name: str) -> Iterator[tuple[tuple, list]]:
+    """(places, values) of a table's rows in a parsed document."""
+    of = lambda x: [x.get(f) if isinstance(x, dict) else None for f in TABLES[name][1]]
+    if name == "documents":
+        if tree is not None:
+            yield (), of(tree)
+        return
+    for p, d in _deep_domains(tree):
+        if name == "domains":
+            yield (p,), of(d)
+        elif isinstance(d, dict):
+            for k, x in enumerate(_many(d.get(name))):
+                yield (p, k), of(x) if name == "numbering" else [x]
 
-    return flat.mapInArrow(run, LINKS)
+
+def json_tables(df: DataFrame, key: str = "doc_no", text: str = "payload") -> dict[str, DataFrame]:
+    """JSON documents in ``df[text]`` as four related tables: ``documents``, ``domains``, ``numbering`` and ``stop_positions``.
+
+    Each row carries the parent's key (``parent_no``) and its 0-based places, so that joins on (parent_no, domain_pos)
+    rebuild the document.
+    """
+    source = df.select(F.col(key).cast("bigint").alias("parent_no"), F.col(text).alias("text")).filter("text is not null")
+
+    def reader(name: str, columns: list[str], places: tuple[str, ...]):
+        schema = pa.schema([("parent_no", pa.int64()), *((p, pa.int32()) for p in places), *((c, pa.string()) for c in columns)])
+
+        def run(batches):
+            for batch in batches:
+                parent, payload = batch.column(0), batch.column(1)
+                for at, to in chunks(payload, CHUNK_BYTES):
+                    for out in _json_values(parent.slice(at, to - at), payload.slice(at, to - at), name, schema):
+                        if out.num_rows:
+                            yield out
+
+        return run
+
+    out = {}
+    for name, (places, fields) in TABLES.items():
+        kinds = ", ".join(["parent_no bigint", *(f"{p} int" for p in places), *(f"{c} string" for c in fields)])
+        rows = source.mapInArrow(reader(name, list(fields), places), kinds)
+        out[name] = rows.select("parent_no", *places, *[F.col(c) if t == "string" else F.col(c).try_cast(t).alias(c) for c, t in fields.items()])
+    return out
 
 
 def child_tables(df: DataFrame, key: str = "result_no", domains: str = "domains") -> dict[str, DataFrame]:

@@ -12,8 +12,9 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from .spans import equals, ranks
+from .spans import equals, expand, ranks
 
 OPEN_OBJ, CLOSE_OBJ, OPEN_ARR, CLOSE_ARR, COLON, COMMA, STRING, SCALAR = range(1, 9)
 _QUOTE, _ESC, _WS, _CTRL = 9, 10, 11, 12
@@ -259,6 +260,36 @@ class JsonIndex:
     def is_null(self, tokens: np.ndarray) -> np.ndarray:
         return (self.kind[tokens] == SCALAR) & equals(self.buf, self.pos[tokens], self.end[tokens] - self.pos[tokens], b"null")
 
+    def values(self, tokens: np.ndarray) -> pa.Array:
+        """The text of each value: strings decoded, numbers and literals as they stand, nested values as JSON; null for null and for token -1."""
+        known = tokens >= 0
+        at = np.where(known, tokens, 0)
+        if not len(self.kind):
+            return pa.nulls(len(tokens), pa.string())
+        known &= ~self.is_null(at)
+        start, stop = self.pos[at], self.end[at]
+        opener = np.isin(self.kind[at], (OPEN_OBJ, OPEN_ARR))
+        if (opener & known).any():
+            closer = np.full(len(self.kind), -1)
+            shut = np.flatnonzero(self.match >= 0)
+            closer[self.match[shut]] = shut
+            stop = np.where(opener & (closer[at] >= 0), self.end[np.maximum(closer[at], 0)], stop)
+        text = self.kind[at] == STRING
+        start, stop = start + text, stop - text
+        length = np.where(known, stop - start, 0)
+        raw = self.buf[expand(start, length)]
+        off = np.concatenate(([0], np.cumsum(length)))
+        mask = pa.py_buffer(np.packbits(known, bitorder="little"))
+        out = pa.LargeStringArray.from_buffers(len(tokens), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)), mask).cast(pa.string())
+        if len(self.escaped):
+            odd = np.flatnonzero(known & text & (np.searchsorted(self.escaped, start) < np.searchsorted(self.escaped, start + length)))
+            if len(odd):
+                as_list = out.to_pylist()
+                for i in odd:
+                    as_list[i] = self.text(at[i]).encode("utf-8", "replace").decode()
+                out = pa.array(as_list, pa.string())
+        return out
+
     def members(self, holders: np.ndarray, key: str) -> tuple[np.ndarray, np.ndarray]:
         """(row into ``holders``, value token) of ``key`` in each object; the last one wins if it is repeated."""
         slot = np.full(len(self.kind), -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.flatten import child_tables, link_json, link_typed
+from ..operators.flatten import child_tables, json_tables, link_json, link_typed
 from ..operators.rejects import loaded_lines, rejected_lines
 from ..runtime import table
 
@@ -28,6 +28,27 @@ def p3_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child_tables(table(spark, sf_dir, "numbering_results"))["numbering"]
 
 
+def p3_json_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domains of JSON documents with their values."""
+    d = json_tables(table(spark, sf_dir, "result_json"))["domains"]
+    return d.select("parent_no", "domain_pos", "domain_index", "scheme", "chain_type", "v_gene", "j_gene", "v_identity", "bit_score", "seq_start", "seq_end")
+
+
+def p3_json_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered residues of JSON documents with their values."""
+    return json_tables(table(spark, sf_dir, "result_json"))["numbering"]
+
+
+def p3_json_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stop positions of JSON documents."""
+    return json_tables(table(spark, sf_dir, "result_json"))["stop_positions"]
+
+
+def p3_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents: one row a valid JSON document."""
+    return json_tables(table(spark, sf_dir, "result_json"))["documents"]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that cannot be loaded, with the first reason that holds."""
     return rejected_lines(table(spark, sf_dir, "raw_records")).select("line_no", "reason")
@@ -38,7 +59,7 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded_lines(table(spark, sf_dir, "raw_records"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_domains, p3_numbering, p4_found, p4_loaded)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_domains, p3_numbering, p3_json_documents, p3_json_domains, p3_json_numbering, p3_json_stops, p4_found, p4_loaded)}
 
 _P3 = """
 WITH typed AS (
@@ -57,7 +78,9 @@ WITH typed AS (
     CASE WHEN json_type(s) = 'ARRAY' THEN CAST(s AS JSON[]) WHEN coalesce(json_type(s), 'NULL') = 'NULL' THEN []::JSON[] ELSE [s] END AS s,
     CASE WHEN json_type(n) = 'ARRAY' THEN CAST(n AS JSON[]) WHEN coalesce(json_type(n), 'NULL') = 'NULL' THEN []::JSON[] ELSE [n] END AS n FROM kids
 )
-SELECT 'numbering_results' AS src_table, parent_no, domain_pos, 'domain' AS item, 0 AS item_pos FROM typed
+"""
+
+_LINKED = """SELECT 'numbering_results' AS src_table, parent_no, domain_pos, 'domain' AS item, 0 AS item_pos FROM typed
 UNION ALL SELECT 'numbering_results', parent_no, domain_pos, 'stop', (generate_subscripts(d.stop_positions, 1) - 1)::INT FROM typed
 UNION ALL SELECT 'numbering_results', parent_no, domain_pos, 'residue', k FROM (
   SELECT parent_no, domain_pos, unnest(d.numbering) AS r, (generate_subscripts(d.numbering, 1) - 1)::INT AS k FROM typed) WHERE trim(r.insertion) <> ''
@@ -84,7 +107,16 @@ judged AS (
 """
 
 SQL = {
-    "p3_found": _P3,
+    "p3_found": _P3 + _LINKED,
+    "p3_json_documents": """SELECT doc_no AS parent_no, payload->>'$.id' AS id, payload->>'$.sequence' AS sequence, payload->>'$.input_type' AS input_type
+FROM result_json WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'""",
+    "p3_json_domains": _P3
+    + """SELECT parent_no, domain_pos, try_cast(d->>'$.domain_index' AS INT) AS domain_index, d->>'$.scheme' AS scheme, d->>'$.chain_type' AS chain_type, d->>'$.v_gene' AS v_gene, d->>'$.j_gene' AS j_gene,
+  try_cast(d->>'$.v_identity' AS DOUBLE) AS v_identity, try_cast(d->>'$.bit_score' AS DOUBLE) AS bit_score, try_cast(d->>'$.seq_start' AS INT) AS seq_start, try_cast(d->>'$.seq_end' AS INT) AS seq_end FROM text""",
+    "p3_json_numbering": _P3
+    + """SELECT parent_no, domain_pos, item_pos, try_cast(r->>'$.position' AS INT) AS position, r->>'$.insertion' AS insertion, r->>'$.amino_acid' AS amino_acid
+FROM (SELECT parent_no, domain_pos, unnest(n) AS r, (generate_subscripts(n, 1) - 1)::INT AS item_pos FROM lists)""",
+    "p3_json_stops": _P3 + "SELECT parent_no, domain_pos, item_pos, try_cast(v->>'$' AS INT) AS stop_position FROM (SELECT parent_no, domain_pos, unnest(s) AS v, (generate_subscripts(s, 1) - 1)::INT AS item_pos FROM lists)",
     "p3_domains": """
 SELECT result_no, (i - 1)::INT AS domain_pos, d.domain_index, d.scheme, d.v_gene, d.bit_score, d.seq_start, d.seq_end
 FROM (SELECT result_no, unnest(domains) AS d, generate_subscripts(domains, 1) AS i FROM numbering_results) WHERE d IS NOT NULL""",
