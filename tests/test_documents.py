@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seqloom.operators import json_index
-from seqloom.operators.flatten import child_tables, link_json, link_typed
+from seqloom.operators.flatten import TABLES, child_tables, json_tables, link_json, link_typed
 from seqloom.operators.json_index import JsonIndex
 from seqloom.operators.rejects import judge, loaded_lines, rejected_lines
 from seqloom.operators.spans import chunks, expand, ranks, text_buffers
@@ -81,6 +81,50 @@ def test_links_of_any_json(docs, indent, ascii_only):
     assert {k: sorted(v) for k, v in got.items()} == {k: brute(d) for k, d in enumerate(docs)}
 
 
+def shown(x):
+    return None if x is None else x if isinstance(x, str) else json.loads(json.dumps(x), parse_float=str, parse_int=str) if isinstance(x, (int, float)) and not isinstance(x, bool) else json.dumps(x)
+
+
+def brute_values(doc, name):
+    many = lambda x: [] if x is None else x if isinstance(x, list) else [x]
+    of = lambda x: tuple(shown(x.get(f)) if isinstance(x, dict) else None for f in TABLES[name][1])
+    if name == "documents":
+        return [of(doc)] if isinstance(doc, dict) else []
+    domains = [(p, d) for p, d in enumerate(many(doc.get("domains") if isinstance(doc, dict) else None)) if d is not None]
+    if name == "domains":
+        return [(p, *of(d)) for p, d in domains]
+    return [(p, k, *(of(x) if name == "numbering" else (shown(x),))) for p, d in domains if isinstance(d, dict) for k, x in enumerate(many(d.get(name)))]
+
+
+_fields = st.sampled_from(["domains", "numbering", "stop_positions", "insertion", "position", "amino_acid", "v_gene", "id", "sequence"])
+_nested = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=6), lambda c: st.lists(c, max_size=4) | st.dictionaries(_fields, c, max_size=5), max_leaves=30)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(_nested, min_size=1, max_size=4), st.booleans(), st.sampled_from(sorted(TABLES)))
+def test_values_of_any_json(docs, ascii_only, name):
+    from seqloom.operators.flatten import _json_values
+
+    places, fields = TABLES[name]
+    schema = pa.schema([("parent_no", pa.int64()), *((p, pa.int32()) for p in places), *((c, pa.string()) for c in fields)])
+    texts = [json.dumps(d, ensure_ascii=ascii_only) for d in docs]
+    got = sorted((r for b in _json_values(pa.array(range(len(docs))), pa.array(texts), name, schema) for r in zip(*(c.to_pylist() for c in b.columns))), key=str)
+    want = [(k, *r) for k, d in enumerate(docs) for r in brute_values(d, name)]
+    same = lambda rows: [tuple(x if not isinstance(x, str) or not x.startswith(("[", "{")) else json.loads(x) for x in r) for r in rows]
+    if ascii_only:
+        assert same(got) == same(sorted(want, key=str))
+    assert len(got) == len(want)
+
+
+def test_values_have_types(spark):
+    rows = [(1, '{"id": "a\\u0041", "domains": [{"bit_score": "12.5", "seq_start": 3, "seq_end": "x", "v_gene": null}, null, {"stop_positions": "7", "numbering": {"position": "4", "insertion": "A"}}]}'), (2, "{"), (None, "{}")]
+    t = json_tables(spark.createDataFrame(rows, "doc_no long, payload string"))
+    assert [(r.parent_no, r.domain_pos, r.bit_score, r.seq_start, r.seq_end, r.v_gene) for r in t["domains"].orderBy("domain_pos").collect()] == [(1, 0, 12.5, 3, None, None), (1, 2, None, None, None, None)]
+    assert [tuple(r) for r in t["numbering"].collect()] == [(1, 2, 0, 4, "A", None)] and [tuple(r) for r in t["stop_positions"].collect()] == [(1, 2, 0, 7)]
+    assert sorted((r.parent_no or 0, r.id) for r in t["documents"].collect()) == [(0, None), (1, "aA")]
+    assert all(x.count() == 0 for x in json_tables(spark.createDataFrame([], "doc_no long, payload string")).values())
+
+
 def test_deep_nesting_takes_the_slow_path():
     deep = '{"domains":[{"stop_positions":[1,2],"x":' + "[" * 100 + "]" * 100 + "}]}"
     i = index("{}", deep, "{}")
