@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small
+from ..runtime import bytes_of, maybe_broadcast, small
+
+#: Bytes of distinct state texts that one task scores.
+ASK_BYTES = 16 << 20
 
 
 def identity(query: Column, germline: Column) -> Column:
@@ -49,7 +52,7 @@ def _order(germlines: DataFrame, names: list[str]) -> DataFrame:
 
 def _score_by_join(ask: DataFrame, germlines: DataFrame, order: DataFrame) -> DataFrame:
     """Best genes of distinct (chain_type, state_sequence), for gene tables of any size: joins and argmax by struct."""
-    v = germlines.filter("segment = 'V'").join(F.broadcast(order), "species")
+    v = germlines.filter("segment = 'V'").join(maybe_broadcast(order), "species")
     score = lambda rank: F.struct(identity(F.col("state_sequence"), F.col("aligned_seq")).alias("identity"), (-F.col(rank)).alias("r"), (-F.col("gene_ordinal")).alias("o"))
     best_v = (
         ask.join(v.select("chain_type", "species", "species_rank", "gene", "gene_ordinal", "aligned_seq"), "chain_type")
@@ -66,21 +69,31 @@ def _score_by_join(ask: DataFrame, germlines: DataFrame, order: DataFrame) -> Da
     )
 
 
+def letter_matrix(texts: list[str]) -> np.ndarray:
+    """The first 128 letters of each text as bytes, ``-`` behind its end; letters beyond ASCII match nothing."""
+    flat = "".join(t[:128].ljust(128, "-") for t in texts).encode("ascii", "replace")
+    return np.frombuffer(flat, np.uint8).reshape(len(texts), 128)
+
+
 class _Genes:
     """Genes of one segment, chain (and species) as a letter matrix in order of preference."""
 
     def __init__(self, rows: list):
-        self.species, self.gene = [r.species for r in rows], [r.gene for r in rows]
-        self.letters = np.array([list(r.aligned_seq[:128].ljust(128, "-").encode()) for r in rows], np.uint8)
-        self.filled = self.letters != ord("-")
-        self.size = np.maximum(self.filled.sum(axis=1), 1)
+        self.species, self.gene = np.array([r.species for r in rows]), np.array([r.gene for r in rows])
+        self.letters = letter_matrix([r.aligned_seq for r in rows]).copy()
+        self.size = np.maximum((self.letters != ord("-")).sum(axis=1), 1)
+        # a gap matches no letter
+        self.letters[self.letters == ord("-")] = 0
 
     def best(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(gene, identity) of each row of letters; the first of equal genes wins."""
         at, top = np.zeros(len(query), np.int64), np.zeros(len(query))
-        for k in range(0, len(query), 256):
-            same = ((query[k : k + 256, None, :] == self.letters[None]) & self.filled[None]).sum(axis=2) / self.size
-            at[k : k + 256], top[k : k + 256] = same.argmax(axis=1), same.max(axis=1)
+        for k in range(0, len(query), 64):
+            same = query[k : k + 64, None, :] == self.letters[None]
+            # eight flags a word are added at once (no byte exceeds 16), then the bytes of the sum
+            words = same.view(np.uint64).sum(axis=2, dtype=np.uint64)
+            share = ((words * np.uint64(0x0101010101010101)) >> np.uint64(56)) / self.size
+            at[k : k + 64], top[k : k + 64] = share.argmax(axis=1), share.max(axis=1)
         return at, top
 
 
@@ -91,30 +104,39 @@ def _score_by_matrix(ask: DataFrame, germlines: DataFrame, order: DataFrame) ->
     """The same from a gene table that was found small: letter matrices, broadcast."""
     v = germlines.filter("segment = 'V'").join(F.broadcast(order), "species").orderBy("species_rank", "gene_ordinal").collect()
     j = germlines.filter("segment = 'J'").orderBy("gene_ordinal").collect()
-    chains = sorted({r.chain_type for r in v})
-    table_v = {c: _Genes([r for r in v if r.chain_type == c]) for c in chains}
+    table_v = {c: _Genes([r for r in v if r.chain_type == c]) for c in sorted({r.chain_type for r in v})}
     table_j = {k: _Genes([r for r in j if (r.chain_type, r.species) == k]) for k in {(r.chain_type, r.species) for r in j}}
-    genes = ask.sparkSession.sparkContext.broadcast((table_v, table_j))
+    spark = ask.sparkSession
+    genes = spark.sparkContext.broadcast((table_v, table_j))
 
     def run(batches):
         tv, tj = genes.value
-        for pdf in batches:
-            for chain, part in pdf.groupby("chain_type"):
+        for batch in batches:
+            chains = batch.column(0).to_pylist()
+            q = letter_matrix(batch.column(1).to_pylist())
+            by_chain: dict[str, list[int]] = {}
+            for r, c in enumerate(chains):
+                by_chain.setdefault(c, []).append(r)
+            for chain, rows in by_chain.items():
                 if chain not in tv:
                     continue
-                q = np.array([list(s[:128].ljust(128, "-").encode()) for s in part["state_sequence"]], np.uint8)
-                at, top = tv[chain].best(q)
-                species = np.array([tv[chain].species[k] for k in at])
-                out = pd.DataFrame({"chain_type": chain, "state_sequence": part["state_sequence"].to_numpy(), "identity_species": species, "v_gene": [tv[chain].gene[k] for k in at], "v_identity": top, "j_gene": "", "j_identity": 0.0})
+                mine = q[rows]
+                at, top = tv[chain].best(mine)
+                species, n = tv[chain].species[at], len(rows)
+                j_gene, j_top = np.full(n, "", object), np.zeros(n)
                 for sp in np.unique(species):
-                    rows = np.flatnonzero(species == sp)
+                    own = np.flatnonzero(species == sp)
                     if (chain, sp) in tj:
-                        ja, jt = tj[chain, sp].best(q[rows])
-                        out.loc[rows, "j_gene"] = [tj[chain, sp].gene[k] for k in ja]
-                        out.loc[rows, "j_identity"] = jt
-                yield out
+                        ja, jt = tj[chain, sp].best(mine[own])
+                        j_gene[own], j_top[own] = tj[chain, sp].gene[ja], jt
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(species.tolist()), pa.array(tv[chain].gene[at].tolist()), pa.array(top), pa.array(j_gene.tolist(), pa.string()), pa.array(j_top)],
+                    names=[c.split()[0] for c in BEST.split(", ")],
+                )
 
-    return ask.mapInPandas(run, BEST)
+    # a text takes far longer to score than to move: few bytes are many cores' work
+    return ask.repartition(max(spark.sparkContext.defaultParallelism, -(-bytes_of(ask) // ASK_BYTES))).mapInArrow(run, BEST)
 
 
 def assign_germlines(domains: DataFrame, germlines: DataFrame, keys: list[str], species: list[str] | None = None) -> DataFrame:
@@ -127,7 +149,7 @@ def assign_germlines(domains: DataFrame, germlines: DataFrame, keys: list[str],
     """
     names = list(dict.fromkeys(s.strip().lower() for s in species or [] if s.strip()))
     if names:
-        domains = domains.join(F.broadcast(missing_species(germlines, names)), "chain_type", "left_anti")
+        domains = domains.join(maybe_broadcast(missing_species(germlines, names)), "chain_type", "left_anti")
     ask = domains.select("chain_type", "state_sequence").filter("chain_type is not null and state_sequence is not null").distinct()
     score = _score_by_matrix if small(germlines, germlines.count(), 256) else _score_by_join
     return domains.join(score(ask, germlines, _order(germlines, names)), ["chain_type", "state_sequence"]).select(*keys, "identity_species", "v_gene", "v_identity", "j_gene", "j_identity")

@@ -84,6 +84,30 @@ def position_union_of(results: DataFrame, key: str = "result_no") -> DataFrame:
     return part.groupBy("position", "insertion").agg(F.max("rank").alias("max_rank"), F.min(seen).alias("first_seen"))
 
 
+def grid_texts(rows: int, width: int, row: np.ndarray, at: np.ndarray, values: pa.Array, filler: str = "-") -> pa.Array:
+    """One text a row of ``width`` places; ``values`` go to (row, at), later ones over earlier ones; null is the filler."""
+    coded = pc.fill_null(values, filler).dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    letters = [filler, *words.to_pylist()]
+    if all(len(x) == 1 and x.isascii() for x in letters):
+        grid = np.full((rows, width), ord(filler), np.uint8)
+        grid[row, at] = np.array([ord(x) for x in letters[1:]], np.uint8)[code] if len(code) else 0
+        off = np.arange(rows + 1, dtype=np.int64) * width
+        return pa.LargeStringArray.from_buffers(rows, pa.py_buffer(off), pa.py_buffer(grid)).cast(pa.string())
+    grid = np.zeros((rows, width), np.int64)
+    grid[row, at] = code + 1
+    return pa.array(["".join([letters[k] for k in g]) for g in grid.tolist()], pa.string())
+
+
+def _labels(pos: np.ndarray, ins: pa.Array) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """(label of each cell, the distinct (position, insertion))."""
+    coded = ins.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    key = pos.astype(np.int64) * max(1, len(words)) + coded.indices.to_numpy(zero_copy_only=False)
+    uniq, label = np.unique(key, return_inverse=True)
+    return label, [(k // len(words), words[k % len(words)]) for k in uniq.tolist()]
+
+
 def aligned_texts_of(results: DataFrame, key: str = "result_no", filler: str = "-") -> DataFrame:
     """:func:`aligned_texts` of residues straight from the nested documents, without a shuffle of cells.
 
@@ -95,17 +119,42 @@ def aligned_texts_of(results: DataFrame, key: str = "result_no", filler: str = "
     def run(batches):
         for batch in batches:
             row, _, pos, ins, aa = _flat(batch)
-            grid = np.full((batch.num_rows, max(1, len(place))), filler, dtype=object)
-            at = np.array([place[k] for k in zip(pos.tolist(), ins.to_pylist())], np.int64)
+            label, names = _labels(pos, ins)
+            at = np.array([place[k] for k in names], np.int64)[label] if names else label
             # of cells with one label the least residue stays, whatever their order
-            order = np.argsort(np.array([x if x is not None else "\U0010ffff" for x in aa.to_pylist()], dtype=object), kind="stable")[::-1]
-            grid[row[order], at[order]] = np.array([x if x is not None else filler for x in aa.to_pylist()], dtype=object)[order]
-            text = pa.array(["".join(g) for g in grid] if place else [], pa.string())
+            order = pc.sort_indices(aa, sort_keys=[("", "ascending")], null_placement="at_end").to_numpy()[::-1]
+            text = grid_texts(batch.num_rows, len(place), row[order], at[order], aa.take(pa.array(order)), filler)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["result_no", "domain_pos", "aligned"])
 
     return _domain_arrays(results, key).mapInArrow(run, "result_no bigint, domain_pos int, aligned string")
 
 
+def state_texts_of(domains: DataFrame, *keep: str, numbering: str = "numbering") -> DataFrame:
+    """``keep, state_sequence``: the 128 states of imgt-numbered domains; of several residues at a state the first counts.
+
+    A domain without a plain position from 1 to 128 gives no row.
+    """
+    kept = ", ".join(f"{c} {domains.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches):
+        for batch in batches:
+            p, i, a = (batch.column(len(keep) + k) for k in range(3))
+            size = pc.list_value_length(p).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            pos, aa = p.flatten(), a.flatten()
+            plain = pc.equal(pc.utf8_trim(pc.fill_null(i.flatten(), ""), " "), "")
+            live = np.flatnonzero(pc.and_(pc.and_(plain, pc.is_valid(aa)), pc.fill_null(pc.and_(pc.greater_equal(pos, 1), pc.less_equal(pos, 128)), False)).to_numpy(zero_copy_only=False))[::-1]
+            take = pa.array(live)
+            text = grid_texts(batch.num_rows, 128, row[live], pos.take(take).to_numpy(zero_copy_only=False) - 1, aa.take(take))
+            some = pa.array(np.unique(row[live]))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(some) for k in range(len(keep))), text.take(some)], names=[*keep, "state_sequence"])
+
+    n = F.col(numbering)
+    cells = domains.filter(F.size(n) > 0).select(*keep, n.alias("_n"))
+    return cells.select(*keep, F.col("_n.position").alias("_p"), F.col("_n.insertion").alias("_i"), F.col("_n.amino_acid").alias("_a")).mapInArrow(run, f"{kept}, state_sequence string")
+
+
 def union_order(union: DataFrame) -> list[str]:
     """Labels of the union's columns in order; the union is bounded by the scheme, not by the data."""
     ordered = union.orderBy("position", "max_rank", "first_seen").select(position_label(F.col("position"), F.col("insertion")).alias("l"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import class_of_chain, profile_chain, profile_species
-from ..functions.sequence import let
 from ..numbering.tables import NAMES
 from ..operators.germline import assign_germlines, identity, model_lengths
 from ..operators.hits import above_threshold, best_frame, of_chains, prefer_species, select_domains
-from ..operators.identity import cell_vectors, clustered_order, domain_vectors, encoded, pairwise_identity, vector_pairs
-from ..runtime import Scratch, maybe_broadcast, table
+from ..operators.identity import cell_vectors, clustered_order, domain_vectors, encoded, vector_pairs
+from ..operators.positions import state_texts_of
+from ..runtime import Scratch, maybe_broadcast, spread, table
 from ..sources.germlines import available_species as species_of
 from ..sources.profiles import from_germlines
 from . import pipeline
@@ -70,15 +70,8 @@ def scheme_catalog(spark, sf_dir):
 
 def _state_texts(spark, sf_dir) -> DataFrame:
     """The 128 states of every imgt-numbered domain, from its stored numbering."""
-    d = table(spark, sf_dir, "numbering_results").select("result_no", F.posexplode("domains").alias("domain_pos", "d")).filter("d is not null and d.scheme = 'imgt' and d.chain_type is not null and d.numbering is not null")
-    plain = F.filter("d.numbering", lambda r: (F.coalesce(F.trim(r["insertion"]), F.lit("")) == "") & r["position"].between(1, 128) & r["amino_acid"].isNotNull())
-
-    def text(cells):
-        places, letters = F.transform(cells, lambda r: r["position"]), F.transform(cells, lambda r: r["amino_acid"])
-        at = lambda p, i: F.array_position(p, i).cast("int")
-        return let(places, lambda p: let(letters, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.when(at(p, i) > 0, F.element_at(x, at(p, i))).otherwise("-")), "")))
-
-    return d.select("result_no", "domain_pos", F.col("d.chain_type").alias("chain_type"), plain.alias("cells")).filter("size(cells) > 0").select("result_no", "domain_pos", "chain_type", text(F.col("cells")).alias("state_sequence"))
+    d = spread(table(spark, sf_dir, "numbering_results").select("result_no", F.posexplode("domains").alias("domain_pos", "d")).filter("d is not null and d.scheme = 'imgt' and d.chain_type is not null"))
+    return state_texts_of(d.select("result_no", "domain_pos", F.col("d.chain_type").alias("chain_type"), F.col("d.numbering").alias("numbering")), "result_no", "domain_pos", "chain_type")
 
 
 def state_texts(spark, sf_dir):
@@ -87,13 +80,15 @@ def state_texts(spark, sf_dir):
 
 def germline_genes(spark, sf_dir):
     """Closest V and J genes of every imgt-numbered domain."""
-    out = assign_germlines(_state_texts(spark, sf_dir), table(spark, sf_dir, "germlines"), ["result_no", "domain_pos"])
+    texts = Scratch(spark, "states").table(_state_texts(spark, sf_dir))
+    out = assign_germlines(texts, table(spark, sf_dir, "germlines"), ["result_no", "domain_pos"])
     return out.withColumns({"v_identity": F.round("v_identity", 6), "j_identity": F.round("j_identity", 6)})
 
 
 def germline_genes_of(spark, sf_dir):
     """As above, from an asked list of species only."""
-    out = assign_germlines(_state_texts(spark, sf_dir), table(spark, sf_dir, "germlines"), ["result_no", "domain_pos"], ["mouse", "human"])
+    texts = Scratch(spark, "states").table(_state_texts(spark, sf_dir))
+    out = assign_germlines(texts, table(spark, sf_dir, "germlines"), ["result_no", "domain_pos"], ["mouse", "human"])
     return out.select("result_no", "domain_pos", "identity_species", "v_gene")
 
 
@@ -113,7 +108,8 @@ def _gene_cells(spark, sf_dir) -> DataFrame:
 
 def identity_matrix(spark, sf_dir):
     """Identity of all pairs of V genes of a chain (the gene table is fixed in size)."""
-    return pairwise_identity(_gene_cells(spark, sf_dir)).withColumn("identity", F.round("identity", 6))
+    vectors = Scratch(spark, "genes").table(encoded(cell_vectors(_gene_cells(spark, sf_dir))))
+    return vector_pairs(vectors).withColumn("identity", F.round("identity", 6))
 
 
 def identity_order(spark, sf_dir):

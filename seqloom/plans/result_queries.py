@@ -10,7 +10,7 @@ from ..numbering.tables import CDR_RANGES
 from ..operators import dedup as D
 from ..operators import positions as P
 from ..operators.identity import labelled_domains
-from ..runtime import table
+from ..runtime import spread, table
 from ..sinks import exports as X
 from ..sources.results import position_cells, read_results
 
@@ -80,7 +80,7 @@ def gap_filled(spark, sf_dir):
 
 def aligned_residues(spark, sf_dir):
     """Aligned FASTA text of every domain."""
-    return P.aligned_texts_of(_results(spark, sf_dir))
+    return P.aligned_texts_of(spread(_results(spark, sf_dir)))
 
 
 def aligned_codons(spark, sf_dir):
