@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bytes_of, maybe_broadcast, small
+from ..runtime import Scratch, maybe_broadcast, small
 
-#: Bytes of distinct state texts that one task scores.
-ASK_BYTES = 16 << 20
+#: Tasks that score the distinct state texts of one file split.
+TASKS_A_SPLIT = 8
 
 
 def identity(query: Column, germline: Column) -> Column:
@@ -136,7 +136,7 @@ def _score_by_matrix(ask: DataFrame, germlines: DataFrame, order: DataFrame) ->
                 )
 
     # a text takes far longer to score than to move: few bytes are many cores' work
-    return ask.repartition(max(spark.sparkContext.defaultParallelism, -(-bytes_of(ask) // ASK_BYTES))).mapInArrow(run, BEST)
+    return ask.repartition(max(spark.sparkContext.defaultParallelism, TASKS_A_SPLIT * ask.rdd.getNumPartitions())).mapInArrow(run, BEST)
 
 
 def assign_germlines(domains: DataFrame, germlines: DataFrame, keys: list[str], species: list[str] | None = None) -> DataFrame:
@@ -151,5 +151,6 @@ def assign_germlines(domains: DataFrame, germlines: DataFrame, keys: list[str],
     if names:
         domains = domains.join(maybe_broadcast(missing_species(germlines, names)), "chain_type", "left_anti")
     ask = domains.select("chain_type", "state_sequence").filter("chain_type is not null and state_sequence is not null").distinct()
+    ask = Scratch(domains.sparkSession, "genes").table(ask)
     score = _score_by_matrix if small(germlines, germlines.count(), 256) else _score_by_join
     return domains.join(score(ask, germlines, _order(germlines, names)), ["chain_type", "state_sequence"]).select(*keys, "identity_species", "v_gene", "v_identity", "j_gene", "j_identity")

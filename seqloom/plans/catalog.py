@@ -16,5 +16,5 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    """Closest germline genes of every numbered domain."""
-    return hit_queries.germline_genes(spark, sf_dir)
+    """Every record searched, numbered and assigned its genes."""
+    return hit_queries.number_sequences(spark, sf_dir)
