@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import compute_pim
 from ..functions.labels import cdr_of, position_label
 from ..numbering.tables import CDR_RANGES
 from ..operators import dedup as D
 from ..operators import positions as P
+from ..operators.flatten import json_tables
 from ..operators.identity import labelled_domains
 from ..runtime import spread, table
 from ..sinks import exports as X
@@ -69,8 +71,8 @@ def position_union(spark, sf_dir):
 
 
 def wide_positions(spark, sf_dir):
-    """The wide table over the whole set's positions."""
-    return X.wide_table(_results(spark, sf_dir))
+    """The wide table over the whole set's positions, as CSV lines."""
+    return X.csv_lines(X.wide_table(_results(spark, sf_dir)), "result_no", "domain_pos")
 
 
 def gap_filled(spark, sf_dir):
@@ -84,7 +86,8 @@ def aligned_residues(spark, sf_dir):
 
 
 def aligned_codons(spark, sf_dir):
-    return X.aligned_fasta(_results(spark, sf_dir), codon=True).select("result_no", "domain_pos", "label", F.length("aligned").alias("length"))
+    """Aligned FASTA text of the coding DNA of every domain, three letters a position."""
+    return X.aligned_fasta(_results(spark, sf_dir), codon=True)
 
 
 def loop_positions(spark, sf_dir):
@@ -124,7 +127,16 @@ def fasta_amber(spark, sf_dir):
 
 
 def json_documents(spark, sf_dir):
-    return X.as_json(_results(spark, sf_dir), "result_no")
+    """Result documents written as JSON and read back: records and their domains."""
+    r = read_results(X.as_json(_results(spark, sf_dir), "result_no"), "document", "result_no")
+    d = r.select("result_no", "id", "sequence", "input_type", F.posexplode_outer("domains").alias("domain_pos", "d"))
+    fields = ("domain_index", "species", "chain_type", "v_gene", "v_identity", "j_gene", "scheme", "bit_score", "evalue", "evalue_text", "seq_start", "seq_end", "nt_start", "nt_end", "translation_frame", "flank_after")
+    return d.select("result_no", "id", "sequence", "input_type", "domain_pos", *[F.col(f"d.{c}").alias(c) for c in fields], F.array_join(F.transform("d.stop_positions", lambda x: x.cast("string")), ",").alias("stops"))
+
+
+def json_roundtrip(spark, sf_dir):
+    """Position cells of result documents written as JSON and read back."""
+    return position_cells(read_results(X.as_json(_results(spark, sf_dir), "result_no"), "document", "result_no"), "result_no")
 
 
 def line_reports(spark, sf_dir):
@@ -132,20 +144,28 @@ def line_reports(spark, sf_dir):
 
 
 def json_cells(spark, sf_dir):
-    """Position cells read back from JSON payloads."""
-    r = read_results(table(spark, sf_dir, "result_json"), "payload", "doc_no")
-    return position_cells(r, "doc_no").groupBy("doc_no", "domain_pos", "chain_class").agg(F.count("*").alias("cells"))
+    """Position cells of JSON payloads in any dirt, through the structural index, counted by domain."""
+    t = json_tables(table(spark, sf_dir, "result_json"))
+    n = t["numbering"].groupBy("parent_no", "domain_pos").agg(F.count("*").alias("cells"), F.sum(F.coalesce("position", F.lit(0))).alias("positions"), F.count_if(F.coalesce("amino_acid", F.lit("-")) == "-").alias("gaps"))
+    d = t["domains"].select("parent_no", "domain_pos", F.coalesce("chain_class", F.lit("H")).alias("chain_class"))
+    return d.join(n, ["parent_no", "domain_pos"]).withColumnRenamed("parent_no", "doc_no")
+
+
+def matrix_lines(spark, sf_dir):
+    """Identity matrices of the result domains, as CSV lines in clustered order."""
+    return compute_pim(table(spark, sf_dir, "numbering_results").select("result_no", "id", "domains"), key="result_no")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         duplicate_marks, duplicate_marks_amber, duplicate_groups, duplicate_members, result_classes, summary_counts, download_set, position_union, wide_positions, gap_filled, aligned_residues, aligned_codons, loop_positions,
-        loop_ranges, heavy_cdr3, domain_labels, fasta_residues, fasta_coding, fasta_amber, json_documents, line_reports, json_cells,
+        loop_ranges, heavy_cdr3, domain_labels, fasta_residues, fasta_coding, fasta_amber, json_documents, json_roundtrip, line_reports, json_cells, matrix_lines,
     )
 }
 
-from .sequence_queries import CLEAN, _WEIGHT, codons_sql, rc_sql  # noqa: E402
+from .document_queries import _P3  # noqa: E402
+from .sequence_queries import _WEIGHT, codons_sql, rc_sql  # noqa: E402
 
 _DOMAINS = "dom AS (SELECT result_no, id, sequence, input_type, list_filter(coalesce(domains, []), lambda d: d IS NOT NULL) AS ds FROM numbering_results)"
 _CELLS = """
@@ -196,7 +216,50 @@ def _loop_sql(p: str, scheme: str, k: str) -> str:
     return f"CASE {' '.join(out)} ELSE '' END"
 
 
+_PRESENT = _UNION.replace("domains", "ds").replace("FROM numbering_results", "FROM dom")
+_LABEL = "coalesce(id, '') || CASE WHEN n_domains > 1 THEN '_d' || (domain_pos + 1) ELSE '' END"
+_X = "x AS (SELECT result_no, id, len(ds) AS n_domains, unnest(ds) AS d, (generate_subscripts(ds, 1) - 1)::INT AS domain_pos FROM dom)"
+
+
+def _fixed(x: str, digits: int) -> str:
+    """A number with so many decimals, halves up."""
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 8)), {digits}) AS DECIMAL(18, {digits}))::VARCHAR"
+
+
+def _csv(x: str) -> str:
+    return f"""CASE WHEN regexp_matches({x}, '[,"\\n]') THEN '"' || replace({x}, '"', '""') || '"' ELSE {x} END"""
+
+
+_HEAVY = f"len(list_filter(d.numbering, lambda r: {_loop_sql('r.position', 'd.scheme', 'd.chain_class')} = 'cdr3' AND r.amino_acid <> '-'))::VARCHAR"
+_WIDE = ["id", "domain_pos::VARCHAR", "d.species", "d.chain_type", "d.evalue_text", f"coalesce({_fixed('d.bit_score', 1)}, 'null')", "d.seq_start::VARCHAR", "(d.seq_end - 1)::VARCHAR", "d.identity_species", "d.v_gene",
+  f"CASE WHEN d.v_identity > 0 THEN {_fixed('d.v_identity', 2)} END", "d.j_gene", f"CASE WHEN d.j_identity > 0 THEN {_fixed('d.j_identity', 2)} END", f"CASE WHEN d.chain_class = 'H' AND d.numbering IS NOT NULL THEN {_HEAVY} END", _RESIDUES]
+_REPORT_ROW = "array_to_string(list_filter([d.chain_class, substr(rpad(r.position::VARCHAR, 5, ' '), 1, 5), CASE WHEN coalesce(r.insertion, '') = '' THEN ' ' ELSE r.insertion END, r.amino_acid], lambda c: c IS NOT NULL), ' ')"
+_BLOCK = f"""'# Domain ' || (domain_pos + 1) || ' of ' || n_domains || E'\\n' || {X._HIT_LINES!r}_nl || '#|' || array_to_string(list_filter([coalesce(d.species, ''), coalesce(d.chain_type, ''), coalesce(d.evalue_text, ''), coalesce({_fixed("d.bit_score", 1)}, 'null'),
+    d.seq_start::VARCHAR, (CASE WHEN d.seq_end > d.seq_start THEN d.seq_end - 1 ELSE d.seq_end END)::VARCHAR], lambda c: c IS NOT NULL), '|') || '|' ||
+  CASE WHEN coalesce(d.identity_species, '') || coalesce(d.v_gene, '') || coalesce(d.j_gene, '') <> '' OR coalesce(d.v_identity, 0) <> 0 OR coalesce(d.j_identity, 0) <> 0 THEN E'\\n' || {X._GENE_LINES!r}_nl || '#|' || coalesce(d.identity_species, '') || '|' ||
+    CASE WHEN coalesce(d.v_gene, '') = '' THEN 'unknown' ELSE d.v_gene END || '|' || {_fixed("coalesce(d.v_identity, 0)", 2)} || '|' || CASE WHEN coalesce(d.j_gene, '') = '' THEN 'unknown' ELSE d.j_gene END || '|' || {_fixed("coalesce(d.j_identity, 0)", 2)} || '|' ELSE '' END ||
+  E'\\n# Scheme = ' || coalesce(d.scheme, '') || E'\\n' || CASE WHEN coalesce(len(d.numbering), 0) = 0 THEN '# Warning: ' || coalesce(d.scheme, '') || ' scheme could not be applied to this sequence.' ELSE array_to_string(list_transform(d.numbering, lambda r: {_REPORT_ROW}), E'\\n') END"""
+for _text in (X._HIT_LINES, X._GENE_LINES):
+    _BLOCK = _BLOCK.replace(f"{_text!r}_nl", "E" + repr(_text))
+
 SQL = {
+    "json_documents": """SELECT result_no, coalesce(id, '') AS id, coalesce(sequence, '') AS sequence, coalesce(input_type, 'protein') AS input_type, domain_pos, d.domain_index, d.species, d.chain_type, d.v_gene, d.v_identity, d.j_gene, d.scheme, d.bit_score, d.evalue, d.evalue_text,
+  d.seq_start, d.seq_end, d.nt_start, d.nt_end, d.translation_frame, d.flank_after, CASE WHEN d.stop_positions IS NOT NULL THEN coalesce(array_to_string(d.stop_positions, ','), '') END AS stops
+FROM (SELECT *, unnest(CASE WHEN len(domains) > 0 THEN domains ELSE [NULL] END) AS d, unnest(CASE WHEN len(domains) > 0 THEN range(len(domains))::INT[] ELSE [NULL] END) AS domain_pos FROM numbering_results)""",
+    "json_roundtrip": """SELECT result_no, domain_pos, chain_class, coalesce(r.position, 0) AS position, coalesce(r.insertion, ' ') AS insertion, coalesce(r.amino_acid, '-') AS amino_acid
+FROM (SELECT result_no, domain_pos, coalesce(d.chain_class, 'H') AS chain_class, unnest(d.numbering) AS r FROM (SELECT result_no, unnest(domains) AS d, (generate_subscripts(domains, 1) - 1)::INT AS domain_pos FROM numbering_results) WHERE d IS NOT NULL)""",
+    "json_cells": _P3 + """SELECT c.parent_no AS doc_no, c.domain_pos, coalesce(any_value(t.d->>'$.chain_class'), 'H') AS chain_class, count(*) AS cells, sum(coalesce(try_cast(r->>'$.position' AS INT), 0))::BIGINT AS positions, count(*) FILTER (coalesce(r->>'$.amino_acid', '-') = '-') AS gaps
+FROM (SELECT parent_no, domain_pos, unnest(n) AS r FROM lists) c JOIN text t ON t.parent_no = c.parent_no AND t.domain_pos = c.domain_pos GROUP BY 1, 2""",
+    "wide_positions": f"""WITH {_DOMAINS}, {_X}, {_UNION}, h AS (SELECT result_no, domain_pos, array_to_string([{", ".join(f"coalesce({_csv(c)}, '')" for c in _WIDE)}], ',') AS head FROM x),
+p AS (SELECT result_no, unnest(ds) AS d, (generate_subscripts(ds, 1) - 1)::INT AS domain_pos FROM dom), pn AS (SELECT result_no, domain_pos, unnest(d.numbering) AS r, generate_subscripts(d.numbering, 1) AS i FROM p),
+m AS (SELECT result_no, domain_pos, map(list(place ORDER BY place), list(aa ORDER BY place)) AS m FROM (SELECT result_no, domain_pos, o.place, arg_min(r.amino_acid, i) AS aa FROM pn JOIN o ON o.position = r.position AND o.insertion = CASE WHEN trim(coalesce(r.insertion, '')) = '' THEN ' ' ELSE r.insertion END GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT h.result_no, h.domain_pos, head || ',' || array_to_string(list_transform(range((SELECT count(*) FROM u)), lambda i: coalesce(m[i], '-')), ',') AS line FROM h LEFT JOIN m ON m.result_no = h.result_no AND m.domain_pos = h.domain_pos""",
+    "aligned_codons": f"""WITH {_DOMAINS}, {_CODING}, {_PRESENT}, live AS (SELECT *, row_number() OVER (PARTITION BY result_no, domain_pos ORDER BY idx) AS k FROM cells WHERE amino_acid <> '-'),
+cc AS (SELECT l.result_no, l.domain_pos, o.place, min(coalesce(({codons_sql("coding")})[k], '---')) AS codon FROM live l JOIN cod ON cod.result_no = l.result_no AND cod.domain_pos = l.domain_pos JOIN o ON o.position = l.position AND o.insertion = l.insertion GROUP BY 1, 2, 3),
+m AS (SELECT result_no, domain_pos, map(list(place ORDER BY place), list(codon ORDER BY place)) AS m FROM cc GROUP BY 1, 2)
+SELECT m.result_no, m.domain_pos, {_LABEL} AS label, array_to_string(list_transform(range((SELECT count(*) FROM u)), lambda i: coalesce(m[i], '---')), '') AS aligned FROM m JOIN cod USING (result_no, domain_pos)""",
+    "line_reports": f"""WITH {_DOMAINS}, {_X}, b AS (SELECT result_no, string_agg({_BLOCK}, E'\\n' ORDER BY domain_pos) AS t FROM x GROUP BY 1)
+SELECT dom.result_no, '# ' || coalesce(id, '') || E'\\n' || CASE WHEN b.t IS NOT NULL THEN E'# numbered\\n' || b.t || E'\\n' ELSE '' END || '//' AS report FROM dom LEFT JOIN b USING (result_no)""",
     "duplicate_marks": f"WITH {_MARKED} SELECT result_no, canonical, slot, is_canonical FROM classed",
     "duplicate_marks_amber": f"WITH {_marked_sql(_AMBER)} SELECT result_no, canonical, slot, is_canonical FROM classed",
     "duplicate_groups": f"""WITH {_MARKED} SELECT canonical, count(*) AS size, array_to_string(list_sort(list(result_no) FILTER (result_no <> canonical)), ',') AS duplicates

@@ -17,6 +17,7 @@ from ..numbering.tables import CDR_RANGES
 from ..operators.dedup import present_domains, residue_text
 from ..operators.identity import compared, residue_grid
 from ..operators.positions import aligned_texts, aligned_texts_of, position_union_of, residue_rows, union_order
+from ..runtime import maybe_broadcast
 
 #: Rows of an identity matrix that one task writes.
 LINES_A_TASK = 256
@@ -26,8 +27,8 @@ WIDE_COLUMNS = ["Id", "domain_no", "hmm_species", "chain_type", "e-value", "scor
 
 
 def as_json(results: DataFrame, *keep: str) -> DataFrame:
-    """One JSON document a record."""
-    return results.select(*keep, F.to_json(F.struct("id", "sequence", "input_type", "domains")).alias("document"))
+    """One JSON document a record; what is missing is written as null."""
+    return results.select(*keep, F.to_json(F.struct("id", "sequence", "input_type", "domains"), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def domain_rows(results: DataFrame, key: str = "result_no") -> DataFrame:
@@ -93,7 +94,10 @@ def _in_range(a: int, b: int):
 
 
 def wide_table(results: DataFrame, key: str = "result_no") -> DataFrame:
-    """One row a domain: the fixed columns, then one column a position of the whole set."""
+    """One row a domain: ``key`` and ``domain_pos``, the fixed columns, then one column a position of the whole set.
+
+    The rows are in no order; :func:`write_text` brings the lines of :func:`csv_lines` into that of the records.
+    """
     rows = domain_rows(results, key)
     d = F.col("d")
     percent = lambda c: F.when(d[c] > 0, F.format_string("%.2f", d[c])).otherwise("")
@@ -105,13 +109,13 @@ def wide_table(results: DataFrame, key: str = "result_no") -> DataFrame:
     cells = residue_rows(results.withColumn("domains", present_domains(F.col("domains"))), key)
     labels = union_order(position_union_of(results, key))
     grid = cells.select(F.col("result_no").alias("_k"), F.col("domain_pos").alias("_p"), position_label(F.col("position"), F.col("insertion")).alias("l"), "amino_acid").groupBy("_k", "_p").pivot("l", labels).agg(F.first("amino_acid"))
-    return head.join(grid, ["_k", "_p"], "left").na.fill("-", labels).orderBy("_k", "_p").select(*WIDE_COLUMNS, *[F.col(f"`{x}`") for x in labels])
+    return head.join(grid, ["_k", "_p"], "left").na.fill("-", labels).select(F.col("_k").alias(key), F.col("_p").alias("domain_pos"), *WIDE_COLUMNS, *[F.col(f"`{x}`") for x in labels])
 
 
-def csv_lines(table: DataFrame) -> DataFrame:
-    """A table as CSV text lines (without the header)."""
+def csv_lines(table: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and the other columns of a table as one CSV text ``line`` a row (without the header)."""
     cell = lambda c: csv_field(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))
-    return table.select(F.concat_ws(",", *[cell(c) for c in table.columns]).alias("line"))
+    return table.select(*keys, F.concat_ws(",", *[cell(c) for c in table.columns if c not in keys]).alias("line"))
 
 
 # Lines of the report.
@@ -167,24 +171,29 @@ def aligned_fasta(results: DataFrame, key: str = "result_no", codon: bool = Fals
     return named.join(text, ["result_no", "domain_pos"]).select("result_no", "domain_pos", "label", "aligned")
 
 
-def identity_csv(order: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Matrix lines of every class in clustered order: ``chain_class, place, line``.
+def identity_csv(order: DataFrame, vectors: DataFrame, scope: str = "full", scheme: str = "imgt") -> DataFrame:
+    """Matrix lines of every class in clustered order: ``chain_class, class_no, place, line``.
 
-    ``order`` has chain_class, member, place, label; ``vectors`` are encoded.  Each task writes the
+    ``order`` has chain_class, member, place, label; ``vectors`` are encoded.  Classes follow each other by their first
+    member (``class_no``); place -2 is the class's comment line, -1 its line of labels.  Each task writes the
     lines of a block of rows against the whole class.
     """
     rows = vectors.join(order.select("chain_class", "member", "place", csv_field(F.col("label")).alias("label")), ["chain_class", "member"])
-    blocks = order.groupBy("chain_class").agg(F.floor(F.max("place") / LINES_A_TASK).cast("int").alias("n"))
-    sent = rows.join(F.broadcast(blocks), "chain_class").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    classes = order.groupBy("chain_class").agg(F.floor(F.max("place") / LINES_A_TASK).cast("int").alias("n"), F.min("member").alias("first"))
+    classes = classes.select("chain_class", "n", F.size(F.filter(F.collect_list("first").over(Window.partitionBy(F.lit(1))), lambda f: f < F.col("first"))).alias("class_no"))
+    sent = rows.join(maybe_broadcast(classes), "chain_class").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
 
     def lines(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place", ignore_index=True)
         grid, text, out, first = residue_grid(part), {}, [], key[1] * LINES_A_TASK
         same, union = compared(grid[first : first + LINES_A_TASK], grid)
+        place = part["place"].to_numpy()[first : first + LINES_A_TASK].tolist()
         for k, (s, u) in enumerate(zip(same.tolist(), union.tolist()), first):
             cells = [text.get(x) or text.setdefault(x, "%.2f" % (x[0] / max(x[1], 1) * 100.0)) for x in zip(s, u)]
             cells[k] = "100.00"
             out.append(",".join([part["label"][k], *cells]))
-        return pd.DataFrame({"chain_class": key[0], "place": part["place"].to_numpy()[first : first + LINES_A_TASK], "line": out})
+        if not key[1]:
+            place, out = [-2, -1, *place], [f"# Chain: {key[0]} | Scope: {scope} | Scheme: {scheme} | N={len(part)}", ",".join(["", *part["label"]]), *out]
+        return pd.DataFrame({"chain_class": key[0], "class_no": part["class_no"].iloc[0], "place": place, "line": out})
 
-    return sent.select("chain_class", "k", "place", "label", "codes", "width").groupBy("chain_class", "k").applyInPandas(lines, "chain_class string, place int, line string")
+    return sent.select("chain_class", "class_no", "k", "place", "label", "codes", "width").groupBy("chain_class", "k").applyInPandas(lines, "chain_class string, class_no int, place int, line string")

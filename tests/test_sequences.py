@@ -248,8 +248,8 @@ def test_positions_and_exports(spark, tmp_path):
     assert texts == {(1, 0): "A---CDE", (1, 1): "--F----", (2, 0): "MX-Q---"}
     assert filled_gaps(cells).filter("result_no = 1 and domain_pos = 1").count() == 3
     wide = X.wide_table(df)
-    assert wide.columns == X.WIDE_COLUMNS + ["1", "2", "3", "4", "111A", "112A", "112"]
-    first = wide.collect()[0]
+    assert wide.columns == ["result_no", "domain_pos"] + X.WIDE_COLUMNS + ["1", "2", "3", "4", "111A", "112A", "112"]
+    first = wide.orderBy("result_no", "domain_pos").collect()[0]
     assert (first["Id"], first["score"], first["v_identity"], first["j_identity"], first["seqend_index"], first["heavy_cdr3_length"], first["full_length_aa"], first["2"]) == ("r1", "150.1", "0.50", "", 2, 3, "ACDE", "-")
     assert [r.record for r in X.fasta_residues(df).orderBy("result_no", "domain_pos").collect()] == [">r1_d1\nACDE", ">r1_d2\nF", '>r,"2"\nMXQ']
     assert [r.record for r in X.fasta_coding(df).collect()] == ['>r,"2"\nATGTAGCAG'] and [r.record for r in X.fasta_amber_fixed(df).collect()] == ['>r,"2"\nATGCAGCAG']
@@ -262,7 +262,7 @@ def test_positions_and_exports(spark, tmp_path):
     assert report[1][10:12] == ["H 1       A", "H 111   A C"] and "# Domain 2 of 2" in report[1] and sum(x.startswith("# Most sequence") for x in report[1]) == 1
     X.write_text(X.line_report(df), "report", str(tmp_path / "report"), "result_no")
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()].count("//") == 3
-    line = X.csv_lines(wide).collect()[2].line
+    line = X.csv_lines(wide, "result_no", "domain_pos").orderBy("result_no", "domain_pos").collect()[2].line
     assert line.startswith('"r,""2""",0,human')
     back = read_results(X.as_json(df, "result_no"), "document", "result_no")
     assert {tuple(r) for r in position_cells(back, "result_no").collect()} == {tuple(r) for r in cells.select("result_no", "domain_pos", "chain_class", "position", "insertion", "amino_acid").collect()}
