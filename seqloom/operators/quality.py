@@ -28,21 +28,30 @@ def span_qualities(qualities: Column, nt_start: Column, nt_end: Column) -> Colum
     return F.slice(qualities, nt_start + 1, F.greatest(nt_end - nt_start, F.lit(0)))
 
 
-def codon_track(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Column) -> Column:
-    """Array of (k, codon, residue, is_stop, base_start) along the coding strand of a range.
+def codon_track(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Column, flank: int = 0) -> Column:
+    """Array of (k, codon, residue, is_stop, base_start, is_flank) along the coding strand of a range.
 
-    ``base_start`` is the forward-strand index of the codon's first letter in reading order.
+    ``base_start`` is the forward-strand index of the codon's first letter in reading order.  ``flank`` whole codons on
+    either side are shown as well, as far as there are any; they have k below 0 or beyond the range.
     """
-    part = F.substring(bases, nt_start + 1, nt_end - nt_start)
-    coding = F.when(is_reverse, reverse_complement(part)).otherwise(part)
     n = F.floor((nt_end - nt_start) / 3).cast("int")
+    length = F.length(bases)
+    # whole codons of the flanks, in reading order: towards the end in front of a reverse range
+    room = lambda letters: F.least(F.lit(flank), F.floor(letters / 3)).cast("int")
+    first_end, last_start = F.when(is_reverse, nt_end).otherwise(nt_start), F.when(is_reverse, nt_end - n * 3).otherwise(nt_start + n * 3)
+    before = room(F.when(is_reverse, length - first_end).otherwise(first_end)) if flank else F.lit(0)
+    behind = room(F.when(is_reverse, last_start).otherwise(length - last_start)) if flank else F.lit(0)
+    lo = F.when(is_reverse, last_start - behind * 3).otherwise(nt_start - before * 3)
+    part = F.substring(bases, lo + 1, (before + n + behind) * 3)
+    coding = F.when(is_reverse, reverse_complement(part)).otherwise(part)
 
     def at(strand: Column, i: Column) -> Column:
-        codon = F.substring(strand, i * 3 + 1, F.lit(3))
+        codon = F.substring(strand, (i + before) * 3 + 1, F.lit(3))
         aa = amino_acid(codon)
-        return F.struct(i.alias("k"), codon.alias("codon"), aa.alias("residue"), (aa == "*").alias("is_stop"), F.when(is_reverse, nt_end - 1 - i * 3).otherwise(nt_start + i * 3).alias("base_start"))
+        place = F.when(is_reverse, nt_end - 1 - i * 3).otherwise(nt_start + i * 3)
+        return F.struct(i.alias("k"), codon.alias("codon"), aa.alias("residue"), (aa == "*").alias("is_stop"), place.alias("base_start"), ((i < 0) | (i >= n)).alias("is_flank"))
 
-    return F.when(n > 0, let(coding, lambda strand: F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(strand, i))))
+    return F.when(n > 0, let(coding, lambda strand: F.transform(F.sequence(-before, n + behind - 1), lambda i: at(strand, i))))
 
 
 def residue_codon(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Column, k: Column) -> Column:

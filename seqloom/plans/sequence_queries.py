@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codons as C
 from ..functions import sequence as S
 from ..functions.labels import evalue, evalue_text
-from ..operators.quality import codon_track, mean_quality, share_from
+from ..operators.quality import codon_track, mean_quality, residue_codon, share_from
 from ..operators.translate import codon_measures, six_frames_of
 from ..runtime import spread, table
 from ..sources.fasta import looks_like_dna_input, split_text
@@ -57,20 +57,35 @@ def six_frames(spark, sf_dir):
     return _frames(spark, sf_dir).select("result_no", "label", "sequence", F.array_join(F.transform("stop_positions", lambda x: x.cast("string")), ",").alias("stops"))
 
 
+def _framed_domains(spark, sf_dir) -> DataFrame:
+    """Every stored domain span of valid DNA records, in its own translation frame."""
+    d = table(spark, sf_dir, "numbering_results").select("result_no", F.posexplode("domains").alias("domain_pos", "d")).filter("d.seq_start is not null and d.seq_end is not null and d.translation_frame is not null")
+    d = d.select("result_no", "domain_pos", F.col("d.seq_start").alias("a"), F.col("d.seq_end").alias("b"), F.col("d.translation_frame").alias("label"))
+    return _frames(spark, sf_dir).join(d, ["result_no", "label"])
+
+
 def nt_ranges(spark, sf_dir):
-    """Forward-strand range of the first ten residues of every frame."""
-    lo, hi = S.nt_range(F.col("nt_offset"), F.col("is_reverse"), F.col("n"), F.lit(0), F.least(F.lit(10), F.length("sequence")))
-    return _frames(spark, sf_dir).select("result_no", "label", lo.alias("nt_start"), hi.alias("nt_end"))
+    """Forward-strand range of every stored domain in its frame."""
+    lo, hi = S.nt_range(F.col("nt_offset"), F.col("is_reverse"), F.col("n"), F.col("a"), F.col("b"))
+    return _framed_domains(spark, sf_dir).select("result_no", "domain_pos", "label", lo.alias("nt_start"), hi.alias("nt_end"))
 
 
 def flanks(spark, sf_dir):
-    """Flanks and inner stops of residues 20 to 40 of every frame."""
-    f = _frames(spark, sf_dir).filter(F.length("sequence") >= 40)
+    """Flanks and inner stops of every stored domain in its frame."""
+    f, a, b = _framed_domains(spark, sf_dir), F.col("a"), F.col("b")
     stops = F.col("stop_positions")
     return f.select(
-        "result_no", "label", S.flank_before(F.col("sequence"), F.lit(20)).alias("flank_before"), S.flank_after(F.col("sequence"), F.lit(40), stops).alias("flank_after"),
-        F.size(S.stops_inside(stops, F.lit(20), F.lit(40))).alias("stops_inside"),
-    )
+        "result_no", "domain_pos", S.flank_before(F.col("sequence"), a).alias("flank_before"), S.flank_after(F.col("sequence"), b, stops).alias("flank_after"), F.size(S.stops_inside(stops, a, b)).alias("stops_inside")
+    )
+
+
+def frame_flanks(spark, sf_dir):
+    """The same of the middle third of every frame."""
+    n = F.length("sequence")
+    f, a, b, stops = _frames(spark, sf_dir), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int"), F.col("stop_positions")
+    return f.select(
+        "result_no", "label", S.flank_before(F.col("sequence"), a).alias("flank_before"), S.flank_after(F.col("sequence"), b, stops).alias("flank_after"), F.size(S.stops_inside(stops, a, b)).alias("stops_inside")
+    )
 
 
 def codon_scores(spark, sf_dir):
@@ -84,10 +99,30 @@ def amber_fix(spark, sf_dir):
 
 
 def codon_positions(spark, sf_dir):
-    """Codon track of the first reverse-strand frame."""
-    d = _dna(spark, sf_dir).withColumn("w", (F.floor(F.length("s") / 3) * 3).cast("int"))
-    t = d.select("result_no", F.inline(codon_track(F.col("s"), F.length("s") - F.col("w"), F.length("s"), F.lit(True))))
-    return t.select("result_no", "k", "codon", "residue", "base_start")
+    """Codon track of all six frames of every DNA record."""
+    n, k = F.length("s"), F.col("frame_no")
+    d = _dna(spark, sf_dir).withColumn("frame_no", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("w", (F.floor((n - k % 3) / 3) * 3).cast("int"))
+    reverse = k >= 3
+    start = F.when(reverse, n - k % 3 - F.col("w")).otherwise(k % 3)
+    t = spread(d).select("result_no", "frame_no", F.inline(codon_track(F.col("s"), start, start + F.col("w"), reverse)))
+    return t.select("result_no", "frame_no", "k", "codon", "residue", "is_stop", "base_start")
+
+
+def domain_codons(spark, sf_dir):
+    """Codon track of every stored domain of DNA records, with three flanking codons on either side and a flag for them."""
+    r = table(spark, sf_dir, "numbering_results").filter(F.lower(F.trim("input_type")) == "dna").select("result_no", S.normalise(F.col("sequence")).alias("s"), F.posexplode("domains").alias("domain_pos", "d"))
+    d = r.filter("d.nt_start >= 0 and d.nt_end <= length(s) and d.nt_end > d.nt_start")
+    reverse = F.coalesce(F.startswith("d.translation_frame", F.lit("-")), F.lit(False))
+    t = spread(d).select("result_no", "domain_pos", F.inline(codon_track(F.col("s"), F.col("d.nt_start"), F.col("d.nt_end"), reverse, 3)))
+    return t.select("result_no", "domain_pos", "k", "codon", "residue", "is_stop", "base_start", "is_flank")
+
+
+def residue_codons(spark, sf_dir):
+    """Codon of every residue of every stored domain of DNA records; the place behind the last one has none."""
+    r = table(spark, sf_dir, "numbering_results").filter(F.lower(F.trim("input_type")) == "dna").select("result_no", S.normalise(F.col("sequence")).alias("s"), F.posexplode("domains").alias("domain_pos", "d"))
+    d = r.filter("d.nt_start >= 0 and d.nt_end <= length(s) and d.nt_end > d.nt_start").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.expr("d.nt_end - d.nt_start") / 3).cast("int"))))
+    reverse = F.coalesce(F.startswith("d.translation_frame", F.lit("-")), F.lit(False))
+    return spread(d).select("result_no", "domain_pos", "k", residue_codon(F.col("s"), F.col("d.nt_start"), F.col("d.nt_end"), reverse, F.col("k")).alias("codon"))
 
 
 def text_wrap(spark, sf_dir):
@@ -129,7 +164,7 @@ def evalue_texts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        fasta_records, fasta_roundtrip, seq_normalise, seq_validate, reverse_complement, six_frames, nt_ranges, flanks, codon_scores, amber_fix, codon_positions,
+        fasta_records, fasta_roundtrip, seq_normalise, seq_validate, reverse_complement, six_frames, nt_ranges, flanks, frame_flanks, codon_scores, amber_fix, codon_positions, domain_codons, residue_codons,
         text_wrap, csv_escape, dna_sniff, dna_sniff_records, phred_summary, evalues, evalue_texts,
     )
 }
@@ -163,6 +198,13 @@ frames AS (
   SELECT result_no, n, frame_no, label, list_transform({codons_sql("replace(x, 'U', 'T')")}, lambda c: {aa_sql("c")}) AS aa FROM strands WHERE length(x) >= 3),
 pep AS (
   SELECT *, replace(list_aggregate(aa, 'string_agg', ''), '*', 'X') AS sequence, list_filter(range(len(aa)), lambda i: aa[i + 1] = '*') AS stops FROM frames)"""
+_FRAMED = """spans AS (SELECT result_no, domain_pos, d.seq_start AS a, d.seq_end AS b, d.translation_frame AS label FROM (SELECT result_no, unnest(domains) AS d, (generate_subscripts(domains, 1) - 1)::INT AS domain_pos FROM numbering_results)
+  WHERE d.seq_start IS NOT NULL AND d.seq_end IS NOT NULL AND d.translation_frame IS NOT NULL),
+framed AS (SELECT p.*, domain_pos, a, b FROM pep p JOIN spans s ON s.result_no = p.result_no AND s.label = p.label)"""
+_FLANKS = """CASE WHEN regexp_extract(substr(sequence, 1, a::INT), '(M[^M]*)$', 1) <> '' THEN regexp_extract(substr(sequence, 1, a::INT), '(M[^M]*)$', 1) ELSE substr(sequence, 1, a::INT) END AS flank_before,
+  substr(sequence, (b + 1)::INT, (greatest(0, coalesce(list_min(list_filter(stops, lambda p: p >= b)), length(sequence)) - b))::INT) AS flank_after, len(list_filter(stops, lambda p: p >= a AND p < b))::INT AS stops_inside"""
+_SPANS = f"""r AS (SELECT result_no, s, unnest(domains) AS d, (generate_subscripts(domains, 1) - 1)::INT AS domain_pos FROM (SELECT result_no, domains, {CLEAN} AS s FROM numbering_results WHERE lower(trim(input_type)) = 'dna')),
+w AS (SELECT result_no, domain_pos, s, d.nt_start AS a, d.nt_end AS b, coalesce(d.translation_frame LIKE '-%', false) AS rev FROM r WHERE d.nt_start >= 0 AND d.nt_end <= length(s) AND d.nt_end > d.nt_start)"""
 _USAGE = ", ".join(f"('{c}', {v})" for c, v in C.usage_table().items() if S.CODONS[c] != "*")
 _WEIGHT = ", ".join(f"('{c}', {v!r})" for c, v in C.weights(C.usage_table()).items())
 
@@ -179,11 +221,10 @@ FROM lines WHERE l[1] <> '' AND array_to_string(l[2:], '') <> '' AND replace(rep
 FROM (SELECT result_no, {CLEAN} AS s FROM numbering_results)""",
     "reverse_complement": f"WITH {DNA} SELECT result_no, {rc_sql('s')} AS rc FROM dna",
     "six_frames": f"WITH {_FRAMES} SELECT result_no, label, sequence, coalesce(array_to_string(stops, ','), '') AS stops FROM pep",
-    "nt_ranges": f"""WITH {_FRAMES}, r AS (SELECT *, frame_no % 3 AS o, 3 * least(10, length(sequence)) AS w FROM pep)
-SELECT result_no, label, (CASE WHEN frame_no < 3 THEN o ELSE n - o - w END)::INT AS nt_start, (CASE WHEN frame_no < 3 THEN o + w ELSE n - o END)::INT AS nt_end FROM r""",
-    "flanks": f"""WITH {_FRAMES}, r AS (SELECT *, substr(sequence, 1, 20) AS h, coalesce(list_min(list_filter(stops, lambda p: p >= 40)), length(sequence)) AS e FROM pep WHERE length(sequence) >= 40)
-SELECT result_no, label, CASE WHEN regexp_extract(h, '(M[^M]*)$', 1) <> '' THEN regexp_extract(h, '(M[^M]*)$', 1) ELSE h END AS flank_before,
-  substr(sequence, 41, (e - 40)::INT) AS flank_after, len(list_filter(stops, lambda p: p >= 20 AND p < 40))::INT AS stops_inside FROM r""",
+    "nt_ranges": f"""WITH {_FRAMES}, {_FRAMED} SELECT result_no, domain_pos, label, (CASE WHEN frame_no < 3 THEN frame_no % 3 + 3 * a ELSE n - frame_no % 3 - 3 * b END)::INT AS nt_start,
+  (CASE WHEN frame_no < 3 THEN frame_no % 3 + 3 * b ELSE n - frame_no % 3 - 3 * a END)::INT AS nt_end FROM framed""",
+    "flanks": f"WITH {_FRAMES}, {_FRAMED} SELECT result_no, domain_pos, {_FLANKS} FROM framed",
+    "frame_flanks": f"WITH {_FRAMES}, framed AS (SELECT *, length(sequence) // 3 AS a, 2 * length(sequence) // 3 AS b FROM pep) SELECT result_no, label, {_FLANKS} FROM framed",
     "codon_scores": f"""WITH {DNA}, c AS (SELECT result_no, unnest({codons_sql("replace(s, 'U', 'T')")}) AS c FROM dna),
 u(c, usage) AS (VALUES {_USAGE}), w(c, weight) AS (VALUES {_WEIGHT}),
 a AS (SELECT c.result_no, exp(avg(ln(weight))) AS cai, avg(usage) AS mean_usage, count(*) FILTER (c.c IN {C.RARE}) AS rare
@@ -192,9 +233,15 @@ SELECT d.result_no, round(coalesce(cai, 0.0), 6) AS cai, round(coalesce(mean_usa
     "amber_fix": f"""WITH {DNA}, c AS (SELECT result_no, {codons_sql("s")} AS c FROM dna)
 SELECT result_no, array_to_string(list_transform(c, lambda x: CASE WHEN replace(x, 'U', 'T') = 'TAG' THEN 'CAG' ELSE x END), '') AS fixed
 FROM c WHERE len(list_filter(c, lambda x: replace(x, 'U', 'T') = 'TAG')) > 0""",
-    "codon_positions": f"""WITH {DNA}, c AS (SELECT result_no, length(s) AS n, {rc_sql("s")} AS r FROM dna),
-k AS (SELECT result_no, n, r, unnest(range(n // 3)) AS k FROM c)
-SELECT result_no, k::INT AS k, substr(r, (k * 3 + 1)::INT, 3) AS codon, {aa_sql("replace(substr(r, (k * 3 + 1)::INT, 3), 'U', 'T')")} AS residue, (n - 1 - k * 3)::INT AS base_start FROM k""",
+    "codon_positions": f"""WITH {DNA}, c AS (SELECT result_no, length(s) AS n, k AS frame_no, CASE WHEN k < 3 THEN s ELSE {rc_sql("s")} END AS r FROM dna, (SELECT unnest(range(6)) AS k)),
+k AS (SELECT result_no, n, frame_no, substr(r, (frame_no % 3 + 1)::INT) AS x, unnest(range((n - frame_no % 3) // 3)) AS k FROM c), t AS (SELECT *, substr(x, (k * 3 + 1)::INT, 3) AS codon FROM k)
+SELECT result_no, frame_no::INT AS frame_no, k::INT AS k, codon, {aa_sql("replace(codon, 'U', 'T')")} AS residue, {aa_sql("replace(codon, 'U', 'T')")} = '*' AS is_stop,
+  (CASE WHEN frame_no < 3 THEN frame_no + k * 3 ELSE n - 1 - frame_no % 3 - k * 3 END)::INT AS base_start FROM t""",
+    "domain_codons": f"""WITH {_SPANS}, c AS (SELECT *, (b - a) // 3 AS n, unnest(range(-3, (b - a) // 3 + 3)) AS k FROM w),
+p AS (SELECT *, CASE WHEN rev THEN b - 3 * k - 3 ELSE a + 3 * k END AS lo FROM c), t AS (SELECT *, CASE WHEN rev THEN {rc_sql("substr(s, (lo + 1)::INT, 3)")} ELSE substr(s, (lo + 1)::INT, 3) END AS codon FROM p WHERE lo >= 0 AND lo + 3 <= length(s))
+SELECT result_no, domain_pos, k::INT AS k, codon, {aa_sql("replace(codon, 'U', 'T')")} AS residue, {aa_sql("replace(codon, 'U', 'T')")} = '*' AS is_stop, (CASE WHEN rev THEN lo + 2 ELSE lo END)::INT AS base_start, k < 0 OR k >= n AS is_flank FROM t""",
+    "residue_codons": f"""WITH {_SPANS}, c AS (SELECT *, unnest(range((b - a) // 3 + 1)) AS k FROM w)
+SELECT result_no, domain_pos, k::INT AS k, CASE WHEN k < (b - a) // 3 THEN CASE WHEN rev THEN {rc_sql("substr(s, (b - 3 * k - 2)::INT, 3)")} ELSE substr(s, (a + 3 * k + 1)::INT, 3) END END AS codon FROM c""",
     "text_wrap": f"""SELECT result_no, array_to_string(list_transform(range((length(s) + 59) // 60), lambda i: substr(s, (i * 60 + 1)::INT, 60)), E'\\n') AS wrapped
 FROM (SELECT result_no, {CLEAN} AS s FROM numbering_results)""",
     "csv_escape": r"""SELECT line_no, CASE WHEN regexp_matches(raw_line, '[,"\n]') THEN '"' || replace(raw_line, '"', '""') || '"' ELSE raw_line END AS cell FROM raw_records""",

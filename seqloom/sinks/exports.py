@@ -171,11 +171,16 @@ def aligned_fasta(results: DataFrame, key: str = "result_no", codon: bool = Fals
     return named.join(text, ["result_no", "domain_pos"]).select("result_no", "domain_pos", "label", "aligned")
 
 
+# Names of the scopes in a matrix's comment line.
+_SCOPES = {"full": "Full sequence", "cdr1": "CDR1", "cdr2": "CDR2", "cdr3": "CDR3", "cdrs": "All CDRs"}
+
+
 def identity_csv(order: DataFrame, vectors: DataFrame, scope: str = "full", scheme: str = "imgt") -> DataFrame:
     """Matrix lines of every class in clustered order: ``chain_class, class_no, place, line``.
 
     ``order`` has chain_class, member, place, label; ``vectors`` are encoded.  Classes follow each other by their first
-    member (``class_no``); place -2 is the class's comment line, -1 its line of labels.  Each task writes the
+    member (``class_no``); place -3 is the empty line
+    between two classes, -2 the class's comment line, -1 its line of labels.  Each task writes the
     lines of a block of rows against the whole class.
     """
     rows = vectors.join(order.select("chain_class", "member", "place", csv_field(F.col("label")).alias("label")), ["chain_class", "member"])
@@ -193,7 +198,9 @@ def identity_csv(order: DataFrame, vectors: DataFrame, scope: str = "full", sche
             cells[k] = "100.00"
             out.append(",".join([part["label"][k], *cells]))
         if not key[1]:
-            place, out = [-2, -1, *place], [f"# Chain: {key[0]} | Scope: {scope} | Scheme: {scheme} | N={len(part)}", ",".join(["", *part["label"]]), *out]
+            place, out = [-2, -1, *place], [f"# Chain: {key[0]} | Scope: {_SCOPES.get(scope, scope)} | Scheme: {scheme} | N={len(part)}", ",".join(["", *part["label"]]), *out]
+            if part["class_no"].iloc[0]:
+                place, out = [-3, *place], ["", *out]
         return pd.DataFrame({"chain_class": key[0], "class_no": part["class_no"].iloc[0], "place": place, "line": out})
 
     return sent.select("chain_class", "class_no", "k", "place", "label", "codes", "width").groupBy("chain_class", "k").applyInPandas(lines, "chain_class string, class_no int, place int, line string")

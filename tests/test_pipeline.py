@@ -117,6 +117,6 @@ def test_matrix(spark):
     rows = [(1, "a", [domain_struct("H", "ACDE"), domain_struct("H", "ACDF")]), (2, 'b,"', [domain_struct("H", "WWWW"), domain_struct("L", "A")])]
     df = spark.createDataFrame(rows, "key long, id string, domains array<struct<chain_class string, numbering array<struct<position int, insertion string, amino_acid string>>>>")
     got = {(r.chain_class, r.place): r.line for r in api.compute_pim(df).collect()}
-    assert [(r.class_no, r.line) for r in api.compute_pim(df).filter("place < 0").orderBy("class_no", "place").collect()] == [(0, "# Chain: H | Scope: full | Scheme: imgt | N=3"), (0, ',a,a_H2,"b,"""'), (1, "# Chain: L | Scope: full | Scheme: imgt | N=1"), (1, ',"b,"""')]
+    assert [(r.class_no, r.line) for r in api.compute_pim(df).filter("place < 0").orderBy("class_no", "place").collect()] == [(0, "# Chain: H | Scope: Full sequence | Scheme: imgt | N=3"), (0, ',a,a_H2,"b,"""'), (1, ""), (1, "# Chain: L | Scope: Full sequence | Scheme: imgt | N=1"), (1, ',"b,"""')]
     assert {k: v for k, v in got.items() if k[1] >= 0} == {("H", 0): "a,100.00,75.00,0.00", ("H", 1): "a_H2,75.00,100.00,0.00", ("H", 2): '"b,""",0.00,0.00,100.00', ("L", 0): '"b,""",100.00'}
     assert api.compute_pim(df, scope="cdr1").count() == 0 == api.compute_pim(df, scope="x").count()
