@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -178,6 +178,16 @@ def numbered_domains(
     )
 
 
+def with_totals(documents: DataFrame) -> tuple[DataFrame, Observation]:
+    """The documents, and what a run over them counts in passing: ``sequences``, ``domains`` and ``without_domain``.
+
+    ``observation.get`` has the totals once an action has read all documents; no pass of its own is made.
+    """
+    seen = Observation()
+    n = F.greatest(F.size("domains"), F.lit(0))
+    return documents.observe(seen, F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum(n), F.lit(0)).alias("domains"), F.count_if(n == 0).alias("without_domain")), seen
+
+
 def number_sequences(records: DataFrame, profiles: list[Profile], germlines: DataFrame, **options) -> DataFrame:
     """Result documents ``key, id, sequence, input_type, domains`` for every record, none dropped.
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import compute_pim
 from ..functions.labels import cdr_of, position_label
+from ..functions.sequence import normalise
 from ..numbering.tables import CDR_RANGES
 from ..operators import dedup as D
 from ..operators import positions as P
 from ..operators.flatten import json_tables
 from ..operators.identity import labelled_domains
+from ..operators.quality import domain_qualities, mean_quality, share_from
 from ..runtime import spread, table
 from ..sinks import exports as X
+from ..sources.abif import as_records, encode_abif, traces_of
 from ..sources.results import position_cells, read_results
+from .pipeline import peptides, with_totals
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +131,47 @@ def fasta_amber(spark, sf_dir):
     return X.fasta_amber_fixed(_results(spark, sf_dir))
 
 
+def progress_totals(spark, sf_dir):
+    """Totals of a run, counted while its documents are written."""
+    docs, seen = with_totals(table(spark, sf_dir, "numbering_results").select("result_no", "domains"))
+    docs.write.format("noop").mode("overwrite").save()
+    t = seen.get
+    return spark.createDataFrame([(t["sequences"], t["domains"], t["without_domain"])], "sequences long, domains long, without_domain long")
+
+
+def _traces(spark, sf_dir) -> DataFrame:
+    """DNA records written as trace files and read back; qualities follow from record and place."""
+    r = table(spark, sf_dir, "numbering_results").filter("lower(trim(input_type)) = 'dna'").select("result_no", normalise(F.col("sequence")).alias("s")).filter(F.col("s").rlike(r"\A[A-Z]{1,30000}\z"))
+
+    def write(batches):
+        for pdf in batches:
+            raw = [encode_abif(s.lower(), [(k * 7 + n) % 60 for k in range(len(s))], [[k] * 3 for k in range(4)], [k % 9 for k in range(len(s))]) for n, s in zip(pdf["result_no"], pdf["s"])]
+            yield pd.DataFrame({"id": pdf["result_no"].astype(str), "source_file": "", "content": raw})
+
+    return traces_of(r.mapInPandas(write, "id string, source_file string, content binary"))
+
+
+def trace_records(spark, sf_dir):
+    """Traces as records, with the mean quality of the whole read."""
+    t = _traces(spark, sf_dir)
+    q = F.col("quality")
+    return as_records(t).join(t.select("id", "trace_length", F.size("peak_locations").alias("peaks"), mean_quality(q).alias("mean_quality"), share_from(q).alias("share20")), "id")
+
+
+def trace_domains(spark, sf_dir):
+    """Quality of every domain of the results that have a trace; domains of the others keep null values."""
+    r = table(spark, sf_dir, "numbering_results").select(F.col("result_no").cast("string").alias("id"), "domains")
+    return domain_qualities(r, _traces(spark, sf_dir))
+
+
+def searchable_records(spark, sf_dir):
+    """Peptides that every record gives to the search: itself or its valid frames; invalid records stay, with none."""
+    r = table(spark, sf_dir, "numbering_results").select(F.col("result_no").alias("key"), "sequence", "input_type")
+    p = peptides(r).groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.length("sequence")).alias("letters"))
+    kind = F.when(F.lower(F.trim("input_type")) == "dna", "dna").otherwise("protein").alias("input_type")
+    return r.select("key", kind).join(p, "key", "left").select(F.col("key").alias("result_no"), "input_type", F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("letters", F.lit(0)).alias("letters"))
+
+
 def json_documents(spark, sf_dir):
     """Result documents written as JSON and read back: records and their domains."""
     r = read_results(X.as_json(_results(spark, sf_dir), "result_no"), "document", "result_no")
@@ -160,12 +206,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         duplicate_marks, duplicate_marks_amber, duplicate_groups, duplicate_members, result_classes, summary_counts, download_set, position_union, wide_positions, gap_filled, aligned_residues, aligned_codons, loop_positions,
-        loop_ranges, heavy_cdr3, domain_labels, fasta_residues, fasta_coding, fasta_amber, json_documents, json_roundtrip, line_reports, json_cells, matrix_lines,
+        loop_ranges, heavy_cdr3, domain_labels, fasta_residues, fasta_coding, fasta_amber, json_documents, json_roundtrip, line_reports, json_cells, matrix_lines, progress_totals, trace_records, trace_domains, searchable_records,
     )
 }
 
 from .document_queries import _P3  # noqa: E402
-from .sequence_queries import _WEIGHT, codons_sql, rc_sql  # noqa: E402
+from .sequence_queries import _FRAMES, _WEIGHT, CLEAN, codons_sql, rc_sql  # noqa: E402
 
 _DOMAINS = "dom AS (SELECT result_no, id, sequence, input_type, list_filter(coalesce(domains, []), lambda d: d IS NOT NULL) AS ds FROM numbering_results)"
 _CELLS = """
@@ -242,7 +288,23 @@ _BLOCK = f"""'# Domain ' || (domain_pos + 1) || ' of ' || n_domains || E'\\n' ||
 for _text in (X._HIT_LINES, X._GENE_LINES):
     _BLOCK = _BLOCK.replace(f"{_text!r}_nl", "E" + repr(_text))
 
+_TRACES = f"""t AS (SELECT result_no, s, list_transform(range(length(s)), lambda k: (k * 7 + result_no) % 60) AS q FROM (SELECT result_no, {CLEAN} AS s FROM numbering_results WHERE lower(trim(input_type)) = 'dna') WHERE regexp_full_match(s, '[A-Z]+') AND length(s) <= 30000)"""
+
+
+def _quality_sql(q: str) -> str:
+    mean = f"list_aggregate(list_transform({q}, lambda x: pow(10.0, -x / 10.0)), 'avg')"
+    return f"CASE WHEN len({q}) > 0 THEN floor(-10 * log10({mean}) + 0.5)::INT END AS mean_quality, CASE WHEN len({q}) > 0 THEN floor(100.0 * len(list_filter({q}, lambda x: x >= 20)) / len({q}) + 0.5)::INT END AS share20"
+
+
 SQL = {
+    "progress_totals": "SELECT count(*) AS sequences, sum(coalesce(len(domains), 0))::BIGINT AS domains, count(*) FILTER (coalesce(len(domains), 0) = 0) AS without_domain FROM numbering_results",
+    "trace_records": f"WITH {_TRACES} SELECT result_no::VARCHAR AS id, s AS sequence, 'dna' AS input_type, 3 AS trace_length, length(s)::INT AS peaks, {_quality_sql('q')} FROM t",
+    "trace_domains": f"""WITH {_TRACES}, d AS (SELECT result_no, unnest(domains) AS d, (generate_subscripts(domains, 1) - 1)::INT AS domain_pos FROM numbering_results),
+j AS (SELECT d.result_no, domain_pos, CASE WHEN d.nt_start IS NOT NULL AND d.nt_end IS NOT NULL THEN q[(d.nt_start + 1):(d.nt_start + greatest(0, d.nt_end - d.nt_start))] END AS q FROM d LEFT JOIN t ON t.result_no = d.result_no WHERE d IS NOT NULL)
+SELECT result_no::VARCHAR AS id, domain_pos, {_quality_sql('q')} FROM j""",
+    "searchable_records": f"""WITH {_FRAMES}, p AS (SELECT result_no, count(*) AS parts, sum(length(sequence))::BIGINT AS letters FROM (SELECT result_no, sequence FROM pep WHERE regexp_full_match(sequence, '[ACDEFGHIKLMNPQRSTVWYX*]*') AND length(sequence) < 10000
+  UNION ALL SELECT result_no, s FROM (SELECT result_no, {CLEAN} AS s FROM numbering_results WHERE coalesce(lower(trim(input_type)), '') <> 'dna') WHERE regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWYX*]+') AND length(s) < 10000) GROUP BY 1)
+SELECT r.result_no, CASE WHEN lower(trim(input_type)) = 'dna' THEN 'dna' ELSE 'protein' END AS input_type, coalesce(parts, 0) AS parts, coalesce(letters, 0)::BIGINT AS letters FROM numbering_results r LEFT JOIN p ON p.result_no = r.result_no""",
     "json_documents": """SELECT result_no, coalesce(id, '') AS id, coalesce(sequence, '') AS sequence, coalesce(input_type, 'protein') AS input_type, domain_pos, d.domain_index, d.species, d.chain_type, d.v_gene, d.v_identity, d.j_gene, d.scheme, d.bit_score, d.evalue, d.evalue_text,
   d.seq_start, d.seq_end, d.nt_start, d.nt_end, d.translation_frame, d.flank_after, CASE WHEN d.stop_positions IS NOT NULL THEN coalesce(array_to_string(d.stop_positions, ','), '') END AS stops
 FROM (SELECT *, unnest(CASE WHEN len(domains) > 0 THEN domains ELSE [NULL] END) AS d, unnest(CASE WHEN len(domains) > 0 THEN range(len(domains))::INT[] ELSE [NULL] END) AS domain_pos FROM numbering_results)""",

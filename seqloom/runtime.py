@@ -100,6 +100,19 @@ class Scratch:
         fs.delete(p, True)
 
 
+#: Longest model file, in bytes, that is read whole on the driver.
+MODEL_BYTES = 256 << 20
+
+
+def whole_text(spark: SparkSession, path: str) -> str:
+    """A model file as one text; longer ones than ``MODEL_BYTES`` are refused."""
+    p, fs = _path(spark, path)
+    if fs.getFileStatus(p).getLen() > MODEL_BYTES:
+        raise ValueError(f"{path} is longer than {MODEL_BYTES} bytes")
+    row = spark.read.text(path, wholetext=True).first()
+    return row[0] if row else ""
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's size estimate of a (written) table, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -45,6 +45,23 @@ class Abif:
         return None if t is None else list(self.raw[t[0] : t[0] + t[1]])
 
 
+def encode_abif(bases: str, quality: list[int], channels: list[list[int]], peaks: list[int], order: str = "GATC") -> bytes:
+    """A trace as ABIF bytes, with the tags that :func:`parse_abif` reads."""
+    shorts = lambda v: struct.pack(f">{len(v)}h", *v)
+    blocks = [(b"PBAS", 2, 2, 1, bases.encode("latin-1")), (b"PLOC", 2, 4, 2, shorts(peaks)), (b"FWO_", 1, 2, 1, order.encode()), (b"PCON", 2, 2, 1, bytes(quality))]
+    blocks += [(b"DATA", 9 + k, 4, 2, shorts(v)) for k, v in enumerate(channels)]
+    body, entries, at = [], [], 128
+    for name, number, kind, width, raw in blocks:
+        inside = len(raw) <= 4
+        where = raw.ljust(4, b"\0") if inside else struct.pack(">I", at)
+        entries.append(_DIRECTORY.pack(name, number, kind, width, len(raw) // width, len(raw), where, 0))
+        if not inside:
+            body.append(raw)
+            at += len(raw)
+    head = b"ABIF" + struct.pack(">h", 101) + _DIRECTORY.pack(b"tdir", 1, 1023, 28, len(blocks), 28 * len(blocks), struct.pack(">I", at), 0)
+    return head.ljust(128, b"\0") + b"".join(body) + b"".join(entries)
+
+
 def parse_abif(raw: bytes) -> dict | None:
     """The trace of a file, or None if it is no ABIF file or lacks bases or a channel."""
     try:
@@ -66,8 +83,8 @@ def parse_abif(raw: bytes) -> dict | None:
     }
 
 
-def read_abif(spark: SparkSession, path: str) -> DataFrame:
-    """One row a readable ``.ab1`` file; the id is its name without the suffix."""
+def traces_of(files: DataFrame) -> DataFrame:
+    """The readable traces among ``id, source_file, content``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -78,9 +95,14 @@ def read_abif(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"id": name, **trace, "source_file": file})
             yield pd.DataFrame(rows, columns=["id", "bases", "peak_locations", "channels", "quality", "base_order", "trace_length", "source_file"])
 
+    return files.select("id", "source_file", "content").mapInPandas(run, SCHEMA)
+
+
+def read_abif(spark: SparkSession, path: str) -> DataFrame:
+    """One row a readable ``.ab1`` file; the id is its name without the suffix."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[aA][bB]1").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.ab1$", "")
-    return files.select(name.alias("id"), F.col("path").alias("source_file"), "content").mapInPandas(run, SCHEMA)
+    return traces_of(files.select(name.alias("id"), F.col("path").alias("source_file"), "content"))
 
 
 def as_records(traces: DataFrame) -> DataFrame:

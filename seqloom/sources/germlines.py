@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import whole_text
+
 SCHEMA = "segment string, chain_type string, species string, species_ordinal int, gene string, gene_ordinal int, aligned_seq string"
 
 
@@ -22,8 +24,8 @@ def germline_rows(text: str) -> list[tuple]:
 
 
 def read_germlines(spark: SparkSession, path: str) -> DataFrame:
-    with open(path) as f:
-        return spark.createDataFrame(germline_rows(f.read()), SCHEMA)
+    """Gene rows of a JSON file on any file system that Spark reads."""
+    return spark.createDataFrame(germline_rows(whole_text(spark, path)), SCHEMA)
 
 
 def available_species(germlines: DataFrame) -> DataFrame:

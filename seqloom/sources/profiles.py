@@ -6,9 +6,10 @@ from dataclasses import dataclass
 from math import exp, log
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..numbering.tables import blosum62
+from ..runtime import whole_text
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 # Background frequencies of the residues (Robinson and Robinson), in alphabetical order.
@@ -109,6 +110,6 @@ def from_germlines(germlines: DataFrame) -> list[Profile]:
     return out
 
 
-def read_hmmer3(path: str) -> list[Profile]:
-    with open(path) as f:
-        return parse_hmmer3(f.read())
+def read_hmmer3(spark: SparkSession, path: str) -> list[Profile]:
+    """Profiles of a file on any file system that Spark reads; a model file, small by nature."""
+    return parse_hmmer3(whole_text(spark, path))

@@ -172,6 +172,8 @@ def test_traces(spark, tmp_path):
     assert (t["bases"], t["quality"], t["peak_locations"], t["base_order"], t["trace_length"]) == ("ACGT", [10, 20, 30, 40], [1, 5, 9, 13], "GATC", 5)
     assert t["channels"]["A"] == [10, 11, 12, 13, 14]
     assert abif.parse_abif(abif_bytes(quality=None))["quality"] == []
+    again = abif.parse_abif(abif.encode_abif("acgtn", [1, 2, 3, 4, 60], [[5, 6], [7], [8], [9]], [0, 3, 9, 12, 300]))
+    assert (again["bases"], again["quality"], again["channels"]["G"], again["peak_locations"], again["trace_length"]) == ("ACGTN", [1, 2, 3, 4, 60], [5, 6], [0, 3, 9, 12, 300], 2)
     assert abif.parse_abif(b"JUNK" + b"\0" * 200) is None is abif.parse_abif(abif_bytes(drop=[(b"DATA", 10)])) and abif.parse_abif(b"ABIF") is None
     (tmp_path / "read 1.ab1").write_bytes(abif_bytes())
     (tmp_path / "bad.AB1").write_bytes(b"nothing")
