@@ -50,9 +50,8 @@ _WORD = re.compile(r"[^\W_]+")
 MATCHES = "doc_id bigint, item_id bigint, edits int, windows bigint"
 
 
-@lru_cache(1)
-def _format_chars() -> re.Pattern:
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]")
+#: Invisible format characters.
+_FORMAT = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
 
 
 def words(text: str | None) -> list[str]:
@@ -61,26 +60,27 @@ def words(text: str | None) -> list[str]:
         return []
     if text.isascii():
         return _WORD.findall(text.lower())
-    text = _format_chars().sub("", text)
+    if not _FORMAT.isdisjoint(text):
+        text = "".join(c for c in text if c not in _FORMAT)
     if "İ" in text:  # its lower case holds a combining mark, which would split the word
         return [w.lower() for w in _WORD.findall(text)]
     return _WORD.findall(text.lower())
 
 
-class _Hasher:
+class _Hasher(dict):
+    """Hash of each word, kept while there are at most ``most`` of them; a call gives those of a text."""
+
     def __init__(self, most: int = 500_000):
-        self.known, self.most = {}, most
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+        return h
 
     def __call__(self, text: str | None) -> list[int]:
-        known, out = self.known, []
-        for w in words(text):
-            h = known.get(w)
-            if h is None:
-                if len(known) >= self.most:
-                    known.clear()
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 1
-            out.append(h)
-        return out
+        if len(self) > self.most:
+            self.clear()
+        return list(map(self.__getitem__, words(text)))
 
 
 class Embedding:
