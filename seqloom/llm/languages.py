@@ -9,7 +9,7 @@ once per task and kept, sentences are sums over rows of that table.
 The classifiers are fitted on at most ``MAX_SAMPLES`` labelled samples.  A second fit adds
 sentences of at most ``MAX_LABELLED`` labelled documents (a sample by hash) whose label the
 first fit confirms, up to ``MAX_SENTENCES`` distinct ones a language, the least certain
-first; so it learns the corpus's own phrases.  Each machine is fitted in a task of its own.  Everything else runs over all documents, each on its own in one map stage: sequence blocks, tokens with
+first; so it learns the corpus's own phrases.  Everything else runs over all documents, each on its own in one map stage: sequence blocks, tokens with
 digits and quoted terms are set aside, sentences are judged, sentences too short or too
 uncertain join their neighbours, and equal neighbours form a stretch.
 
@@ -23,12 +23,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The languages by family, and their three-letter codes.
@@ -98,35 +98,10 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, c: floa
     return w
 
 
-def _fit_here(rows: list, asked: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    return [fit_svm([rows[i] for i in at], sign) for at, sign in asked]
-
-
-def _fit_in_tasks(spark: SparkSession) -> Callable:
-    """Fits each machine in a task of its own; the samples, bounded by parameters, travel as one broadcast."""
-
-    def fit_all(rows: list, asked: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        held = spark.sparkContext.broadcast((rows, asked))
-
-        def run(batches):
-            for batch in batches:
-                known, wanted = held.value
-                for k in batch.column(0).to_pylist():
-                    at, sign = wanted[k]
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([fit_svm([known[i] for i in at], sign).tobytes()], pa.binary())], names=["k", "w"])
-
-        found = spark.range(0, len(asked), 1, len(asked)).mapInArrow(run, "k bigint, w binary").collect()
-        held.destroy()
-        return [np.frombuffer(w) for _, w in sorted((r[0], bytes(r[1])) for r in found)]
-
-    return fit_all
-
-
 class Discriminator:
     """Family first, then pairs within it.  ``weights[:, 0]`` is the family, the rest are the pairs."""
 
-    def __init__(self, samples: list[tuple[str, list[str]]], fit_all: Callable | None = None):
-        """``fit_all`` fits (rows, [(numbers of rows, signs)]) and gives the weights in order; by default one after another."""
+    def __init__(self, samples: list[tuple[str, list[str]]]):
         rows, labels = [], []
         for lang, words in samples:
             half = len(words) // 2
@@ -138,11 +113,10 @@ class Discriminator:
         labels = np.array(labels)
         first, second = FAMILIES.values()
         self.pairs = [pair for family in FAMILIES.values() for pair in combinations(family, 2)]
-        asked = [(np.arange(len(labels)), np.where(np.isin(labels, first), 1.0, -1.0))]
+        fitted = [fit_svm(rows, np.where(np.isin(labels, first), 1.0, -1.0))]
         for a, b in self.pairs:
             at = np.flatnonzero(np.isin(labels, (a, b)))
-            asked.append((at, np.where(labels[at] == a, 1.0, -1.0)))
-        fitted = (fit_all or _fit_here)(rows, asked)
+            fitted.append(fit_svm([rows[i] for i in at], np.where(labels[at] == a, 1.0, -1.0)))
         self.weights = np.stack(fitted, axis=1).astype(np.float32)
         self._known: dict[str, int] = {}
         self._table = np.zeros((1024, self.weights.shape[1]), np.float32)
@@ -236,10 +210,10 @@ def stretches(sentences: list[tuple[int, int, list[str]]], lang: np.ndarray, sur
     return out
 
 
-def adapted(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], max_sentences: int = MAX_SENTENCES, fit_all: Callable | None = None) -> Discriminator:
+def adapted(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], max_sentences: int = MAX_SENTENCES) -> Discriminator:
     """Fit on the samples, then again with sentences of labelled documents that the first fit confirms."""
     base = [(lang, prose_words(text)) for lang, text in samples]
-    first = Discriminator(base, fit_all)
+    first = Discriminator(base)
     found: dict[str, dict[tuple, float]] = {x: {} for x in LANGUAGES}
     for label, text in labelled:
         parts = sentences_of(text)
@@ -252,7 +226,7 @@ def adapted(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], max
                 if len(w) >= 5:
                     found[label].setdefault(tuple(w), float(s) if LANGUAGES[g] == label else -1.0)
     more = [(x, list(w)) for x, d in found.items() for w, _ in sorted(d.items(), key=lambda i: (i[1], i[0]))[:max_sentences]]
-    return Discriminator(base + more, fit_all) if more else first
+    return Discriminator(base + more) if more else first
 
 
 def _run(model):
@@ -296,7 +270,7 @@ def label_languages(docs: DataFrame, samples: DataFrame, key: str = "doc_id", te
     labelled = docs.select(named_language(F.col(label)).alias("lang"), F.col(text).alias("text"), F.col(key).alias("k")).filter("lang is not null and text is not null").filter(F.length("text") <= max_sample_chars)
     labelled = labelled.orderBy(F.xxhash64("k"), "k").limit(max_labelled).select("lang", "text").collect()
     rows = samples.select(named_language(F.col("lang")).alias("lang"), "text").filter("lang is not null and text is not null").filter(F.length("text") <= max_sample_chars).orderBy(F.xxhash64("text"), "text").limit(max_samples)
-    model = spark.sparkContext.broadcast(adapted([tuple(r) for r in rows.collect()], [tuple(r) for r in labelled], max_sentences, _fit_in_tasks(spark)))
+    model = spark.sparkContext.broadcast(adapted([tuple(r) for r in rows.collect()], [tuple(r) for r in labelled], max_sentences))
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")).filter("text is not null")
     return texts.mapInArrow(_run(model), STRETCHES)
 
