@@ -24,7 +24,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +53,22 @@ _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?](?!\s|$)[^.!?\n]*)*[.!?\n]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Plain(dict):
+    """What each character turns into without accents."""
+
+    def __missing__(self, code: int) -> str:
+        text = unicodedata.normalize("NFD", chr(code).replace("ß", "ss"))
+        out = self[code] = "".join(c for c in text if not unicodedata.combining(c))
+        return out
+
+
+_PLAIN = _Plain()
+
+
 def plain(text: str) -> str:
     """Lower case without accents."""
     text = text.lower()
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text.replace("ß", "ss")) if not unicodedata.combining(c))
+    return text if text.isascii() else text.translate(_PLAIN)
 
 
 def word_features(word: str) -> np.ndarray:
@@ -66,13 +78,17 @@ def word_features(word: str) -> np.ndarray:
     return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in grams])
 
 
-def sample_features(words: list[str]) -> dict[int, float]:
-    out: dict[int, float] = {}
+def sample_features(words: list[str], known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, values) of a sample; ``known`` keeps the features of words."""
+    found = []
     for w in words:
-        f = word_features(w)
-        for i in f:
-            out[int(i)] = out.get(int(i), 0.0) + 1 / (np.sqrt(len(f)) * len(words))
-    return out
+        f = known.get(w)
+        if f is None:
+            f = known[w] = word_features(w)
+        found.append(f)
+    size = np.array([len(f) for f in found])
+    feature, place = np.unique(np.concatenate(found), return_inverse=True)
+    return feature, np.bincount(place, weights=np.repeat(1 / (np.sqrt(size) * len(words)), size))
 
 
 def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, c: float = 100.0, rounds: int = 15, seed: int = 0) -> np.ndarray:
@@ -98,17 +114,36 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, c: floa
     return w
 
 
+class _WordRows(dict):
+    """The place in ``table`` of each word's row: its features' weights, added up."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.table = weights, np.zeros((1024, weights.shape[1]), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_KEPT:
+            raise OverflowError
+        at = self[word] = len(self)
+        if at >= len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        f = word_features(word)
+        self.table[at] = self.weights[f].sum(axis=0) / np.sqrt(len(f))
+        return at
+
+    def __reduce__(self):
+        return _WordRows, (self.weights,)
+
+
 class Discriminator:
     """Family first, then pairs within it.  ``weights[:, 0]`` is the family, the rest are the pairs."""
 
     def __init__(self, samples: list[tuple[str, list[str]]]):
-        rows, labels = [], []
+        rows, labels, known = [], [], {}
         for lang, words in samples:
             half = len(words) // 2
             for part in (words, words[:half], words[half:]):
                 if len(part) >= 3:
-                    f = sample_features(part)
-                    rows.append((np.fromiter(f, np.int64, len(f)), np.fromiter(f.values(), float, len(f))))
+                    rows.append(sample_features(part, known))
                     labels.append(lang)
         labels = np.array(labels)
         first, second = FAMILIES.values()
@@ -118,27 +153,14 @@ class Discriminator:
             at = np.flatnonzero(np.isin(labels, (a, b)))
             fitted.append(fit_svm([rows[i] for i in at], np.where(labels[at] == a, 1.0, -1.0)))
         self.weights = np.stack(fitted, axis=1).astype(np.float32)
-        self._known: dict[str, int] = {}
-        self._table = np.zeros((1024, self.weights.shape[1]), np.float32)
-
-    def _row(self, word: str) -> int:
-        at = self._known.get(word)
-        if at is None:
-            if len(self._known) >= WORDS_KEPT:
-                raise OverflowError
-            at = self._known[word] = len(self._known)
-            if at >= len(self._table):
-                self._table = np.concatenate((self._table, np.zeros_like(self._table)))
-            f = word_features(word)
-            self._table[at] = self.weights[f].sum(axis=0) / np.sqrt(len(f))
-        return at
+        self._rows = _WordRows(self.weights)
 
     def _sums(self, sentences: list[list[str]]) -> np.ndarray:
         """The words' rows of every sentence, added up."""
-        if len(self._known) + sum(map(len, sentences)) > WORDS_KEPT:
-            self._known.clear()
+        if len(self._rows) + sum(map(len, sentences)) > WORDS_KEPT:
+            self._rows.clear()
         try:
-            at = [self._row(w) for s in sentences for w in s]
+            at = list(map(self._rows.__getitem__, chain.from_iterable(sentences)))
         except OverflowError:  # more distinct words in one call than the table holds: halves
             if len(sentences) == 1:
                 n = len(sentences[0]) // 2
@@ -147,7 +169,7 @@ class Discriminator:
             return np.concatenate((self._sums(sentences[:half]), self._sums(sentences[half:])))
         size = np.array([len(s) for s in sentences])
         first = np.concatenate(([0], np.cumsum(size)[:-1]))
-        return np.add.reduceat(self._table[at], first, axis=0)
+        return np.add.reduceat(self._rows.table[at], first, axis=0)
 
     def judge(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(language index, confidence) of every sentence, given as plain words."""

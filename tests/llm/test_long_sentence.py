@@ -8,12 +8,12 @@ from seqloom.llm import languages as G
 def test_long_sentence_is_judged_whole(monkeypatch):
     d = G.Discriminator.__new__(G.Discriminator)
     pairs = [(a, b) for k, a in enumerate(G.LANGUAGES) for b in G.LANGUAGES[k + 1 :]]
-    d.pairs, d._known = pairs, {}
+    d.pairs = pairs
     d.weights = np.random.default_rng(0).normal(size=(G.DIMENSIONS + 1, len(pairs) + 1)).astype(np.float32)
-    d._table = np.zeros((1024, d.weights.shape[1]), np.float32)
+    d._rows = G._WordRows(d.weights)
     long = [f"first{chr(97 + k % 26)}{k}" for k in range(40)] + [f"other{chr(97 + k % 26)}{k}" for k in range(90)]
     want, sure = d.judge([long, long[:3]])
-    d._known.clear()
+    d._rows.clear()
     monkeypatch.setattr(G, "WORDS_KEPT", 16)
     got, still = d.judge([long, long[:3]])
     assert got.tolist() == want.tolist() and np.allclose(sure, still, atol=1e-4)
