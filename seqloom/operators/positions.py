@@ -17,11 +17,12 @@ KEYS = ("result_no", "domain_pos")
 
 
 def residue_rows(results: DataFrame, key: str = "result_no") -> DataFrame:
-    """``result_no, domain_pos, chain_class, idx, position, insertion, amino_acid`` of every numbered position."""
+    """``result_no, domain_pos, scheme, chain_class, idx, position, insertion, amino_acid`` of every numbered position."""
     d = results.select(F.col(key).alias("result_no"), F.posexplode("domains").alias("domain_pos", "d")).filter("d is not null")
-    d = d.select("result_no", "domain_pos", F.col("d.chain_class").alias("chain_class"), F.posexplode("d.numbering").alias("idx", "r"))
+    scheme = F.col("d.scheme") if "scheme" in results.schema["domains"].dataType.elementType.names else F.lit(None).cast("string")
+    d = d.select("result_no", "domain_pos", scheme.alias("scheme"), F.col("d.chain_class").alias("chain_class"), F.posexplode("d.numbering").alias("idx", "r"))
     return d.filter("r is not null").select(
-        "result_no", "domain_pos", "chain_class", "idx", F.col("r.position").alias("position"), F.when(F.trim("r.insertion") == "", F.lit(" ")).otherwise(F.coalesce("r.insertion", F.lit(" "))).alias("insertion"), F.col("r.amino_acid").alias("amino_acid")
+        "result_no", "domain_pos", "scheme", "chain_class", "idx", F.col("r.position").alias("position"), F.when(F.trim("r.insertion") == "", F.lit(" ")).otherwise(F.coalesce("r.insertion", F.lit(" "))).alias("insertion"), F.col("r.amino_acid").alias("amino_acid")
     )
 
 
@@ -197,6 +198,7 @@ def filled_gaps(rows: DataFrame) -> DataFrame:
 
 
 def loop_residues(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows inside the loop ranges (``scheme, chain_class, cdr, first, last``) of their class."""
-    cond = (rows.chain_class == ranges.chain_class) & rows.position.between(F.col("first"), F.col("last"))
-    return rows.join(F.broadcast(ranges), cond).drop(ranges.chain_class)
+    """Rows inside the loop ranges (``scheme, chain_class, cdr, first, last``) of their scheme and class."""
+    r = ranges.withColumnsRenamed({"scheme": "_s", "chain_class": "_k"})
+    cond = (F.col("scheme") == F.col("_s")) & (F.col("chain_class") == F.col("_k")) & F.col("position").between(F.col("first"), F.col("last"))
+    return rows.join(maybe_broadcast(r), cond).drop("_s", "_k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,15 @@ def score_threshold(spark, sf_dir):
     return above_threshold(_hits(spark, sf_dir), 120.0).groupBy("hmm_name").agg(F.count("*").alias("n"))
 
 
+#: Keywords that restrict a search to some chains; the last two restrict nothing.
+RESTRICTIONS = ("ig", "tr", "heavy", "light", "H", "k", "l", "a", "b", "g", "")
+
+
 def chain_restrict(spark, sf_dir):
-    return of_chains(_hits(spark, sf_dir), "light", "kabat").groupBy("hmm_name").agg(F.count("*").alias("n"))
+    """Hits that every restriction keyword leaves under an antibody scheme and under one for all chains, by profile."""
+    hits = _hits(spark, sf_dir).groupBy("hmm_name").agg(F.count("*").alias("n"))
+    parts = [of_chains(hits, word, scheme).select(F.lit(word).alias("restrict"), F.lit(scheme).alias("scheme"), "hmm_name", "n") for word in RESTRICTIONS for scheme in ("imgt", "kabat")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def species_fallback(spark, sf_dir):
@@ -189,7 +198,9 @@ SQL = {
     "profile_names": f"""SELECT hmm_name, species, chain_type, CASE WHEN chain_type IN ('K', 'L') THEN 'L' WHEN chain_type IN ('A', 'B', 'G', 'D') THEN chain_type ELSE 'H' END AS chain_class
 FROM (SELECT DISTINCT hmm_name, {_SPECIES} AS species, {_CHAIN} AS chain_type FROM viterbi_hits WHERE hmm_name IS NOT NULL)""",
     "score_threshold": f"WITH {_HITS} SELECT hmm_name, count(*) AS n FROM hits WHERE bit_score >= 120 GROUP BY 1",
-    "chain_restrict": f"WITH {_HITS} SELECT hmm_name, count(*) AS n FROM hits WHERE {_CHAIN} IN ('K', 'L') GROUP BY 1",
+    "chain_restrict": f"""WITH {_HITS}, w(restrict, chains) AS (VALUES ('ig', 'HKL'), ('tr', 'ABGD'), ('heavy', 'H'), ('light', 'KL'), ('H', 'H'), ('k', 'K'), ('l', 'L'), ('a', 'A'), ('b', 'B'), ('g', 'HKLABGD'), ('', 'HKLABGD')),
+s(scheme, covered) AS (VALUES ('imgt', 'HKLABGD'), ('kabat', 'HKL')), n AS (SELECT hmm_name, {_CHAIN} AS chain, count(*) AS n FROM hits GROUP BY 1, 2)
+SELECT restrict, scheme, hmm_name, n FROM n, w, s WHERE length(chain) = 1 AND strpos(chains, chain) > 0 AND strpos(covered, chain) > 0""",
     "species_fallback": f"""WITH {_HITS}, a AS (SELECT *, lower({_SPECIES}) IN ('mouse', 'rat') AS asked FROM hits)
 SELECT hit_no, result_no FROM (SELECT *, bool_or(asked) OVER (PARTITION BY result_no) AS has_any FROM a) WHERE asked OR NOT has_any""",
     "greedy_domains": f"""WITH {_HITS}, s AS (SELECT result_no, list({{'h': hit_no, 's': seq_start, 'e': seq_end}} ORDER BY bit_score DESC, hit_no) AS l

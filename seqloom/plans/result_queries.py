@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..api import compute_pim
 from ..functions.labels import cdr_of, position_label
 from ..functions.sequence import normalise
-from ..numbering.tables import CDR_RANGES
+from ..numbering.tables import CDR_RANGES, NAMES, cdr_ranges
 from ..operators import dedup as D
 from ..operators import positions as P
 from ..operators.flatten import json_tables
@@ -103,10 +103,10 @@ def loop_positions(spark, sf_dir):
 
 
 def loop_ranges(spark, sf_dir):
-    """Residues of the imgt loops by a range join."""
-    r = spark.createDataFrame([(k, f"cdr{n + 1}", a, b) for k in "HLABGD" for n, (a, b) in enumerate(CDR_RANGES["imgt", "*"])], "chain_class string, cdr string, first int, last int")
-    rows = P.loop_residues(_cells(spark, sf_dir), r)
-    return rows.groupBy("cdr", "amino_acid").agg(F.count("*").alias("n"))
+    """Residues in the loops of each domain's scheme and class, by a range join."""
+    ranges = [(name, k, f"cdr{n + 1}", a, b) for name in NAMES for k in "HLABGD" for n, (a, b) in enumerate(cdr_ranges(name, k))]
+    r = spark.createDataFrame(ranges, "scheme string, chain_class string, cdr string, first int, last int")
+    return P.loop_residues(_cells(spark, sf_dir), r).groupBy("scheme", "cdr", "amino_acid").agg(F.count("*").alias("n"))
 
 
 def heavy_cdr3(spark, sf_dir):
@@ -340,8 +340,9 @@ SELECT result_no, domain_pos, array_to_string(list_transform(range((SELECT count
     "loop_positions": f"""WITH {_DOMAINS}, x AS (SELECT result_no, unnest(ds) AS d, (generate_subscripts(ds, 1) - 1)::INT AS domain_pos FROM dom),
 r AS (SELECT result_no, domain_pos, d.scheme AS scheme, d.chain_class AS k, unnest(d.numbering) AS r FROM x), l AS (SELECT result_no, domain_pos, {_loop_sql("r.position", "scheme", "k")} AS loop FROM r)
 SELECT result_no, domain_pos, loop, count(*) AS n FROM l WHERE loop <> '' GROUP BY 1, 2, 3""",
-    "loop_ranges": f"""WITH {_CELLS} SELECT CASE WHEN position <= 38 THEN 'cdr1' WHEN position <= 65 THEN 'cdr2' ELSE 'cdr3' END AS cdr, amino_acid, count(*) AS n FROM cells
-WHERE chain_class IN ('H', 'L', 'A', 'B', 'G', 'D') AND (position BETWEEN 27 AND 38 OR position BETWEEN 56 AND 65 OR position BETWEEN 105 AND 117) GROUP BY 1, 2""",
+    "loop_ranges": f"""WITH {_DOMAINS}, x AS (SELECT unnest(ds) AS d FROM dom), r AS (SELECT d.scheme AS scheme, d.chain_class AS k, unnest(d.numbering) AS r FROM x),
+l AS (SELECT scheme, {_loop_sql("r.position", "scheme", "k")} AS cdr, r.amino_acid AS amino_acid FROM r WHERE k IN ('H', 'L', 'A', 'B', 'G', 'D'))
+SELECT scheme, cdr, amino_acid, count(*) AS n FROM l WHERE cdr <> '' GROUP BY 1, 2, 3""",
     "heavy_cdr3": f"""WITH {_DOMAINS}, x AS (SELECT result_no, unnest(ds) AS d, (generate_subscripts(ds, 1) - 1)::INT AS domain_pos FROM dom)
 SELECT result_no, domain_pos, len(list_filter(d.numbering, lambda r: {_loop_sql("r.position", "d.scheme", "d.chain_class")} = 'cdr3' AND r.amino_acid <> '-'))::INT AS cdr3_length
 FROM x WHERE d.chain_class = 'H' AND d.numbering IS NOT NULL""",

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions import sequence as S
 from seqloom.plans import pipeline
 from seqloom.plans.catalog import queries, sql
 from seqloom.runtime import Scratch, maybe_broadcast, scratch_root, table
@@ -45,6 +46,49 @@ def test_bad_records_stay(spark, inputs):
     assert pipeline.parse_input_type(" DNA ") == "dna" and pipeline.parse_input_type(None) == "protein"
 
 
+def planted(g, loop="ARDYW", chain="H"):
+    """A domain of the first species' genes of a chain with a given third loop."""
+    row = lambda s: g.filter((F.col("segment") == s) & (F.col("chain_type") == chain)).orderBy("species_ordinal", "gene_ordinal").first().aligned_seq
+    v, j = row("V"), row("J")
+    return v[:106].replace("-", "") + loop + j[116:].replace("-", "")
+
+
+def test_planted_domain_is_found_in_each_frame(spark, inputs):
+    _, p, g = inputs
+    codon = {}
+    for c, aa in S.CODONS.items():
+        codon.setdefault(aa, c)
+    protein = planted(g)
+    dna = "".join(codon[a] for a in protein)
+    back = dna[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows = [(1, "+1", dna, "dna"), (2, "+3", "GC" + dna + "A", "DNA "), (3, "-2", back + "T", "dna"), (4, "", "mk-" + protein[:40].lower() + ".." + protein[40:], None), (5, "+1", dna.replace("T", "U"), "dna")]
+    df = spark.createDataFrame(rows, "key long, id string, sequence string, input_type string")
+    found = {d.key: d for d in pipeline.number_sequences(df, p, g, threshold=60.0).collect()}
+    for key, frame, *_ in rows:
+        (d,) = found[key].domains
+        assert d.translation_frame == frame and d.chain_type == "H" and "".join(c.amino_acid for c in d.numbering if c.amino_acid != "-") in protein
+        assert (d.nt_start is None) == (key == 4) and d.seq_end - d.seq_start == sum(c.amino_acid != "-" for c in d.numbering)
+        if key != 4:
+            cut = found[key].sequence[d.nt_start : d.nt_end].replace("U", "T")
+            cut = cut[::-1].translate(str.maketrans("ACGT", "TGCA")) if frame[0] == "-" else cut
+            assert cut in dna and len(cut) == 3 * (d.seq_end - d.seq_start)
+
+
+def test_j_region_behind_a_long_loop_is_rescued(spark, inputs):
+    _, p, g = inputs
+    loop = "PEDRAGSYNTEKDPGSREQANSTPDGKERSANPQTEDGSKRNAEPQ"
+    df = spark.createDataFrame([(1, "x", planted(g, loop), "protein")], "key long, id string, sequence string, input_type string")
+    last = lambda **o: [d.numbering[-1].position for d in pipeline.numbered_domains(df, p, g, threshold=60.0, **o).collect()]
+    (cut,), (whole,) = last(rescue=False), last()
+    assert cut < 120 and whole >= 126
+
+
+def test_totals_are_counted_in_passing(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "key long, domains array<int>")
+    docs, seen = pipeline.with_totals(df)
+    assert docs.count() == 3 and seen.get == {"sequences": 3, "domains": 2, "without_domain": 2}
+
+
 def test_restricted_chains_and_schemes(spark, inputs):
     r, p, g = inputs
     few = r.filter("key <= 12").drop("domains")
