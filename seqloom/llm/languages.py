@@ -48,7 +48,7 @@ STRETCHES = "doc_id bigint, label string, seg_no int, lang string, confidence do
 
 _SEQUENCE_LINE = re.compile(r"^>[^\n]*(?:\n[A-Za-z*.\-]+[ \t\r]*$)*|^[A-Z*.\-]{25,}[ \t\r]*$", re.M)
 _QUOTED = re.compile(r"[\"“”«»„][^\"“”«»„\n]{1,60}[\"“”«»„]|`[^`\n]{1,80}`")
-_NO_PROSE = re.compile(r"\S*[\d_*|>@/\\]\S*|\b[A-Za-z]{40,}\b|\b[A-Z]{30,}\b")
+_NO_PROSE = re.compile(r"(?<!\S)[^\s\d_*|>@/\\]*+[\d_*|>@/\\]\S*+|\b(?:[A-Z]{30,}|[A-Za-z]{40,})\b")
 _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?](?!\s|$)[^.!?\n]*)*[.!?\n]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
