@@ -137,7 +137,7 @@ class Mix:
     """The chosen documents (``documents``: doc_id, source, tokens, copies) and ``shares`` by target."""
 
     def __init__(self, docs: DataFrame, targets: DataFrame, tokenizer: str | None = None, seed: int = 1, key: str = "doc_id"):
-        scratch = Scratch(docs.sparkSession, "mix")
+        self._scratch = scratch = Scratch(docs.sparkSession, "mix")
         tokenizer = tokenizer or default_tokenizer()
         sized = docs.select(
             F.col(key).alias("doc_id"), source_key(F.col("source")).alias("source"), count_tokens(F.col("text"), tokenizer).alias("tokens"), F.xxhash64(F.lit(seed), key, "text").alias("h")
@@ -175,6 +175,10 @@ class Mix:
         self.documents = even.filter("copies > 0").unionByName(chosen).unionByName(whole_out).unionByName(rest)
         self._plan = plan
 
+    def close(self) -> None:
+        """Remove the written tables; neither documents nor shares can be read afterwards."""
+        self._scratch.close()
+
     def shares(self) -> DataFrame:
         """``source, target_share, actual_share, used_tokens, documents, met`` for every target."""
         used = self._plan.groupBy("source").agg(F.sum(F.expr("tokens * (n * base + extra)")).alias("used"), F.sum("n").alias("documents"))
