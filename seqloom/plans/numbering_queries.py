@@ -69,7 +69,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _numbering(scheme: str):
     def query(spark, sf_dir):
-        n = number_domains(vectors(spark, sf_dir), scheme)
+        n = number_domains(vectors(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), scheme)
         label = lambda x: F.concat(x["position"].cast("string"), F.trim(x["insertion"]), F.lit(":"), x["amino_acid"])
         return n.select("key", "seq_start", "seq_end", "state_sequence", F.array_join(F.transform("numbering", label), " ").alias("numbering"))
 

@@ -132,6 +132,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for maps whose work is not in the bytes.
 
     A small file is one partition; only such few partitions are shuffled, large tables stay as they are read.
+    ``df`` must be a scan with projections and filters: counting the partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
