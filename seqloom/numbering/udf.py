@@ -139,18 +139,17 @@ def number_domains(domains: DataFrame, scheme: str, j_parts: bool = False) -> Da
             found = [p for *_, p in rows]
             col = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
             texts = [col["sequence"][int(r)].as_py() for r in at]
-            letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            letters = np.frombuffer(("".join(texts) + "-").encode("utf-32-le", "surrogatepass"), np.uint32)  # the last one stands for gaps
             begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])) + base
             size = np.array([len(p.position) for p in found])
             place = np.concatenate([p.place for p in found])
-            seated = place >= 0
-            aa = np.where(seated, letters[np.where(seated, place + np.repeat(begin, size), 0)], ord("-")) if len(letters) else np.zeros(0, np.uint32)
+            aa = letters[np.where(place >= 0, place + np.repeat(begin, size), -1)]
             cells = pa.StructArray.from_arrays(
                 [pa.array(np.concatenate([p.position for p in found])), pa.array(_CODES).take(pa.array(np.concatenate([p.code for p in found]))), _letters(aa)], names=["position", "insertion", "amino_acid"]
             )
             numbering = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), cells)
             states = np.stack([p.states for p in found])
-            line = np.where(states >= 0, letters[np.where(states >= 0, states + begin[:, None], 0)], ord("-")).astype(np.uint32)
+            line = letters[np.where(states >= 0, states + begin[:, None], -1)]
             line = np.where((line >= ord("a")) & (line <= ord("z")), line - 32, line)
             text = [x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for x in line]
             spans = [p.span for p in found]
