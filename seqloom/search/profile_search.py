@@ -67,32 +67,46 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scores(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
-    """Bits of the best local alignment of each sequence."""
+    """Bits of the best local alignment of each sequence.
+
+    Arrays are (states, sequences) with empty states in front, so that a step to the next state is a shifted view of
+    contiguous memory and the running maximum over deletes a few shifted maxima of doubling reach.
+    """
     x, size = _padded(seqs)
     emit, (mm, mi, md, im, ii, dm, dd), enter = model.forms[np.float32]
     n, m = len(seqs), model.length
-    M, I, D, best, t, u = (np.full((n, m), _LOG0, np.float32) for _ in range(6))
-    run = np.concatenate(([0], np.cumsum(dd[:-1]))).astype(np.float32)
-    opening = md[:-1] - run[1:]
+    shifts = [1 << k for k in range((m - 1).bit_length())]
+    pad = max([1, *shifts])
+    M, I, D, other = (np.full((pad + m, n), _LOG0, np.float32) for _ in range(4))
+    now, before = slice(pad, None), slice(pad - 1, -1)
+    run = np.concatenate(([0], np.cumsum(dd[:-1])))
+    tiled = lambda v: np.repeat(np.asarray(v, np.float32)[:, None], n, axis=1)
+    behind = lambda v, first=0.0: np.concatenate(([first], v[:-1]))
+    by_mm, by_im, by_dm, opening = tiled(behind(mm)), tiled(behind(im)), tiled(behind(dm)), tiled(behind(md, _LOG0) - run)
+    by_ii, by_mi, deletes, fresh = tiled(ii), tiled(mi), tiled(run), tiled(np.full(m, enter))
+    best, t, u = (np.full((m, n), _LOG0, np.float32) for _ in range(3))
+    by_state = np.ascontiguousarray(emit.T)
     for codes in x:
-        np.add(M[:, :-1], mm[:-1], out=t[:, 1:])
-        np.add(I[:, :-1], im[:-1], out=u[:, 1:])
+        np.add(M[before], by_mm, out=t)
+        np.add(I[before], by_im, out=u)
         np.maximum(t, u, out=t)
-        np.add(D[:, :-1], dm[:-1], out=u[:, 1:])
+        np.add(D[before], by_dm, out=u)
         np.maximum(t, u, out=t)
-        np.maximum(t, enter, out=t)
-        np.add(I, ii, out=I)
-        np.add(M, mi, out=u)
-        np.maximum(I, u, out=I)
-        np.take(emit, codes, axis=0, out=u)
-        np.add(t, u, out=M)
-        np.maximum(best, M, out=best)
-        # D[k] = max over j < k of M[j] + md[j] + the deletes between, as a running maximum
-        np.add(M[:, :-1], opening, out=D[:, 1:])
-        np.maximum.accumulate(D[:, 1:], axis=1, out=D[:, 1:])
-        np.add(D[:, 1:], run[1:], out=D[:, 1:])
-        t[:, 0] = u[:, 0] = _LOG0
-    return (best.max(axis=1) + _outside(size)) / log(2.0)
+        np.maximum(t, fresh, out=t)
+        np.add(I[now], by_ii, out=I[now])
+        np.add(M[now], by_mi, out=u)
+        np.maximum(I[now], u, out=I[now])
+        np.take(by_state, codes, axis=1, out=u, mode="clip")
+        np.add(t, u, out=M[now])
+        np.maximum(best, M[now], out=best)
+        # D[k] = max over j < k of M[j] + md[j] + the deletes between
+        here, there = D, other
+        np.add(M[before], opening, out=here[now])
+        for s in shifts:
+            np.maximum(here[now], here[pad - s : pad - s + m], out=there[now])
+            here, there = there, here
+        np.add(here[now], deletes, out=D[now])
+    return (best.max(axis=0) + _outside(size)) / log(2.0)
 
 
 def aligned(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
