@@ -130,6 +130,34 @@ def aligned_texts_of(results: DataFrame, key: str = "result_no", filler: str = "
     return _domain_arrays(results, key).mapInArrow(run, "result_no bigint, domain_pos int, aligned string")
 
 
+def label_columns(domains: DataFrame, labels: list[str], *keep: str, numbering: str = "numbering") -> DataFrame:
+    """``keep`` and one column a label of the residues of each domain's numbering, ``-`` where it has none.
+
+    A domain's numbering lies whole in its row, so nothing is shuffled.  Of several residues at one label the first counts;
+    labels that are not asked for are left out.
+    """
+    place = {x: k for k, x in enumerate(labels)}
+    kept = [f"`{c}` {domains.schema[c].dataType.simpleString()}" for c in keep]
+    names = [*keep, *labels]
+
+    def run(batches):
+        for batch in batches:
+            cells = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), pa.nulls(batch.num_rows), *batch.columns[len(keep) :]], names=list("rdpia"))
+            row, _, pos, ins, aa = _flat(cells)
+            label, seen = _labels(pos, ins)
+            at = np.array([place.get(f"{p}{i.strip(' ')}", -1) for p, i in seen], np.int64)[label] if seen else label
+            live = np.flatnonzero(at >= 0)[::-1]
+            coded = pc.fill_null(aa, "-").dictionary_encode()
+            code = np.zeros((batch.num_rows, len(labels)), np.int32)
+            code[row[live], at[live]] = coded.indices.to_numpy(zero_copy_only=False)[live] + 1
+            words = pa.array(["-", *coded.dictionary.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(words.take(pa.array(np.ascontiguousarray(code[:, k]))) for k in range(len(labels)))], names=names)
+
+    n = F.coalesce(F.col(numbering), F.from_json(F.lit("[]"), domains.schema[numbering].dataType))
+    source = domains.select(*keep, n.alias("_n")).select(*keep, F.col("_n.position").alias("_p"), F.col("_n.insertion").alias("_i"), F.col("_n.amino_acid").alias("_a"))
+    return source.mapInArrow(run, ", ".join([*kept, *(f"`{x}` string" for x in labels)]))
+
+
 def state_texts_of(domains: DataFrame, *keep: str, numbering: str = "numbering") -> DataFrame:
     """``keep, state_sequence``: the 128 states of imgt-numbered domains; of several residues at a state the first counts.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import amino_acid, codons, coding_dna, let, reverse_complement
+from ..functions.sequence import amino_acid, let, reverse_complement
 
 
 def _round_half_up(c: Column) -> Column:
@@ -56,7 +56,8 @@ def codon_track(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Col
 
 def residue_codon(bases: Column, nt_start: Column, nt_end: Column, is_reverse: Column, k: Column) -> Column:
     """Codon of the k-th (0-based) residue of a range, in reading order; null beyond its end."""
-    return F.get(codons(coding_dna(bases, nt_start, nt_end, is_reverse)), k)
+    codon = F.when(is_reverse, reverse_complement(F.substring(bases, nt_end - 3 * k - 2, F.lit(3)))).otherwise(F.substring(bases, nt_start + 3 * k + 1, F.lit(3)))
+    return F.when((k >= 0) & (k < F.floor((nt_end - nt_start) / 3)), codon)
 
 
 def domain_qualities(results: DataFrame, traces: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.sequence import codons, coding_dna, csv_field, wrapped
 from ..numbering.tables import CDR_RANGES
 from ..operators.dedup import present_domains, residue_text
 from ..operators.identity import compared, residue_grid
-from ..operators.positions import aligned_texts, aligned_texts_of, position_union_of, residue_rows, union_order
+from ..operators.positions import aligned_texts, aligned_texts_of, label_columns, position_union_of, residue_rows, union_order
 from ..runtime import maybe_broadcast
 
 #: Rows of an identity matrix that one task writes.
@@ -102,14 +102,12 @@ def wide_table(results: DataFrame, key: str = "result_no") -> DataFrame:
     d = F.col("d")
     percent = lambda c: F.when(d[c] > 0, F.format_string("%.2f", d[c])).otherwise("")
     head = rows.select(
-        F.col(key).alias("_k"), F.col("domain_pos").alias("_p"), F.col("id").alias("Id"), F.col("domain_pos").alias("domain_no"), d["species"].alias("hmm_species"), d["chain_type"].alias("chain_type"), d["evalue_text"].alias("e-value"),
+        key, "domain_pos", F.col("id").alias("Id"), F.col("domain_pos").alias("domain_no"), d["species"].alias("hmm_species"), d["chain_type"].alias("chain_type"), d["evalue_text"].alias("e-value"),
         F.format_string("%.1f", d["bit_score"]).alias("score"), d["seq_start"].alias("seqstart_index"), (d["seq_end"] - 1).alias("seqend_index"), d["identity_species"].alias("identity_species"), d["v_gene"].alias("v_gene"),
-        percent("v_identity").alias("v_identity"), d["j_gene"].alias("j_gene"), percent("j_identity").alias("j_identity"), F.when(d["chain_class"] == "H", heavy_cdr3_length(d)).alias("heavy_cdr3_length"), residue_text(d["numbering"]).alias("full_length_aa"),
+        percent("v_identity").alias("v_identity"), d["j_gene"].alias("j_gene"), percent("j_identity").alias("j_identity"), F.when(d["chain_class"] == "H", heavy_cdr3_length(d)).alias("heavy_cdr3_length"), residue_text(d["numbering"]).alias("full_length_aa"), d["numbering"].alias("numbering"),
     )
-    cells = residue_rows(results.withColumn("domains", present_domains(F.col("domains"))), key)
     labels = union_order(position_union_of(results, key))
-    grid = cells.select(F.col("result_no").alias("_k"), F.col("domain_pos").alias("_p"), position_label(F.col("position"), F.col("insertion")).alias("l"), "amino_acid").groupBy("_k", "_p").pivot("l", labels).agg(F.first("amino_acid"))
-    return head.join(grid, ["_k", "_p"], "left").na.fill("-", labels).select(F.col("_k").alias(key), F.col("_p").alias("domain_pos"), *WIDE_COLUMNS, *[F.col(f"`{x}`") for x in labels])
+    return label_columns(head, labels, key, "domain_pos", *WIDE_COLUMNS)
 
 
 def csv_lines(table: DataFrame, *keys: str) -> DataFrame:

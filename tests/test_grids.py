@@ -81,3 +81,13 @@ def test_odd_domains(spark):
     assert got[6].state_sequence == "-" * 128 and all(c.amino_acid == "-" for c in got[6].numbering)
     assert {r.key for r in number_domains(df, "kabat").collect()} == {1, 6}
     assert number_domains(df.limit(0), "aho").count() == 0
+
+
+def test_label_columns(spark):
+    from seqloom.operators.positions import label_columns
+
+    rows = [(1, "a", [(1, " ", "M"), (1, "", "K"), (3, "A", None), (9, None, "W"), (None, " ", "Y")]), (2, "b", []), (3, None, None)]
+    df = spark.createDataFrame(rows, STATES)
+    got = {r[0]: tuple(r)[1:] for r in label_columns(df, ["1", "3A", "7", "9"], "k", "x").collect()}
+    assert got == {1: ("a", "M", "-", "-", "W"), 2: ("b", "-", "-", "-", "-"), 3: (None, "-", "-", "-", "-")}
+    assert label_columns(df.limit(0), ["1"], "k").count() == 0 and label_columns(df, [], "k").count() == 3
