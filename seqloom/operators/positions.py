@@ -226,7 +226,11 @@ def filled_gaps(rows: DataFrame) -> DataFrame:
 
 
 def loop_residues(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows inside the loop ranges (``scheme, chain_class, cdr, first, last``) of their scheme and class."""
+    """Rows inside the loop ranges (``scheme, chain_class, cdr, first, last``) of their scheme and class.
+
+    The ranges are counted: Catalyst has no size for rows that come from Python, and a shuffle join would
+    move every cell to the few tasks of the schemes' classes.
+    """
     r = ranges.withColumnsRenamed({"scheme": "_s", "chain_class": "_k"})
     cond = (F.col("scheme") == F.col("_s")) & (F.col("chain_class") == F.col("_k")) & F.col("position").between(F.col("first"), F.col("last"))
-    return rows.join(maybe_broadcast(r), cond).drop("_s", "_k")
+    return rows.join(maybe_broadcast(r, ranges.count()), cond).drop("_s", "_k")
