@@ -39,6 +39,13 @@ def test_a_class_is_sent_to_few_blocks(spark):
     assert rows == 10000 * 8
 
 
+def test_labels_are_sent_where_they_are_needed(spark):
+    order, v = inputs(spark, 10000, "CAST(concat(chr(1 + id % 20), chr(1 + id % 7)) AS BINARY) AS codes")
+    sent = identity_csv(order, v)._jdf.queryExecution().optimizedPlan().children().head()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sent)
+    assert rows.filter("label IS NOT NULL").count() < 10000 * 2
+
+
 def test_the_order_is_made_once(spark):
     from seqloom.api import compute_pim
 
